@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from ledgerloom.functions.numbers import SIGNED_NUMBER, has_match, parse_float
-from ledgerloom.functions.text import let, strip
+from ledgerloom.functions.text import SPACE, let, strip
 from ledgerloom.schema import PROGRAM_STEP
 
 # Operation names, ignored line starts, markers and messages.
@@ -35,7 +35,8 @@ _STATE = f"struct<variables:map<string,double>,steps:array<{PROGRAM_STEP}>,error
 
 
 def program_lines(text: Column) -> Column:
-    lines = F.transform(F.split(strip(text), "\n"), strip)
+    # splitting with the blanks around a line break strips every line at once
+    lines = F.split(strip(text), rf"(?U){SPACE}*\n{SPACE}*")
 
     def counted(line: Column) -> Column:
         keep = line != ""
@@ -47,7 +48,8 @@ def program_lines(text: Column) -> Column:
 
 
 def _statements(text: Column, strict: bool) -> Column:
-    """array<struct<line, name, body, operation, is_list, items>>; lines without '=' are dropped."""
+    """array<struct<line, name, body, constant, operation, is_list, items, literals>>;
+    lines without '=' are dropped. Literals are parsed here, outside the fold."""
     assigned = F.filter(program_lines(text), lambda s: s.contains("="))
 
     def name_and_body(line: Column) -> Column:
@@ -62,30 +64,34 @@ def _statements(text: Column, strict: bool) -> Column:
         )
 
     def with_call(s: Column) -> Column:
-        is_call = s["body"].rlike(CALL)
-        arguments = F.regexp_extract(s["body"], CALL, 2)
         return F.struct(
             s["line"].alias("line"),
             s["name"].alias("name"),
             s["body"].alias("body"),
-            F.when(is_call, F.regexp_extract(s["body"], CALL, 1)).alias("operation"),
-            strip(arguments).alias("arguments"),
+            F.regexp_extract(s["body"], CALL, 1).alias("operation"),
+            strip(F.regexp_extract(s["body"], CALL, 2)).alias("arguments"),
         )
 
     def with_items(s: Column) -> Column:
+        is_call = s["operation"] != ""
         is_list = s["arguments"].rlike(LIST)
         inner = F.when(is_list, F.regexp_extract(s["arguments"], LIST, 1)).otherwise(s["arguments"])
         return F.struct(
             s["line"].alias("line"),
             s["name"].alias("name"),
             s["body"].alias("body"),
-            s["operation"].alias("operation"),
+            F.when(~is_call, parse_float(s["body"])).alias("constant"),
+            F.when(is_call, s["operation"]).alias("operation"),
             is_list.alias("is_list"),
-            F.transform(F.split(inner, ","), strip).alias("items"),
+            F.when(is_call, F.transform(F.split(inner, ","), strip)).alias("items"),
         )
 
+    def with_literals(s: Column) -> Column:
+        return s.withField("literals", F.transform(s["items"], parse_float))
+
     return F.transform(
-        F.transform(F.transform(assigned, name_and_body), with_call), with_items
+        F.transform(F.transform(F.transform(assigned, name_and_body), with_call), with_items),
+        with_literals,
     )
 
 
@@ -111,32 +117,40 @@ def _apply(operation: Column, values: Column, is_list: Column) -> Column:
     )
 
 
-def _evaluate(state: Column, s: Column, strict: bool) -> Column:
-    """struct<operation, arguments, result, problem> of one statement."""
+def _values(state: Column, s: Column, strict: bool) -> Column:
+    """Arguments of a statement as numbers; NULL where a name is unknown."""
     variables = state["variables"]
-    unresolved = F.get(
-        F.filter(s["items"], lambda i: F.try_element_at(variables, i).isNull() & parse_float(i).isNull()),
-        F.lit(0),
-    )
-    values = F.transform(s["items"], lambda i: F.coalesce(F.try_element_at(variables, i), parse_float(i)))
-    known = s["operation"].isin(OPERATIONS)
-    wrong_count = s["operation"].isin(_BINARY) & (s["is_list"] | (F.size(s["items"]) != 2))
-    constant = parse_float(s["body"])
+    constant = s["constant"]
     if not strict:
         constant = F.coalesce(constant, F.try_element_at(variables, s["body"]))
+    return F.when(s["operation"].isNull(), F.array(constant)).otherwise(
+        F.transform(
+            s["items"],
+            lambda name, i: F.coalesce(
+                F.try_element_at(variables, name), F.get(s["literals"], i)
+            ),
+        )
+    )
+
+
+def _evaluate(values: Column, s: Column) -> Column:
+    """struct<operation, arguments, result, problem> of one statement."""
     is_call = s["operation"].isNotNull()
+    gap = F.array_position(F.transform(values, lambda v: v.isNull()), F.lit(True))
+    wrong_count = s["operation"].isin(_BINARY) & (s["is_list"] | (F.size(s["items"]) != 2))
     problem = (
-        F.when(
-            ~is_call & constant.isNull(), F.concat(F.lit("Invalid expression: "), s["body"])
+        F.when(~is_call & (gap > 0), F.concat(F.lit("Invalid expression: "), s["body"]))
+        .when(
+            ~s["operation"].isin(OPERATIONS),
+            F.concat(F.lit("Unknown operation: "), s["operation"]),
         )
-        .when(is_call & ~known, F.concat(F.lit("Unknown operation: "), s["operation"]))
         .when(
-            is_call & unresolved.isNotNull(),
+            gap > 0,
             F.concat(
                 F.when(s["is_list"], F.lit("Invalid list item: ")).otherwise(
                     F.lit("Invalid argument: ")
                 ),
-                unresolved,
+                F.get(s["items"], (gap - 1).cast("int")),
             ),
         )
         .when(
@@ -144,21 +158,29 @@ def _evaluate(state: Column, s: Column, strict: bool) -> Column:
             F.concat(F.lit("Wrong number of arguments: "), s["operation"]),
         )
     )
-    return F.struct(
-        F.coalesce(s["operation"], F.lit("const")).alias("operation"),
-        F.when(is_call, values).otherwise(F.array(constant)).alias("arguments"),
-        F.when(
-            problem.isNull(),
-            F.when(is_call, _apply(s["operation"], values, s["is_list"])).otherwise(constant),
-        ).alias("result"),
-        problem.alias("problem"),
+    return let(
+        problem,
+        lambda p: F.struct(
+            F.coalesce(s["operation"], F.lit("const")).alias("operation"),
+            values.alias("arguments"),
+            F.when(
+                p.isNull(),
+                F.when(is_call, _apply(s["operation"], values, s["is_list"])).otherwise(
+                    F.get(values, F.lit(0))
+                ),
+            ).alias("result"),
+            p.alias("problem"),
+        ),
     )
 
 
 def _advance(state: Column, s: Column, strict: bool) -> Column:
     def record(step: Column) -> Column:
         failed = step["problem"].isNotNull()
-        kept = F.map_filter(state["variables"], lambda k, _: k != s["name"])
+        reassigned = F.map_contains_key(state["variables"], s["name"])
+        kept = F.when(
+            reassigned, F.map_filter(state["variables"], lambda k, _: k != s["name"])
+        ).otherwise(state["variables"])
         return F.struct(
             F.when(failed, state["variables"])
             .otherwise(F.map_concat(kept, F.create_map(s["name"], step["result"])))
@@ -186,7 +208,7 @@ def _advance(state: Column, s: Column, strict: bool) -> Column:
         ).cast(_STATE)
 
     return F.when(state["error"].isNotNull(), state).otherwise(
-        let(_evaluate(state, s, strict), record)
+        let(let(_values(state, s, strict), lambda v: _evaluate(v, s)), record)
     )
 
 

@@ -79,9 +79,9 @@ def _item_name(start: Column, items: list[tuple[str, str]]) -> Column:
     return name
 
 
-def _by_items(content: Column, items: list[tuple[str, str]]) -> Column:
+def _by_items(content: Column, items: list[tuple[str, str]], keep_all: bool) -> Column:
     marked = F.regexp_replace(
-        F.translate(content, _MARK, _MARK_STAND_IN), _HEADING, f"{_MARK}$1"
+        F.replace(content, F.lit(_MARK), F.lit(_MARK_STAND_IN)), _HEADING, f"{_MARK}$1"
     )
 
     def named(pieces: Column) -> Column:
@@ -149,7 +149,8 @@ def _by_items(content: Column, items: list[tuple[str, str]]) -> Column:
             lambda s: F.length(s["content"]) > MIN_SECTION_CHARS,
         )
 
-    return let(let(let(let(F.split(marked, _MARK), named), with_starts), cut), _last_of_each)
+    texts = let(let(let(F.split(marked, _MARK), named), with_starts), cut)
+    return texts if keep_all else let(texts, _last_of_each)
 
 
 def _last_of_each(sections: Column) -> Column:
@@ -162,36 +163,51 @@ def _last_of_each(sections: Column) -> Column:
 
 
 def longest_of_each(sections: Column) -> Column:
-    names = F.array_distinct(F.transform(sections, lambda s: s["section"]))
-    return F.transform(
-        names,
-        lambda n: F.array_max(
-            F.transform(
-                F.filter(sections, lambda s: s["section"] == n),
-                lambda s: F.struct(F.length(s["content"]).alias("size"), s.alias("s")),
-            )
-        )["s"],
-    )
+    """For sections split with keep_all: of those with the same name the longest text,
+    which ignores short in-text references to an item."""
+
+    def choose(all_sections: Column) -> Column:
+        names = F.array_distinct(F.transform(all_sections, lambda s: s["section"]))
+        return F.transform(
+            names,
+            lambda n: F.array_max(
+                F.transform(
+                    F.filter(all_sections, lambda s: s["section"] == n),
+                    lambda s: F.struct(F.length(s["content"]).alias("size"), s.alias("s")),
+                )
+            )["s"],
+        )
 
+    return let(sections, choose)
 
-def filing_sections(content: Column, filing_type: Column, widen: bool = False) -> Column:
-    """array<struct<section, content>> of a filing text."""
+
+def filing_sections(
+    content: Column, filing_type: Column, widen: bool = False, keep_all: bool = False
+) -> Column:
+    """array<struct<section, content>> of a filing text. `widen` also accepts numbers
+    followed by a full stop; `keep_all` keeps every section of the same name."""
     fix = widened if widen else (lambda items: items)
     kind = F.upper(filing_type)
-    found = F.when(kind.contains("10-K"), _by_items(content, fix(ANNUAL_ITEMS))).when(
-        kind.contains("10-Q"), _by_items(content, fix(QUARTERLY_ITEMS))
+    found = F.when(kind.contains("10-K"), _by_items(content, fix(ANNUAL_ITEMS), keep_all)).when(
+        kind.contains("10-Q"), _by_items(content, fix(QUARTERLY_ITEMS), keep_all)
     )
     whole = F.array(F.struct(F.lit(WHOLE_DOCUMENT).alias("section"), content.alias("content")))
-    return F.when(F.size(found) > 0, found).otherwise(whole).cast(_SECTIONS)
+    return let(
+        found.cast(_SECTIONS), lambda f: F.when(F.size(f) > 0, f).otherwise(whole.cast(_SECTIONS))
+    )
 
 
 def important_sections(sections: Column) -> Column:
     """The sections that matter most for financial analysis; all if none does."""
     wanted = F.array(*[F.lit(n) for n in IMPORTANT_ITEMS])
-    kept = F.filter(
-        sections, lambda s: F.exists(wanted, lambda w: F.contains(s["section"], w))
-    )
-    return F.when(F.size(kept) > 0, kept).otherwise(sections)
+
+    def choose(all_sections: Column) -> Column:
+        kept = F.filter(
+            all_sections, lambda s: F.exists(wanted, lambda w: F.contains(s["section"], w))
+        )
+        return let(kept, lambda k: F.when(F.size(k) > 0, k).otherwise(all_sections))
+
+    return let(sections, choose)
 
 
 def chunk_bounds(paragraph_words: Column, size: int, overlap: int) -> Column:

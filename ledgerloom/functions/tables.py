@@ -13,7 +13,7 @@ from ledgerloom.functions.numbers import (
     parse_cell,
     parse_float,
 )
-from ledgerloom.functions.text import strip
+from ledgerloom.functions.text import let, strip
 
 # A table is financial if any of these occurs in it.
 FINANCIAL_KEYWORDS = [
@@ -106,7 +106,7 @@ def numeric_columns(headers: Column, rows: Column) -> Column:
 
 
 def table_summary(caption: Column, headers: Column, rows: Column) -> Column:
-    numeric = numeric_columns(headers, rows)
+    numeric = F.array_join(numeric_columns(headers, rows), ", ")
     parts = F.array_compact(
         F.array(
             F.when(F.length(caption) > 0, F.concat(F.lit("Table: "), caption)),
@@ -119,12 +119,17 @@ def table_summary(caption: Column, headers: Column, rows: Column) -> Column:
                 F.concat(F.size(rows).cast("string"), F.lit(" rows of data")),
             ),
             F.when(
-                (F.size(rows) > 0) & (F.size(numeric) > 0),
-                F.concat(F.lit("Numeric columns: "), F.array_join(numeric, ", ")),
+                F.size(rows) > 0,
+                let(
+                    numeric, lambda n: F.when(n != "", F.concat(F.lit("Numeric columns: "), n))
+                ),
             ),
         )
     )
-    return F.when(F.size(parts) > 0, F.array_join(parts, ". ")).otherwise(F.lit(DEFAULT_SUMMARY))
+    return let(
+        parts,
+        lambda p: F.when(F.size(p) > 0, F.array_join(p, ". ")).otherwise(F.lit(DEFAULT_SUMMARY)),
+    )
 
 
 def financial_data(headers: Column, rows: Column) -> Column:
@@ -146,16 +151,20 @@ def financial_data(headers: Column, rows: Column) -> Column:
         ),
         lambda m: (m["position"] > 0) & (F.size(m["values"]) > 0),
     )
-    names = F.array_distinct(F.transform(measured, lambda m: m["metric"]))
-    return F.transform(
-        names,
-        lambda n: F.struct(
-            n.alias("metric"),
-            F.element_at(F.filter(measured, lambda m: m["metric"] == n), -1)["values"].alias(
-                "values"
+
+    def last_of_each(found: Column) -> Column:
+        names = F.array_distinct(F.transform(found, lambda m: m["metric"]))
+        return F.transform(
+            names,
+            lambda n: F.struct(
+                n.alias("metric"),
+                F.element_at(F.filter(found, lambda m: m["metric"] == n), -1)["values"].alias(
+                    "values"
+                ),
             ),
-        ),
-    )
+        )
+
+    return let(measured, last_of_each)
 
 
 def is_financial(caption: Column, headers: Column, rows: Column) -> Column:

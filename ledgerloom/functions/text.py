@@ -7,6 +7,9 @@ from pyspark.sql import Column, functions as F
 # Whitespace as Python's str methods see it: Unicode spaces and the four
 # ASCII separators.
 SPACE = r"[\s\x1c-\x1f]"
+_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(
+    map(chr, [*range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+)
 
 
 def let(value: Column, body) -> Column:
@@ -15,7 +18,7 @@ def let(value: Column, body) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?U)^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(_SPACES))
 
 
 def words(text: Column) -> Column:
@@ -44,7 +47,7 @@ def clean_markdown(markdown: Column) -> Column:
     collapsed = F.regexp_replace(markdown, r"\n{3,}", "\n\n")
     lines = F.transform(
         F.split(collapsed, "\n"),
-        lambda s: fix_table_line(F.regexp_replace(s, rf"(?U){SPACE}+$", "")),
+        lambda s: fix_table_line(F.rtrim(s, F.lit(_SPACES))),
     )
     joined = F.regexp_replace(F.array_join(lines, "\n"), r"(?s)<!--.*?-->", "")
     spaced = F.translate(joined, "\u00a0\u200b", " ")

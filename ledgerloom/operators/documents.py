@@ -109,7 +109,7 @@ def split_sections(
     texts: DataFrame, important_only: bool = False, widen: bool = False, longest: bool = False
 ) -> DataFrame:
     """One row per section of (…, content, filing_type); content becomes the section's."""
-    found = filing_sections(F.col("content"), F.col("filing_type"), widen)
+    found = filing_sections(F.col("content"), F.col("filing_type"), widen, keep_all=longest)
     if longest:
         found = longest_of_each(found)
     if important_only:

@@ -145,7 +145,10 @@ def rerank(
         .withColumn("first_rank", F.col("rank"))
         .withColumn(
             "score",
-            F.round(F.lit(1 - weight) * F.col("score") + F.lit(weight) * scaled, cfg.score_scale),
+            # two more digits: the blend of rounded scores often ends in a half step
+            F.round(
+                F.lit(1 - weight) * F.col("score") + F.lit(weight) * scaled, cfg.score_scale + 2
+            ),
         )
         .withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= (k or cfg.top_k))

@@ -347,7 +347,7 @@ ov AS (SELECT query_id, r.doc_id, score, rank, len(list_intersect(list_distinct(
     FROM pool r JOIN benchmark b ON item_id = query_id JOIN documents d ON d.doc_id = r.doc_id),
 mm AS (SELECT query_id, min(ce) AS lo, max(ce) AS hi FROM ov GROUP BY query_id),
 bl AS (SELECT query_id, doc_id, rank AS r0, round(0.7 * score + 0.3 * (ce - lo)
-    / greatest(hi - lo, 1e-12), 6) AS score FROM ov JOIN mm USING (query_id))
+    / greatest(hi - lo, 1e-12), 8) AS score FROM ov JOIN mm USING (query_id))
 SELECT query_id, doc_id AS doc_key, score,
     {_rank('PARTITION BY query_id ORDER BY score DESC, r0')} AS rank FROM bl QUALIFY rank <= 5""",
         "diversify_by_type": f"""WITH {_bm25_ranked(20)},
@@ -416,7 +416,7 @@ u AS (SELECT doc_id, unnest(l) AS raw, unnest(range(0, len(l))) AS i FROM s),
 k AS (SELECT doc_id, i, raw, {_num_list('raw')} AS n FROM u)
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS pos,
     regexp_replace(raw, '^\s+|\s+$', '', 'g') AS sentence, CAST(len(n) AS INTEGER) AS n_numbers,
-    round(list_sum(n), 4) AS total FROM k WHERE len(n) > 0""",
+    list_max(n) AS largest FROM k WHERE len(n) > 0""",
         "verify_answers": f"""WITH {_ANSWERS}
 SELECT answer_id, n_numbers, n_unverified, n_unverified = 0 AS verified,
     CASE WHEN n_numbers = 0 THEN 'No numbers in answer' WHEN n_unverified = 0
@@ -466,8 +466,8 @@ flag AS (SELECT *, {_IMPORTANT} AS imp, bool_or({_IMPORTANT}) OVER (PARTITION BY
 SELECT doc_id, section, content FROM flag WHERE imp OR NOT has""",
         "chunks": _CHUNKS,
         "qa_documents": _QA_DOCS,
-        "facts_check": f"""{_CLAIMS} SELECT entity, metric, claimed, round(fact, 2) AS fact, verified,
-    reason, CASE WHEN reason = 'Value mismatch' THEN round(abs(claimed - fact), 2) END AS diff,
+        "facts_check": f"""{_CLAIMS} SELECT entity, metric, claimed, round(fact, 8) AS fact, verified,
+    reason, CASE WHEN reason = 'Value mismatch' THEN round(abs(claimed - fact), 6) END AS diff,
     CASE WHEN reason = 'Value mismatch' THEN round(abs(claimed - fact) / fact * 100, 4) END AS diff_pct
 FROM r""",
         "facts_rollup": f"""{_CLAIMS}, g AS (SELECT entity,
