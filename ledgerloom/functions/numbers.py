@@ -47,7 +47,8 @@ def float_text(value: Column) -> Column:
         F.substr(digits, F.lit(1), F.lit(1)),
         fraction,
         F.when(exponent < 0, F.lit("e-")).otherwise(F.lit("e+")),
-        F.lpad(F.abs(exponent).cast("string"), 2, "0"),
+        F.when(F.abs(exponent) < 10, F.lit("0")).otherwise(F.lit("")),
+        F.abs(exponent).cast("string"),
     )
     return F.coalesce(
         plain,

@@ -8,6 +8,8 @@ query before anything is ranked globally.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom.config import EngineConfig
@@ -15,10 +17,19 @@ from ledgerloom.functions.text import tokens
 from ledgerloom.operators.joins import fits, join_small
 
 
-def tokenised(docs: DataFrame) -> DataFrame:
-    """(doc_key, ord, toks, doc_len) of (doc_key, ord, content)."""
-    return docs.select("doc_key", "ord", tokens(F.col("content")).alias("toks")).withColumn(
-        "doc_len", F.size("toks")
+def tokenised(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_key, ord, *keep, toks, doc_len) of (doc_key, ord, content, *keep)."""
+    return docs.select(
+        "doc_key", "ord", *keep, tokens(F.col("content")).alias("toks")
+    ).withColumn("doc_len", F.size("toks"))
+
+
+def exploded(toks: DataFrame, words: Column) -> DataFrame:
+    """One row per word. The outer form keeps the optimizer from adding a size filter
+    on the word array, which would split every text a second time."""
+    rest = [c for c in toks.columns if c != "toks"]
+    return toks.select(*rest, F.explode_outer(words).alias("token")).filter(
+        F.col("token").isNotNull()
     )
 
 
@@ -32,7 +43,7 @@ def corpus_stats(toks: DataFrame) -> DataFrame:
 def document_frequency(toks: DataFrame) -> DataFrame:
     """(token, df); counts are combined before the shuffle."""
     return (
-        toks.select(F.explode(F.array_distinct("toks")).alias("token"))
+        exploded(toks.select("toks"), F.array_distinct("toks"))
         .groupBy("token")
         .agg(F.count(F.lit(1)).alias("df"))
     )
@@ -65,17 +76,21 @@ def term_weight(tf: Column, doc_len: Column, avg_len: Column, cfg: EngineConfig)
     return tf * (k1 + 1) / (tf + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * doc_len / avg_len))
 
 
-def _counted_words(docs: DataFrame) -> DataFrame:
-    by_doc = tokenised(docs.select("doc_key", "ord", "content").repartition("doc_key"))
+def _counted_words(docs: DataFrame, keep: Sequence[str]) -> DataFrame:
+    by_doc = tokenised(
+        docs.select("doc_key", "ord", "content", *keep).repartition("doc_key"), keep
+    )
     return (
-        by_doc.select("doc_key", "ord", "doc_len", F.explode("toks").alias("token"))
-        .groupBy("doc_key", "ord", "doc_len", "token")
+        exploded(by_doc, F.col("toks"))
+        .groupBy("doc_key", "ord", *keep, "doc_len", "token")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
 
 
-def _stored_words(terms: DataFrame) -> DataFrame:
-    return terms.repartition("doc_key").select("doc_key", "ord", "doc_len", F.inline("terms"))
+def _stored_words(terms: DataFrame, keep: Sequence[str]) -> DataFrame:
+    return terms.repartition("doc_key").select(
+        "doc_key", "ord", *keep, "doc_len", F.inline("terms")
+    )
 
 
 def bm25_scores(
@@ -85,8 +100,10 @@ def bm25_scores(
     df: DataFrame | None = None,
     stats: DataFrame | None = None,
     terms: DataFrame | None = None,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """(query_id, doc_key, ord, bm25) for every document sharing a word with the query.
+    """(query_id, doc_key, ord, *keep, bm25) for every document sharing a word with the
+    query; `keep` names small document columns to carry along.
 
     `df`, `stats` and the counted `terms` per document may come from a persisted
     index; by default they are computed from `docs`. Rows are partitioned by doc_key.
@@ -102,27 +119,34 @@ def bm25_scores(
     bounds = dict(max_rows=cfg.broadcast_max_rows, salts=cfg.salt_buckets, known_small=small)
     weights = join_small(idf, wanted, ["token"], spread=["token"], **bounds).select("query_id", "token", (F.col("qtf") * F.col("idf")).alias("weight"))
 
-    counted = _counted_words(docs) if terms is None else _stored_words(terms)
+    counted = _counted_words(docs, keep) if terms is None else _stored_words(terms, keep)
     hits = join_small(counted, weights, ["token"], spread=["doc_key"], **bounds)
     part = F.col("weight") * term_weight(F.col("tf"), F.col("doc_len"), avg_len, cfg)
     return (
-        hits.groupBy("query_id", "doc_key", "ord")
+        hits.groupBy("query_id", "doc_key", "ord", *keep)
         .agg(F.sum(part).alias("bm25"))
         .withColumn("bm25", F.round("bm25", cfg.score_scale))
     )
 
 
-def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, cfg: EngineConfig) -> DataFrame:
-    """(query_id, doc_key, score, rank) of the k best documents per query."""
+def best_per_query(scores: DataFrame, k: int) -> DataFrame:
+    """Scores cut to the k best per query, as score and rank."""
     best = Window.partitionBy("query_id").orderBy(F.col("bm25").desc(), "ord")
     return (
-        bm25_scores(queries, docs, cfg)
-        .withColumn("rank", F.row_number().over(best))
+        scores.withColumn("rank", F.row_number().over(best))
         .filter(F.col("rank") <= k)
-        .select("query_id", "doc_key", F.col("bm25").alias("score"), "rank")
+        .withColumnRenamed("bm25", "score")
+        .drop("ord")
     )
 
 
+def bm25_topk(
+    queries: DataFrame, docs: DataFrame, k: int, cfg: EngineConfig, keep: Sequence[str] = ()
+) -> DataFrame:
+    """(query_id, doc_key, *keep, score, rank) of the k best documents per query."""
+    return best_per_query(bm25_scores(queries, docs, cfg, keep=keep), k)
+
+
 def scoped_topk(
     queries: DataFrame, docs: DataFrame, scopes: DataFrame, scope: str, k: int, cfg: EngineConfig
 ) -> DataFrame:
@@ -131,12 +155,8 @@ def scoped_topk(
     scopes: (query_id, scope); `scope` names the column of docs it must equal. Unlike
     filtering a finished ranking this always finds k if the scope holds them.
     """
-    best = Window.partitionBy("query_id").orderBy(F.col("bm25").desc(), "ord")
-    labelled = bm25_scores(queries, docs, cfg).join(
-        docs.select("doc_key", F.col(scope).alias("scope")), "doc_key"
-    )
     inside = join_small(
-        labelled,
+        bm25_scores(queries, docs, cfg, keep=[scope]).withColumnRenamed(scope, "scope"),
         scopes,
         ["query_id", "scope"],
         cfg.broadcast_max_rows,
@@ -144,8 +164,4 @@ def scoped_topk(
         ["doc_key"],
         known_small=fits(queries, cfg.broadcast_max_rows),
     )
-    return (
-        inside.withColumn("rank", F.row_number().over(best))
-        .filter(F.col("rank") <= k)
-        .select("query_id", "doc_key", F.col("bm25").alias("score"), "rank")
-    )
+    return best_per_query(inside, k).select("query_id", "doc_key", "score", "rank")

@@ -186,7 +186,8 @@ def filing_documents(
         F.col("chunk_id").alias("idx"),
         F.create_map(F.lit("word_count"), F.col("word_count").cast("string")).alias("metadata"),
     )
-    tables = base.select(*ids, F.inline("tables"))
+    # the outer form keeps a size filter, and with it a second parse, off the scan
+    tables = base.select(*ids, F.inline_outer("tables")).filter(F.col("table_id").isNotNull())
     table_id = F.concat_ws("_", accession, F.lit("table"), "table_id")
     table_chunks = tables.select(
         *ids,

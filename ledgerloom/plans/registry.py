@@ -7,7 +7,7 @@ built row by row from the given rows, so the work grows with the data.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ledgerloom.config import EngineConfig
 from ledgerloom.functions import numbers as N
@@ -117,7 +117,7 @@ def vector_topk(spark, sf):
 
 def text_embedding(spark, sf):
     vectors = _embedded(corpus(spark, sf), "content")
-    return vectors.select("doc_key", F.posexplode("embedding").alias("feature", "weight")).filter(
+    return vectors.select("doc_key", F.posexplode_outer("embedding").alias("feature", "weight")).filter(
         F.col("weight") != 0
     ).select("doc_key", "feature", F.round(F.col("weight").cast("double"), 5).alias("weight"))
 
@@ -140,40 +140,37 @@ def hybrid_rerank(spark, sf):
     ).select("query_id", "doc_key", "score", "rank")
 
 
-def _typed_results(spark, sf, k):
+def diversify_by_type(spark, sf):
     """BM25 results with the document language standing for a document type."""
     kind = (
         F.when(F.col("lang") == "en", "text")
         .when(F.col("lang") == "fr", "table")
         .otherwise("table_summary")
     )
-    found = bm25.bm25_topk(questions(spark, sf), corpus(spark, sf), k, CONFIG)
-    docs = corpus(spark, sf).select("doc_key", kind.alias("doc_type"), "source")
-    return hybrid.with_documents(found, docs, CONFIG)
-
-
-def diversify_by_type(spark, sf):
-    return hybrid.diversify(_typed_results(spark, sf, 20), CONFIG.top_k).select(
+    found = bm25.bm25_topk(questions(spark, sf), corpus(spark, sf), 20, CONFIG, keep=["lang"])
+    return hybrid.diversify(found.withColumn("doc_type", kind), CONFIG.top_k).select(
         "query_id", "doc_key", "doc_type", "score", "rank"
     )
 
 
-def _scopes(results: DataFrame) -> DataFrame:
-    """Source of the best result per query: the scope its evidence must come from."""
-    return results.filter(F.col("rank") == 1).select("query_id", F.col("source").alias("scope"))
-
-
 def postfilter_topk(spark, sf):
-    found = _typed_results(spark, sf, 2 * CONFIG.top_k)
-    scoped = found.join(_scopes(found), "query_id")
+    """Of the 2k best results those from the source of the very best one."""
+    found = bm25.bm25_topk(
+        questions(spark, sf), corpus(spark, sf), 2 * CONFIG.top_k, CONFIG, keep=["source"]
+    )
+    first = F.first("source").over(Window.partitionBy("query_id").orderBy("rank"))
+    scoped = found.withColumn("scope", first)
     return hybrid.post_filter(scoped, F.col("source") == F.col("scope"), CONFIG.top_k).select(
         "query_id", "doc_key", "score", "rank"
     )
 
 
 def prefilter_topk(spark, sf):
+    """The best results within the source of the very best one."""
     docs, asked = corpus(spark, sf), questions(spark, sf)
-    scopes = _scopes(_typed_results(spark, sf, 1))
+    scopes = bm25.bm25_topk(asked, docs, 1, CONFIG, keep=["source"]).select(
+        "query_id", F.col("source").alias("scope")
+    )
     return bm25.scoped_topk(asked, docs, scopes, "source", CONFIG.top_k, CONFIG)
 
 
@@ -288,7 +285,7 @@ def _answers_and_evidence(spark, sf):
             F.col("o_orderpriority"), F.lit("."),
         ).alias("answer"),
     )
-    lines = _read(spark, sf, "lineitem")
+    lines = _busy(spark, sf, "lineitem")
     evidence = lines.join(
         orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("customer")),
         "l_orderkey",

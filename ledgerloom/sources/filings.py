@@ -54,7 +54,7 @@ def read_feed(spark: SparkSession, path: str) -> DataFrame:
     return feed_entries(entries)
 
 
-def feed_entries(entries: DataFrame) -> DataFrame:
+def feed_entries(entries: DataFrame, *keep: str) -> DataFrame:
     """The first long link part with a hyphen is the accession number; entries
     without it or without a date are dropped."""
     parts = F.split(F.get(F.col("link"), F.lit(0))["_href"], "/")
@@ -62,6 +62,7 @@ def feed_entries(entries: DataFrame) -> DataFrame:
         F.filter(parts, lambda p: F.contains(p, F.lit("-")) & (F.length(p) > 10)), F.lit(0)
     )
     return entries.select(
+        *keep,
         accession.alias("accession_number"),
         F.split_part("updated", F.lit("T"), F.lit(1)).alias("filing_date"),
     ).filter(F.col("accession_number").isNotNull() & (F.col("filing_date") != ""))
