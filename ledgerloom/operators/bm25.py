@@ -123,8 +123,9 @@ def bm25_scores(
     hits = join_small(counted, weights, ["token"], spread=["doc_key"], **bounds)
     part = F.col("weight") * term_weight(F.col("tf"), F.col("doc_len"), avg_len, cfg)
     return (
-        hits.groupBy("query_id", "doc_key", "ord", *keep)
-        .agg(F.sum(part).alias("bm25"))
+        hits.withColumn("part", part)
+        .groupBy("query_id", "doc_key", "ord", *keep)
+        .agg(F.sum("part").alias("bm25"))
         .withColumn("bm25", F.round("bm25", cfg.score_scale))
     )
 

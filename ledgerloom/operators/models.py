@@ -22,7 +22,7 @@ class FirstNumbersModel:
 
     def generate(self, prompt: str, temperature: float, sample: int) -> str:
         bodies = re.findall(r"Content: (.*)", prompt) or [prompt.split("EXCERPTS\n")[-1]]
-        text = " ".join(bodies).replace(",", "")
+        text = re.sub(r"\[[^\]]*\]", " ", " ".join(bodies)).replace(",", "")
         numbers = re.findall(r"-?\d+\.?\d*", text)
         if "PROGRAM:" not in prompt:
             sentences = [s for s in re.split(r"[.!?]\s", text) if re.search(r"\d", s)]

@@ -14,14 +14,18 @@ from ledgerloom.operators.documents import qa_documents, with_index_order
 from ledgerloom.operators.hybrid import diversify, post_filter, retrieve
 from ledgerloom.operators.models import TextModel
 from ledgerloom.operators.programs import answer_by_vote, write_with_repair
+from ledgerloom.session import materialise
 
 
 def index_examples(examples: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
-    """Chunks of examples with doc_key, ord and embedding, ready to be searched."""
+    """Chunks of examples with doc_key, ord and embedding, ready to be searched. They
+    are computed once, so every later step sees the same order."""
     chunks = with_index_order(
         qa_documents(examples, with_summary=cfg.table_summary_enabled), "doc_id"
     )
-    return chunks.withColumn("embedding", embed_text(F.col("content"), cfg.embedding_dim))
+    return materialise(
+        chunks.withColumn("embedding", embed_text(F.col("content"), cfg.embedding_dim))
+    )
 
 
 def ask_examples(examples: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:

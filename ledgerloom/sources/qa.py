@@ -25,10 +25,15 @@ def _program_text(program: Column) -> Column:
 def load_split(spark: SparkSession, root: str, split: str) -> DataFrame:
     """Examples of one split; raises if the file is missing. An example without id
     and uid is numbered by its place in the file."""
-    raw = spark.read.schema(_RAW).option("multiLine", True).json(f"{root}/{split}.json")
+    raw = (
+        spark.read.schema(_RAW)
+        .option("multiLine", True)
+        .json(f"{root}/{split}.json")
+        .withColumn("place", F.monotonically_increasing_id())
+    )
     empty = F.array().cast("array<string>")
     return raw.select(
-        F.coalesce("id", "uid", F.monotonically_increasing_id().cast("string")).alias("id"),
+        F.coalesce("id", "uid", F.col("place").cast("string")).alias("id"),
         F.coalesce("qa.question", F.lit("")).alias("question"),
         F.coalesce("pre_text", empty).alias("pre_text"),
         F.coalesce("post_text", empty).alias("post_text"),
