@@ -60,6 +60,8 @@ class EngineConfig:
     query_block_rows: int = 4096
     corpus_block_rows: int = 65_536
     salt_buckets: int = 16
+    # keys with more rows than this are spread over salt_buckets partitions
+    hot_rows: int = 1_000_000
 
     def replace(self, **changes) -> "EngineConfig":
         return dataclasses.replace(self, **changes)

@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ledgerloom.config import EngineConfig
 from ledgerloom.functions.vectors import embed_text
 from ledgerloom.operators.bm25 import document_frequency, tokenised
+from ledgerloom.operators.joins import fits
+from ledgerloom.session import materialise
 
 _TABLES = ["chunks", "terms", "term_df", "corpus_stats"]
 
@@ -53,10 +55,17 @@ def add_to_index(
     """Append chunks (chunk schema with doc_key and ord) whose key is not indexed yet."""
     spark = chunks.sparkSession
     if _exists(spark, f"{root}/chunks"):
+        # parsing happens once; the keys are looked up before the rows are written
+        chunks = materialise(chunks)
         others = spark.read.parquet(f"{root}/chunks").filter(F.col("batch") != batch)
         known = others.select("doc_key")
-        start = F.coalesce(others.agg((F.max("ord") + 1).alias("n")).scalar(), F.lit(0))
-        chunks = chunks.join(known, "doc_key", "left_anti").withColumn("ord", F.col("ord") + start)
+        if fits(chunks, cfg.broadcast_max_rows):
+            # a small batch: scan the key column of the index, shuffle nothing
+            known = known.join(F.broadcast(chunks.select("doc_key")), "doc_key", "left_semi")
+        start = others.agg(F.max("ord").alias("last")).first()["last"]
+        chunks = chunks.join(known, "doc_key", "left_anti").withColumn(
+            "ord", F.col("ord") + F.lit(0 if start is None else start + 1)
+        )
     vector = embed_text(F.col("content"), cfg.embedding_dim) if embed is None else embed
     _write(chunks.withColumn("embedding", vector), root, "chunks", batch)
     stored = spark.read.parquet(f"{root}/chunks/batch={batch}")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom.config import EngineConfig
 from ledgerloom.functions.numbers import close, extract_numbers, unmatched
+from ledgerloom.operators.joins import join_hot
 
 # Rollup messages.
 ALL_VERIFIED = "All numbers verified"
@@ -38,44 +39,61 @@ def _reach(relative: float | None) -> int:
     return 2 + math.ceil(-math.log1p(-relative) / math.log1p(relative / 2))
 
 
-def match_numbers(
-    targets: DataFrame,
-    candidates: DataFrame,
-    group: str,
-    absolute: float,
-    relative: float | None = None,
+def _neighbours(
+    candidates: DataFrame, group: str, absolute: float, relative: float | None
 ) -> DataFrame:
-    """Distinct (group, number, found): whether a candidate of the group is close.
-
-    Per group, the numbers close to a target form one interval around it. The
-    candidates are reduced to the least and greatest number per narrow bucket, by
-    aggregation that combines before it shuffles, and every distinct target looks
-    up its neighbouring buckets. A group holding a large part of all rows thus
-    becomes many small keys, and no target-candidate pairs are formed.
-    """
-    bounds = (
+    """Per (group, bucket): least and greatest candidate inside, the nearest one below
+    and the nearest one above within reach."""
+    own = (
         candidates.select(group, "number")
         .withColumn("bucket", _bucket(F.col("number"), absolute, relative))
         .groupBy(group, "bucket")
         .agg(F.min("number").alias("low"), F.max("number").alias("high"))
     )
     reach = _reach(relative)
-    probes = (
-        targets.select(group, "number")
-        .distinct()
-        .withColumn("own", _bucket(F.col("number"), absolute, relative))
-        .withColumn("bucket", F.explode(F.sequence(F.col("own") - reach, F.col("own") + reach)))
-    )
-    number, low, high = F.col("number"), F.col("low"), F.col("high")
-    hit = (
-        close(number, low, absolute, relative)
-        | close(number, high, absolute, relative)
-        | number.between(low, high)
+    shift = F.col("shift")
+    return (
+        own.withColumn("shift", F.explode(F.sequence(F.lit(-reach), F.lit(reach))))
+        .withColumn("bucket", F.col("bucket") + shift)
+        .groupBy(group, "bucket")
+        .agg(
+            F.max(F.when(shift == 0, F.col("low"))).alias("low"),
+            F.max(F.when(shift == 0, F.col("high"))).alias("high"),
+            F.max(F.when(shift > 0, F.col("high"))).alias("below"),
+            F.min(F.when(shift < 0, F.col("low"))).alias("above"),
+        )
     )
+
+
+def mark_matches(
+    targets: DataFrame,
+    candidates: DataFrame,
+    group: str,
+    absolute: float,
+    relative: float | None = None,
+    cfg: EngineConfig = EngineConfig(),
+) -> DataFrame:
+    """targets (group, number, …) with `found`: whether a candidate of the group is close.
+
+    Per group, the numbers close to a target form one interval around it, so only the
+    nearest candidates matter. Candidates are reduced to one row per narrow bucket, by
+    aggregation that combines before it shuffles, and every target looks up its own
+    bucket: one row against one row. A group holding a large part of all rows becomes
+    many keys, no target-candidate pairs are formed, and a bucket that is itself
+    frequent among the targets is spread.
+    """
+    placed = targets.withColumn("bucket", _bucket(F.col("number"), absolute, relative))
+    near = _neighbours(candidates, group, absolute, relative)
+    number = F.col("number")
+    hit = number.between(F.col("low"), F.col("high"))
+    for side in ("low", "high", "below", "above"):
+        hit = F.coalesce(hit, F.lit(False)) | F.coalesce(
+            close(number, F.col(side), absolute, relative), F.lit(False)
+        )
     return (
-        probes.join(bounds, [group, "bucket"], "left")
-        .groupBy(group, "number")
-        .agg(F.max(F.coalesce(hit, F.lit(False))).alias("found"))
+        join_hot(placed, near, [group, "bucket"], "left", cfg.hot_rows, cfg.salt_buckets)
+        .withColumn("found", hit)
+        .select(*targets.columns, "found")
     )
 
 
@@ -105,15 +123,13 @@ def verify_answers(
         )
     claimed = answer_numbers(answers, group, "answer")
     known = evidence.select(group, F.explode(extract_numbers(F.col("content"))).alias("number"))
-    checked = match_numbers(claimed, known, group, cfg.verify_tolerance, cfg.verify_tolerance)
+    tolerance = cfg.verify_tolerance
     per_answer = (
-        claimed.groupBy("answer_id", group, "number")
-        .agg(F.count(F.lit(1)).alias("times"))
-        .join(checked, [group, "number"])
+        mark_matches(claimed, known, group, tolerance, tolerance, cfg)
         .groupBy("answer_id")
         .agg(
-            F.sum("times").alias("n_numbers"),
-            F.sum(F.when(F.col("found"), 0).otherwise(F.col("times"))).alias("n_unverified"),
+            F.count(F.lit(1)).alias("n_numbers"),
+            F.count_if(~F.col("found")).alias("n_unverified"),
         )
     )
     total = F.coalesce("n_numbers", F.lit(0))

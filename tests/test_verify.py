@@ -42,7 +42,10 @@ def test_matching_against_all_pairs(spark, targets, known, relative):
     targets = targets + [k * 1.0099 for k in known] + [k * 0.9901 for k in known] + [k + 0.0099 for k in known]
     left = spark.createDataFrame([("g", t) for t in targets], "g string, number double")
     right = spark.createDataFrame([("g", k) for k in known] + [("other", t) for t in targets], "g string, number double")
-    got = {r.number: r.found for r in verify.match_numbers(left, right, "g", 0.01, relative).filter("g = 'g'").collect()}
+    cfg = CFG.replace(hot_rows=2, salt_buckets=3)
+    marked = verify.mark_matches(left, right, "g", 0.01, relative, cfg).collect()
+    assert len(marked) == len(targets)
+    got = {r.number: r.found for r in marked}
     for t in targets:
         expected = any(
             abs(t - k) < 0.01 or (relative and k != 0 and abs(t - k) / abs(k) < relative) for k in known
@@ -52,10 +55,8 @@ def test_matching_against_all_pairs(spark, targets, known, relative):
 
 def test_one_hot_group_becomes_many_keys(spark):
     hot = spark.range(20000).select(F.lit("hot").alias("g"), (F.col("id") % 5000 / 7).alias("number"))
-    matched = verify.match_numbers(hot, hot, "g", 0.01, 0.01)
-    assert matched.count() == 5000 and matched.filter("not found").isEmpty()
-    plan = matched._jdf.queryExecution().optimizedPlan().toString()
-    assert "Join LeftOuter" in plan and "bucket" in plan
+    matched = verify.mark_matches(hot, hot, "g", 0.01, 0.01, CFG.replace(hot_rows=50))
+    assert matched.count() == 20000 and matched.filter("not found").isEmpty()
 
 
 def test_answers_with_repeats(spark):
