@@ -39,29 +39,31 @@ def _reach(relative: float | None) -> int:
     return 2 + math.ceil(-math.log1p(-relative) / math.log1p(relative / 2))
 
 
-def _neighbours(
+def _block(bucket: Column, reach: int) -> Column:
+    """Wide block of a bucket; four reaches wide, so few buckets lie near an edge."""
+    return F.floor(bucket / F.lit(4 * reach)).cast("bigint")
+
+
+def _blocks(
     candidates: DataFrame, group: str, absolute: float, relative: float | None
 ) -> DataFrame:
-    """Per (group, bucket): least and greatest candidate inside, the nearest one below
-    and the nearest one above within reach."""
-    own = (
+    """Per (group, block) the (low, high) ranges of all candidates that can match a
+    target of the block. A block has a fixed number of buckets and every bucket one
+    range, so the lists are bounded however many candidates there are."""
+    reach = _reach(relative)
+    ranges = (
         candidates.select(group, "number")
         .withColumn("bucket", _bucket(F.col("number"), absolute, relative))
         .groupBy(group, "bucket")
         .agg(F.min("number").alias("low"), F.max("number").alias("high"))
     )
-    reach = _reach(relative)
-    shift = F.col("shift")
+    touched = F.sequence(
+        _block(F.col("bucket") - reach, reach), _block(F.col("bucket") + reach, reach)
+    )
     return (
-        own.withColumn("shift", F.explode(F.sequence(F.lit(-reach), F.lit(reach))))
-        .withColumn("bucket", F.col("bucket") + shift)
-        .groupBy(group, "bucket")
-        .agg(
-            F.max(F.when(shift == 0, F.col("low"))).alias("low"),
-            F.max(F.when(shift == 0, F.col("high"))).alias("high"),
-            F.max(F.when(shift > 0, F.col("high"))).alias("below"),
-            F.min(F.when(shift < 0, F.col("low"))).alias("above"),
-        )
+        ranges.withColumn("block", F.explode(touched))
+        .groupBy(group, "block")
+        .agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
     )
 
 
@@ -75,24 +77,26 @@ def mark_matches(
 ) -> DataFrame:
     """targets (group, number, …) with `found`: whether a candidate of the group is close.
 
-    Per group, the numbers close to a target form one interval around it, so only the
-    nearest candidates matter. Candidates are reduced to one row per narrow bucket, by
-    aggregation that combines before it shuffles, and every target looks up its own
-    bucket: one row against one row. A group holding a large part of all rows becomes
-    many keys, no target-candidate pairs are formed, and a bucket that is itself
-    frequent among the targets is spread.
+    Numbers close to a target form one interval around it. Candidates are reduced to
+    one range per narrow bucket, by aggregation that combines before it shuffles, and
+    the few ranges of a block of buckets are looked up once per target. A group that
+    holds a large part of all rows becomes many keys, no target-candidate pairs are
+    formed, and a block that is itself frequent among the targets is spread.
     """
-    placed = targets.withColumn("bucket", _bucket(F.col("number"), absolute, relative))
-    near = _neighbours(candidates, group, absolute, relative)
+    reach = _reach(relative)
+    bucket = _bucket(F.col("number"), absolute, relative)
+    placed = targets.withColumn("block", _block(bucket, reach))
+    near = _blocks(candidates, group, absolute, relative)
     number = F.col("number")
-    hit = number.between(F.col("low"), F.col("high"))
-    for side in ("low", "high", "below", "above"):
-        hit = F.coalesce(hit, F.lit(False)) | F.coalesce(
-            close(number, F.col(side), absolute, relative), F.lit(False)
-        )
+    hit = F.exists(
+        "ranges",
+        lambda r: number.between(r["low"], r["high"])
+        | close(number, r["low"], absolute, relative)
+        | close(number, r["high"], absolute, relative),
+    )
     return (
-        join_hot(placed, near, [group, "bucket"], "left", cfg.hot_rows, cfg.salt_buckets)
-        .withColumn("found", hit)
+        join_hot(placed, near, [group, "block"], "left", cfg.hot_rows, cfg.salt_buckets)
+        .withColumn("found", F.coalesce(hit, F.lit(False)))
         .select(*targets.columns, "found")
     )
 
