@@ -19,10 +19,12 @@ def cache_lookup(
 
     probes: (query_id, embedding); entries: (query, embedding, value, ord). The
     most similar entry counts, the oldest on ties, and only from the threshold on.
+    With a `scope` on both sides only entries of the probe's scope are compared.
     """
     limit = cfg.cache_threshold if threshold is None else threshold
-    keyed = entries.select(F.col("ord").alias("doc_key"), "ord", "embedding")
-    best = nearest_entry(probes.select("query_id", "embedding"), keyed, cfg)
+    scope = [c for c in ("scope",) if c in probes.columns and c in entries.columns]
+    keyed = entries.select(F.col("ord").alias("doc_key"), "ord", "embedding", *scope)
+    best = nearest_entry(probes.select("query_id", "embedding", *scope), keyed, cfg)
     values = entries.select("ord", "value")
     return (
         join_small(
@@ -59,3 +61,21 @@ def split_known(questions: DataFrame, known: DataFrame) -> tuple[DataFrame, Data
         questions.join(latest.select(*keys, "value"), keys),
         questions.join(latest.select(*keys), keys, "left_anti"),
     )
+
+
+def reuse_results(
+    questions: DataFrame, entries: DataFrame, cfg: EngineConfig = EngineConfig()
+) -> tuple[DataFrame, DataFrame]:
+    """(reused, open): (query_id, value) from the cache, and the questions left.
+
+    questions: (query_id, scope, query, embedding); entries: (scope, query, embedding,
+    value, ord), of which the newest cache_max_entries are looked at. The same text
+    in the same scope is reused first, then a similar text of that scope.
+    """
+    if not cfg.cache_enabled:
+        return questions.select("query_id", F.lit(None).cast("string").alias("value")).limit(0), questions
+    newest = entries.orderBy(F.col("ord").desc()).limit(cfg.cache_max_entries)
+    same, others = split_known(questions, newest)
+    similar = cache_lookup(others, newest, cfg).filter("is_hit").select("query_id", "value")
+    reused = same.select("query_id", "value").unionByName(similar)
+    return reused, questions.join(reused.select("query_id"), "query_id", "left_anti")

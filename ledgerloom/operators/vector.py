@@ -140,32 +140,41 @@ def nearest_entry(
     """(query_id, doc_key, ord, similarity): the single most similar entry per probe.
 
     probes: (query_id, embedding); entries: (doc_key, ord, embedding). With few
-    entries they are broadcast and every probe row is answered in place.
+    entries they are broadcast and every probe row is answered in place. If both
+    sides have a `scope`, only entries of the probe's scope count.
     """
+    scoped = "scope" in probes.columns and "scope" in entries.columns
+    extra = ["scope"] if scoped else []
     if not fits(entries, cfg.query_block_rows):
+        if scoped:
+            raise ValueError("scoped entries must fit one block; keep fewer of them")
         return vector_topk(probes, entries, 1, cfg).select(
             "query_id",
             "doc_key",
             "ord",
             F.round(1 - F.col("distance"), cfg.score_scale).alias("similarity"),
         )
-    block = entries.select("doc_key", "ord", "embedding").orderBy("ord").toPandas()
+    block = entries.select("doc_key", "ord", "embedding", *extra).orderBy("ord").toPandas()
     shared = probes.sparkSession.sparkContext.broadcast(
         (
             block["doc_key"].to_numpy(),
             block["ord"].to_numpy(),
             stack(block["embedding"]) if len(block) else None,
+            block["scope"].to_numpy() if scoped else None,
         )
     )
     scale = cfg.score_scale
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, ords, matrix = shared.value
+        keys, ords, matrix, scopes = shared.value
         for batch in batches:
             if len(batch) and len(keys):
                 similarity = np.round(cosine_matrix(stack(batch["embedding"]), matrix), scale)
+                if scopes is not None:
+                    same = batch["scope"].to_numpy()[:, None] == scopes[None, :]
+                    similarity = np.where(same, similarity, -np.inf)
                 best = similarity.argmax(axis=1)
-                yield pd.DataFrame(
+                found = pd.DataFrame(
                     {
                         "query_id": batch["query_id"],
                         "doc_key": keys[best],
@@ -173,6 +182,7 @@ def nearest_entry(
                         "similarity": similarity[np.arange(len(batch)), best],
                     }
                 )
+                yield found[np.isfinite(found["similarity"])]
 
     schema = (
         StructType()
@@ -181,4 +191,4 @@ def nearest_entry(
         .add("ord", entries.schema["ord"].dataType)
         .add("similarity", "double")
     )
-    return probes.select("query_id", "embedding").mapInPandas(answer, schema)
+    return probes.select("query_id", "embedding", *extra).mapInPandas(answer, schema)

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from ledgerloom.config import EngineConfig
 from ledgerloom.functions.numbers import evidence_numbers, extract_numbers
+from ledgerloom.functions.programs import execute_program
 from ledgerloom.functions.vectors import embed_text
 from ledgerloom.operators import metrics
+from ledgerloom.operators.cache import reuse_results
 from ledgerloom.operators.documents import qa_documents, with_index_order
 from ledgerloom.operators.hybrid import diversify, post_filter, retrieve
 from ledgerloom.operators.models import TextModel
@@ -90,10 +92,9 @@ def answer_questions(
     The answer is voted among samples, or the program is repaired up to the allowed
     number of attempts if sampling is off.
     """
-    from ledgerloom.functions.programs import execute_program
-
     evidence = find_evidence(queries, chunks, cfg, own_question, stored)
-    asked = _with_numbers(queries, evidence)
+    # at most k pieces per question; kept so that retrieval runs once
+    asked = materialise(_with_numbers(queries, evidence))
     if cfg.self_consistency and not cfg.baseline_mode:
         voted, runs = answer_by_vote(asked, model, cfg)
         samples = runs.groupBy("question_id").agg(
@@ -132,6 +133,25 @@ def answer_questions(
     )
 
 
+def answer_with_cache(
+    queries: DataFrame,
+    entries: DataFrame,
+    chunks: DataFrame,
+    model: Callable[[], TextModel],
+    cfg: EngineConfig = EngineConfig(),
+    own_question: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """(reused, fresh): values of cached answers, and answers to the other questions.
+
+    queries carry a scope (question id or ticker); entries are (scope, query,
+    embedding, value, ord). Only entries of the same scope are reused.
+    """
+    reused, open_queries = reuse_results(queries, entries, cfg)
+    return reused, answer_questions(
+        open_queries.drop("scope"), chunks, model, cfg, own_question
+    )
+
+
 def predict_examples(
     examples: DataFrame, model: Callable[[], TextModel], cfg: EngineConfig = EngineConfig()
 ) -> DataFrame:

@@ -187,6 +187,22 @@ def test_cache(spark):
     assert answered.first().value == "new" and open_.first().scope == "q2"
 
 
+def test_reuse_stays_within_a_scope(spark):
+    entries = spark.createDataFrame(
+        [("q1", "x", [1.0, 0.0], "one", 1), ("q2", "y", [0.9, 0.1], "two", 2)],
+        "scope string, query string, embedding array<double>, value string, ord bigint",
+    )
+    asked = spark.createDataFrame(
+        [("a", "q1", "x", [0.0, 1.0]), ("b", "q2", "z", [1.0, 0.0]), ("c", "q3", "x", [1.0, 0.0]), ("d", "q1", "w", [0.0, 1.0])],
+        "query_id string, scope string, query string, embedding array<double>",
+    )
+    reused, left = cache.reuse_results(asked, entries)
+    assert {r.query_id: r.value for r in reused.collect()} == {"a": "one", "b": "two"}
+    assert {r.query_id for r in left.collect()} == {"c", "d"}
+    off, all_ = cache.reuse_results(asked, entries, CFG.replace(cache_enabled=False))
+    assert off.isEmpty() and all_.count() == 4
+
+
 def chunk_rows(docs):
     extra = {c: F.lit(None).cast(t) for c, t in index_columns().items()}
     return docs.withColumns(extra).withColumn("doc_id", F.col("doc_key")).withColumn("chunk_id", F.lit("c"))

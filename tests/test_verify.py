@@ -85,6 +85,9 @@ def test_facts(spark):
     assert got["cash"].reason == facts.MISSING and got["Other"].diff_pct == float("inf")
     total = facts.facts_rollup(checked).first()
     assert not total.verified and total.discrepancies == ["Other", "total_assets"] and total.n_missing == 1
+    assert facts.verify_facts(claims, reported).first().message == facts.DISABLED
+    on = CFG.replace(verify_facts=True)
+    assert facts.verify_facts(claims, reported, on).first() == total
     only_missing = facts.facts_rollup(checked.filter("metric in ('cash', 'revenue')")).first()
     assert only_missing.verified and only_missing.message == "All values verified"
 
