@@ -53,14 +53,12 @@ def _statements(text: Column, strict: bool) -> Column:
     assigned = F.filter(program_lines(text), lambda s: s.contains("="))
 
     def name_and_body(line: Column) -> Column:
-        at = F.locate("=", line)
-        body = strip(F.substr(line, at + 1))
+        sides = F.split(line, rf"(?U){SPACE}*={SPACE}*", 2)
+        body = F.get(sides, F.lit(1))
         if not strict:
             body = strip(F.split_part(body, F.lit("#"), F.lit(1)))
         return F.struct(
-            line.alias("line"),
-            strip(F.substr(line, F.lit(1), at - 1)).alias("name"),
-            body.alias("body"),
+            line.alias("line"), F.get(sides, F.lit(0)).alias("name"), body.alias("body")
         )
 
     def with_call(s: Column) -> Column:
@@ -83,7 +81,7 @@ def _statements(text: Column, strict: bool) -> Column:
             F.when(~is_call, parse_float(s["body"])).alias("constant"),
             F.when(is_call, s["operation"]).alias("operation"),
             is_list.alias("is_list"),
-            F.when(is_call, F.transform(F.split(inner, ","), strip)).alias("items"),
+            F.when(is_call, F.split(strip(inner), rf"(?U){SPACE}*,{SPACE}*")).alias("items"),
         )
 
     def with_literals(s: Column) -> Column:
@@ -205,7 +203,7 @@ def _advance(state: Column, s: Column, strict: bool) -> Column:
                     F.lit("Error executing line '"), s["line"], F.lit("': "), step["problem"]
                 ),
             ).alias("error"),
-        ).cast(_STATE)
+        )
 
     return F.when(state["error"].isNotNull(), state).otherwise(
         let(let(_values(state, s, strict), lambda v: _evaluate(v, s)), record)
