@@ -41,7 +41,7 @@ def parser() -> argparse.ArgumentParser:
 
 def _download(spark: SparkSession, ticker: str, root: str) -> None:
     """Fetch the newest filings of one ticker and store them under root."""
-    agent = os.environ.get("EDGAR_USER_AGENT", "")
+    agent = os.environ.get("LEDGERLOOM_USER_AGENT", "")
     fetch = partial(http_get, user_agent=agent)
     lookup = f"https://www.sec.gov/cgi-bin/browse-edgar?action=getcompany&company={ticker}&count=1"
     page = (fetch(lookup) or b"").decode("utf-8", "ignore")
