@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import mixing, sharding
+from ledgerloom.llm import mixing, near_dedup, sharding
 from ledgerloom.llm.common import read
 from ledgerloom.session import materialise
 
@@ -16,6 +16,10 @@ SOURCE_TEMPER, LANG_TEMPER, TOPIC_TEMPER = 0.7, 0.8, 0.9
 MIX_SEED = 17
 
 
+def op1_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return near_dedup.near_duplicates(read(spark, sf, "documents"))
+
+
 def op2_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.shard_by_bytes(read(spark, sf, "documents"), SHARDS).select(
         "doc_id",
@@ -117,7 +121,11 @@ def _mixing_sql(sweeps: int = 40) -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_sharding": op2_sharding, "op8_mixing": op8_mixing}
+    return {
+        "op1_near_dedup": op1_near_dedup,
+        "op2_sharding": op2_sharding,
+        "op8_mixing": op8_mixing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
