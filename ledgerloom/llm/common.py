@@ -83,3 +83,9 @@ def carried(df: DataFrame, made: list[str]) -> list[str]:
     """
     lowered = {c.lower() for c in made}
     return [c for c in df.columns if c.lower() not in lowered]
+
+
+def ddl(df: DataFrame, more: str = "") -> str:
+    """The schema of df, with more columns after it, as text."""
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields]
+    return ", ".join([*fields, more] if more else fields)

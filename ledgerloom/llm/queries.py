@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import mixing, near_dedup, sharding
+from ledgerloom.llm import licenses, mixing, near_dedup, sharding, toxicity
 from ledgerloom.llm.common import read
 from ledgerloom.session import materialise
 
@@ -14,6 +14,7 @@ SHARDS = 40
 RAKED = ["source", "lang", "topic"]
 SOURCE_TEMPER, LANG_TEMPER, TOPIC_TEMPER = 0.7, 0.8, 0.9
 MIX_SEED = 17
+TOXIC = 0.7
 
 
 def op1_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
@@ -70,6 +71,60 @@ def op8_mixing(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op9_licenses(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    return licenses.scan_licenses(docs).drop("text", "matches")
+
+
+def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    taught = read(spark, sf, "labels").filter(~held_out)
+    model = toxicity.fit_toxicity(docs, taught)
+    return toxicity.score_toxicity(docs, model).select(
+        "doc_id",
+        held_out.alias("held_out"),
+        F.col("toxicity").alias("score"),
+        F.when(F.col("toxicity") >= TOXIC, 1).otherwise(0).alias("predicted"),
+        F.size("passages").alias("n_passages"),
+    )
+
+
+def _licenses_sql() -> str:
+    phrases = []
+    for phrase, label in licenses.PHRASES.items():
+        parts = phrase.split()
+        same = " AND ".join(f"w[i + {k}] = '{p}'" for k, p in enumerate(parts, 1))
+        phrases.append(
+            f"list_transform(list_filter(range(len(w)), lambda i: {same}),"
+            f" lambda i: {{'at': i, 'label': '{label}'}})"
+        )
+    labels = ", ".join(
+        "CASE WHEN "
+        + " OR ".join(f"regexp_matches(line, ' {licenses.pattern(t)}')" for t in several)
+        + f" THEN '{label}' END"
+        for label, several in licenses.TEMPLATES.items()
+    )
+    return rf"""
+        WITH worded AS (
+          SELECT doc_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+          FROM documents),
+        lined AS (SELECT *, ' ' || array_to_string(w, ' ') || ' ' AS line,
+                    {" || ".join(phrases)} AS base FROM worded),
+        marked AS (SELECT *,
+            list_distinct(list_transform(base, lambda x: x.label)) AS b,
+            list_filter([{labels}], lambda x: x IS NOT NULL) AS t FROM lined)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(base) AS BIGINT) AS n_base,
+          CAST(list_min(list_transform(base, lambda x: x.at)) AS BIGINT) AS first_word,
+          CAST(list_max(list_transform(base, lambda x: x.at)) AS BIGINT) AS last_word,
+          coalesce(array_to_string(list_sort(b), ','), '') AS base_labels,
+          coalesce(array_to_string(list_sort(b || t), ','), '') AS labels,
+          1 - pow(0.5, len(b)) * pow(0.2, len(t)) AS score
+        FROM marked"""
+
+
 def _mixing_sql(sweeps: int = 40) -> str:
     """The same sweeps, unrolled over the few cells."""
     steps = [
@@ -125,8 +180,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_near_dedup": op1_near_dedup,
         "op2_sharding": op2_sharding,
         "op8_mixing": op8_mixing,
+        "op9_licenses": op9_licenses,
+        "op10_toxicity": op10_toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": _mixing_sql()}
+    return {"op8_mixing": _mixing_sql(), "op9_licenses": _licenses_sql()}
