@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import licenses, mixing, near_dedup, sharding, toxicity
+from ledgerloom.llm import licenses, mixing, near_dedup, pieces, sharding, toxicity
 from ledgerloom.llm.common import read
 from ledgerloom.session import materialise
 
@@ -15,6 +16,7 @@ RAKED = ["source", "lang", "topic"]
 SOURCE_TEMPER, LANG_TEMPER, TOPIC_TEMPER = 0.7, 0.8, 0.9
 MIX_SEED = 17
 TOXIC = 0.7
+PIECES = os.environ.get("PIECES_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
 
 def op1_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
@@ -33,6 +35,14 @@ def op2_sharding(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op4_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    vocabulary = pieces.load_vocabulary(PIECES)
+    return pieces.encode_pieces(docs, vocabulary, check=True).select(
+        "doc_id", "n_pieces", "ids", "exact"
+    )
+
+
 def topic_of(text: Column) -> Column:
     """Layout of a text as its topic: table, marked (words run into signs), brief or prose."""
     return (
@@ -179,6 +189,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_dedup": op1_near_dedup,
         "op2_sharding": op2_sharding,
+        "op4_pieces": op4_pieces,
         "op8_mixing": op8_mixing,
         "op9_licenses": op9_licenses,
         "op10_toxicity": op10_toxicity,
