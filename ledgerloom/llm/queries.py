@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import licenses, mixing, near_dedup, pieces, sharding, toxicity
+from ledgerloom.llm import licenses, lm, mixing, near_dedup, pieces, sharding, toxicity
 from ledgerloom.llm.common import read
 from ledgerloom.session import materialise
 
@@ -43,6 +43,19 @@ def op4_pieces(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op5_lm(spark: SparkSession, sf: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    return lm.score_texts(read(spark, sf, "documents"), ~held_out).select(
+        "doc_id",
+        (~F.col("learn")).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        "train_tokens",
+        "base_score",
+        "score",
+    )
+
+
 def topic_of(text: Column) -> Column:
     """Layout of a text as its topic: table, marked (words run into signs), brief or prose."""
     return (
@@ -190,6 +203,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_near_dedup": op1_near_dedup,
         "op2_sharding": op2_sharding,
         "op4_pieces": op4_pieces,
+        "op5_lm": op5_lm,
         "op8_mixing": op8_mixing,
         "op9_licenses": op9_licenses,
         "op10_toxicity": op10_toxicity,
