@@ -7,8 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import licenses, lm, mixing, near_dedup, pieces, sharding, toxicity
+from ledgerloom.llm import exact_search, licenses, lm, mixing, near_dedup, pieces, sharding, toxicity
 from ledgerloom.llm.common import read
+from ledgerloom.llm.vectors import usable
 from ledgerloom.session import materialise
 
 SHARDS = 40
@@ -16,6 +17,7 @@ RAKED = ["source", "lang", "topic"]
 SOURCE_TEMPER, LANG_TEMPER, TOPIC_TEMPER = 0.7, 0.8, 0.9
 MIX_SEED = 17
 TOXIC = 0.7
+EXACT_K = 5
 PIECES = os.environ.get("PIECES_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
 
@@ -56,6 +58,13 @@ def op5_lm(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op7_exact_topk(spark: SparkSession, sf: str) -> DataFrame:
+    kept = usable(read(spark, sf, "embeddings"), "vec_id", F.col("embedding"))
+    vectors = kept.select("id", F.transform("v", lambda x: F.floor(x * 256).cast("double")).alias("v"))
+    found = exact_search.exact_top_k(vectors, vectors.filter(F.col("id") % 50 == 0), EXACT_K)
+    return found.withColumn("score", F.col("score").cast("long"))
+
+
 def topic_of(text: Column) -> Column:
     """Layout of a text as its topic: table, marked (words run into signs), brief or prose."""
     return (
@@ -113,6 +122,24 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _exact_topk_sql() -> str:
+    return f"""
+        WITH kept AS (
+          SELECT vec_id, list_transform(embedding,
+              lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS DOUBLE)) AS v
+          FROM embeddings
+          WHERE embedding IS NOT NULL AND len(embedding) > 0
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (
+          SELECT q.vec_id AS query_id, c.vec_id,
+            CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+          FROM kept q JOIN kept c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+        ranked AS (
+          SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)
+            AS INTEGER) AS rank FROM scored)
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= {EXACT_K}"""
+
+
 def _licenses_sql() -> str:
     phrases = []
     for phrase, label in licenses.PHRASES.items():
@@ -204,6 +231,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_sharding": op2_sharding,
         "op4_pieces": op4_pieces,
         "op5_lm": op5_lm,
+        "op7_exact_topk": op7_exact_topk,
         "op8_mixing": op8_mixing,
         "op9_licenses": op9_licenses,
         "op10_toxicity": op10_toxicity,
@@ -211,4 +239,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": _mixing_sql(), "op9_licenses": _licenses_sql()}
+    return {"op8_mixing": _mixing_sql(), "op9_licenses": _licenses_sql(), "op7_exact_topk": _exact_topk_sql()}
