@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import exact_search, licenses, lm, mixing, near_dedup, pieces, sharding, toxicity
+from ledgerloom.llm import exact_search, licenses, lm, mixing, near_dedup, passages, pieces, sharding, toxicity
 from ledgerloom.llm.common import read
 from ledgerloom.llm.vectors import usable
 from ledgerloom.session import materialise
@@ -58,6 +58,27 @@ def op5_lm(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op6_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents")
+    found = materialise(passages.near_passages(docs))
+    spans = passages.repeated_spans(found).withColumnRenamed("id", "doc_id")
+    copied = found.groupBy(F.col("a").alias("doc_id")).agg(
+        F.count_distinct("b").alias("n_copied_by")
+    )
+    return (
+        docs.select("doc_id")
+        .join(spans, "doc_id", "left")
+        .join(copied, "doc_id", "left")
+        .select(
+            "doc_id",
+            F.coalesce("n_repeated", F.lit(0)).alias("n_repeated"),
+            "spans",
+            "first_docs",
+            F.coalesce("n_copied_by", F.lit(0)).alias("n_copied_by"),
+        )
+    )
+
+
 def op7_exact_topk(spark: SparkSession, sf: str) -> DataFrame:
     kept = usable(read(spark, sf, "embeddings"), "vec_id", F.col("embedding"))
     vectors = kept.select("id", F.transform("v", lambda x: F.floor(x * 256).cast("double")).alias("v"))
@@ -231,6 +252,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_sharding": op2_sharding,
         "op4_pieces": op4_pieces,
         "op5_lm": op5_lm,
+        "op6_substring_dedup": op6_substring_dedup,
         "op7_exact_topk": op7_exact_topk,
         "op8_mixing": op8_mixing,
         "op9_licenses": op9_licenses,
