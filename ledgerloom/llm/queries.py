@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import exact_search, licenses, lm, mixing, near_dedup, passages, pieces, sharding, toxicity
+from ledgerloom.llm import ann, exact_search, licenses, lm, mixing, near_dedup, passages, pieces, sharding, toxicity
 from ledgerloom.llm.common import read
 from ledgerloom.llm.vectors import usable
 from ledgerloom.session import materialise
@@ -18,6 +18,7 @@ SOURCE_TEMPER, LANG_TEMPER, TOPIC_TEMPER = 0.7, 0.8, 0.9
 MIX_SEED = 17
 TOXIC = 0.7
 EXACT_K = 5
+NEAREST = 20
 PIECES = os.environ.get("PIECES_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
 
@@ -37,6 +38,13 @@ def op2_sharding(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op3_ann(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = materialise(
+        usable(read(spark, sf, "embeddings"), "vec_id", F.col("embedding"), zero=False)
+    )
+    return ann.nearest_neighbours(vectors, vectors.filter(F.col("id") % 20 == 0), NEAREST)
+
+
 def op4_pieces(spark: SparkSession, sf: str) -> DataFrame:
     docs = read(spark, sf, "documents").select("doc_id", "text")
     vocabulary = pieces.load_vocabulary(PIECES)
@@ -250,6 +258,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_dedup": op1_near_dedup,
         "op2_sharding": op2_sharding,
+        "op3_ann": op3_ann,
         "op4_pieces": op4_pieces,
         "op5_lm": op5_lm,
         "op6_substring_dedup": op6_substring_dedup,
