@@ -13,7 +13,8 @@ block sends each n-gram that it holds once, with its count, to the bucket of the
 n-gram's hash; the bucket adds up and answers every block in the order it asked. A block
 thus gets the part of the automaton that its texts can reach and runs through them once
 from left to right. Texts are shuffled once (both steps read the same exchange), n-grams
-once, and answers once, as packed arrays.
+once, and answers once, as packed arrays. Only the number of tokens and of distinct
+words is known beforehand, from a first pass that moves each task's distinct words.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ledgerloom.llm.common import mix, word_hashes
 from ledgerloom.session import materialise
 
+_HELD = 4_000_000  # hashes that a task of the first pass holds at most, about
 BLOCK_BYTES = 8 << 20  # text of a block; more saves shuffle, less saves memory
 STRENGTHS = (2.0, 8.0, 32.0, 128.0, 512.0, 2048.0)
 _BEGIN, _END = np.uint64(0xB5297A4D3F84D5B5), np.uint64(0x68E31DA4A1B2C3D5)
@@ -61,6 +63,71 @@ def _edges(buckets: int) -> np.ndarray:
     return np.array([(k << 64) // buckets for k in range(1, buckets)], dtype=np.uint64)
 
 
+def _packed(hashes: np.ndarray) -> bytes:
+    """Ascending hashes as first value and steps, in six bytes each where that is enough."""
+    steps = np.diff(hashes, prepend=np.uint64(0))
+    if len(steps) > 1 and steps[1:].max() < np.uint64(1 << 48):
+        short = np.ascontiguousarray(steps[1:]).view(np.uint8).reshape(-1, 8)[:, :6]
+        return b"s" + steps[:1].tobytes() + short.tobytes()
+    return b"l" + steps.tobytes()
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    first = np.frombuffer(packed[1:9], dtype=np.uint64)
+    if packed[:1] == b"s":
+        wide = np.zeros(((len(packed) - 9) // 6, 8), dtype=np.uint8)
+        wide[:, :6] = np.frombuffer(packed[9:], dtype=np.uint8).reshape(-1, 6)
+        steps = np.concatenate([first, wide.reshape(-1).view(np.uint64)])
+    else:
+        steps = np.frombuffer(packed[1:], dtype=np.uint64)
+    return np.cumsum(steps, dtype=np.uint64)
+
+
+def _distinct_words(buckets: int):
+    """(bucket, hashes, tokens): the distinct tokens of a task's learning texts."""
+    edges = _edges(buckets)
+
+    def emit(parts, n):
+        words = np.unique(np.concatenate(parts))
+        cuts = [0, *np.searchsorted(words, edges).tolist(), len(words)]
+        rows = [(k, _packed(words[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
+        ks, packed = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(ks, pa.int32()),
+                pa.array(packed, pa.binary()),
+                pa.array([n] + [0] * (len(rows) - 1), pa.int64()),
+            ],
+            names=["bucket", "hashes", "tokens"],
+        )
+
+    def run(batches):
+        parts, n, held = [], 0, 0
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                texts = batch.column(0).slice(start, 512).to_pylist()
+                tokens, _ = _tokens(texts)
+                n += len(tokens)
+                parts.append(np.unique(mix(tokens)))
+                held += len(parts[-1])
+                if held > _HELD:
+                    parts = [np.unique(np.concatenate(parts))]
+                    held = len(parts[0])
+                    if held > _HELD // 2:
+                        yield emit(parts, n)
+                        parts, n, held = [], 0, 0
+        if parts:
+            yield emit(parts, n)
+
+    return run
+
+
+def _counted(key, table):
+    kinds = np.unique(np.concatenate([_unpacked(h) for h in table.column("hashes").to_pylist()]))
+    n = sum(table.column("tokens").to_pylist())
+    return pa.table({"n": pa.array([n], pa.int64()), "v": pa.array([len(kinds)], pa.int64())})
+
+
 def _requests(order: int, buckets: int):
     edges = _edges(buckets)
 
@@ -76,7 +143,7 @@ def _requests(order: int, buckets: int):
                 a, b = cuts[bucket], cuts[bucket + 1]
                 if a < b:
                     packed = zlib.compress(counts[a:b].tobytes(), 1)
-                    rows.append((bucket, n, asked[a:b].tobytes(), packed))
+                    rows.append((bucket, n, _packed(asked[a:b]), packed))
         kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
         columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
         block = pa.array([key[0].as_py()] * len(rows), pa.int32())
@@ -86,8 +153,8 @@ def _requests(order: int, buckets: int):
 
 
 def _answers(key, table):
-    """One row per block that asked, and a row without block for the sums."""
-    asked = [np.frombuffer(h, dtype=np.uint64) for h in table.column("hashes").to_pylist()]
+    """The sums over all blocks, to every block that asked and in its order."""
+    asked = [_unpacked(h) for h in table.column("hashes").to_pylist()]
     counts = [
         np.frombuffer(zlib.decompress(c), dtype=np.uint32) for c in table.column("counts").to_pylist()
     ]
@@ -102,12 +169,10 @@ def _answers(key, table):
     n = len(asked)
     return pa.table(
         {
-            "block": pa.array([*table.column("block").to_pylist(), None], pa.int32()),
-            "bucket": pa.array([key[0].as_py()] * (n + 1), pa.int32()),
-            "level": pa.array([key[1].as_py()] * (n + 1), pa.int32()),
-            "counts": pa.array([*packed, None], pa.binary()),
-            "total": pa.array([None] * n + [int(sums.sum())], pa.int64()),
-            "kinds": pa.array([None] * n + [int((totals > 0).sum())], pa.int64()),
+            "to": table.column("block"),
+            "bucket": pa.array([key[0].as_py()] * n, pa.int32()),
+            "level": pa.array([key[1].as_py()] * n, pa.int32()),
+            "counts": pa.array(packed, pa.binary()),
         }
     )
 
@@ -213,19 +278,21 @@ def score_texts(
     asked = placed.groupBy("block").applyInArrow(
         _requests(order, blocks), "block int, bucket int, level int, hashes binary, counts binary"
     )
-    answered = materialise(
-        asked.groupBy("bucket", "level").applyInArrow(
-            _answers, "block int, bucket int, level int, counts binary, total long, kinds long"
-        )
+    answered = asked.groupBy("bucket", "level").applyInArrow(
+        _answers, "to int, bucket int, level int, counts binary"
+    )
+    whole = (
+        rows.filter("learn")
+        .select("text")
+        .mapInArrow(_distinct_words(blocks), "bucket int, hashes binary, tokens long")
+        .groupBy("bucket")
+        .applyInArrow(_counted, "n long, v long")
+        .agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
+        .first()
     )
-    whole = answered.filter("block is null and level = 1").agg(
-        F.sum("total").alias("n"), F.sum("kinds").alias("v")
-    ).first()
     n, v = int(whole["n"] or 0), int(whole["v"] or 0)
     scored = materialise(
-        answered.filter("block is not null")
-        .select("block", "bucket", "level", "counts")
-        .groupBy("block")
+        answered.groupBy("to")
         .cogroup(placed.groupBy("block"))
         .applyInArrow(
             _scores(order, n, v, int(sums["texts"] or 0)),
