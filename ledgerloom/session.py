@@ -4,20 +4,27 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Compute df once and cut its lineage with a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate data that driver and executors share.
 
-    The folder is the one the cluster names in spark.checkpoint.dir; only where
-    that is unset, as in local tests, a temporary folder is used.
+    It is the one the cluster names in spark.checkpoint.dir. Only a local session, as in
+    tests, may go without: it gets a temporary folder.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="ledgerloom-"))
+    return context.getCheckpointDir()
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Compute df once and cut its lineage with a reliable checkpoint."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
