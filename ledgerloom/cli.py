@@ -30,7 +30,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--index", help="folder of the index")
     p.add_argument("--output", help="folder for results")
     p.add_argument("--split", default="validation")
-    p.add_argument("--num-examples", type=int, default=100)
+    p.add_argument("--num-examples", type=int, help="only the first so many; default is all")
     p.add_argument("--build-index", action="store_true")
     p.add_argument("--download", action="store_true")
     p.add_argument("--config", help="JSON file with engine settings")

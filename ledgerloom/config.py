@@ -26,7 +26,7 @@ class EngineConfig:
     # semantic cache
     cache_enabled: bool = True
     cache_threshold: float = 0.95
-    cache_max_entries: int = 500
+    cache_max_entries: int | None = None  # None keeps every answer
     # temporal decay
     decay_enabled: bool = True
     decay_lambda: float = 0.1

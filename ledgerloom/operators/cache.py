@@ -43,11 +43,15 @@ def cache_lookup(
 def cache_put(
     entries: DataFrame, added: DataFrame, cfg: EngineConfig = EngineConfig()
 ) -> DataFrame:
-    """Entries after adding (query, embedding, value, ord); the newest
-    cache_max_entries are kept."""
-    return (
-        entries.unionByName(added).orderBy(F.col("ord").desc()).limit(cfg.cache_max_entries)
-    )
+    """Entries after adding (query, embedding, value, ord). All are kept, or the newest
+    cache_max_entries if that is set."""
+    return _newest(entries.unionByName(added), cfg)
+
+
+def _newest(entries: DataFrame, cfg: EngineConfig) -> DataFrame:
+    if cfg.cache_max_entries is None:
+        return entries
+    return entries.orderBy(F.col("ord").desc()).limit(cfg.cache_max_entries)
 
 
 def split_known(questions: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -69,12 +73,12 @@ def reuse_results(
     """(reused, open): (query_id, value) from the cache, and the questions left.
 
     questions: (query_id, scope, query, embedding); entries: (scope, query, embedding,
-    value, ord), of which the newest cache_max_entries are looked at. The same text
-    in the same scope is reused first, then a similar text of that scope.
+    value, ord), of which all are looked at, or the newest cache_max_entries if that is
+    set. The same text in the same scope is reused first, then a similar text of that scope.
     """
     if not cfg.cache_enabled:
         return questions.select("query_id", F.lit(None).cast("string").alias("value")).limit(0), questions
-    newest = entries.orderBy(F.col("ord").desc()).limit(cfg.cache_max_entries)
+    newest = _newest(entries, cfg)
     same, others = split_known(questions, newest)
     similar = cache_lookup(others, newest, cfg).filter("is_hit").select("query_id", "value")
     reused = same.select("query_id", "value").unionByName(similar)

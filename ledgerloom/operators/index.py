@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ledgerloom.config import EngineConfig
@@ -67,7 +68,23 @@ def add_to_index(
             "ord", F.col("ord") + F.lit(0 if start is None else start + 1)
         )
     vector = embed_text(F.col("content"), cfg.embedding_dim) if embed is None else embed
-    _write(chunks.withColumn("embedding", vector), root, "chunks", batch)
+    _write_batch(chunks.withColumn("embedding", vector), root, batch)
+
+
+def remove_from_index(spark: SparkSession, root: str, ticker: str) -> None:
+    """Take a ticker's chunks, words and counts out of every batch that holds some."""
+    if not _exists(spark, f"{root}/chunks"):
+        return
+    chunks = spark.read.parquet(f"{root}/chunks")
+    gone = F.col("ticker").eqNullSafe(ticker)
+    for row in chunks.filter(gone).select("batch").distinct().collect():
+        left = chunks.filter((F.col("batch") == row["batch"]) & ~gone).drop("batch")
+        _write_batch(materialise(left), root, row["batch"])  # computed before it is overwritten
+
+
+def _write_batch(chunks: DataFrame, root: str, batch: str) -> None:
+    spark = chunks.sparkSession
+    _write(chunks, root, "chunks", batch)
     stored = spark.read.parquet(f"{root}/chunks/batch={batch}")
     _write(term_counts(stored), root, "terms", batch)
     toks = tokenised(stored)
@@ -114,5 +131,7 @@ def _write(df: DataFrame, root: str, table: str, batch: str) -> None:
 def _exists(spark: SparkSession, path: str) -> bool:
     try:
         return len(spark.read.parquet(path).columns) > 0
-    except Exception:
-        return False
+    except AnalysisException as problem:
+        if problem.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return False
+        raise

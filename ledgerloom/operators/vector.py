@@ -134,6 +134,61 @@ def vector_topk(
     )
 
 
+def _nearest_in_scope(probes: DataFrame, entries: DataFrame, cfg: EngineConfig) -> DataFrame:
+    """nearest_entry for many scoped entries: probes meet the entries of their scope in
+    slices of about query_block_rows, and the best of the slices counts."""
+    sizes = entries.groupBy("scope").agg(
+        F.ceil(F.count(F.lit(1)) / cfg.query_block_rows).cast("int").alias("slices")
+    )
+    own = entries.join(sizes, "scope").select(
+        F.col("scope").alias("own_scope"), "doc_key", "ord", F.col("embedding").alias("own"),
+        F.pmod(F.xxhash64("doc_key"), F.col("slices")).cast("int").alias("own_slice"),
+    )
+    asked = probes.join(sizes, "scope").select(
+        "scope", "query_id", "embedding",
+        F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"),
+    )
+    scale = cfg.score_scale
+
+    def best(qs: pd.DataFrame, es: pd.DataFrame) -> pd.DataFrame:
+        if qs.empty or es.empty:
+            return pd.DataFrame(columns=["query_id", "doc_key", "ord", "similarity"])
+        es = es.sort_values("ord")
+        matrix, found = stack(es["own"]), []
+        for start in range(0, len(qs), cfg.query_block_rows):
+            part = qs.iloc[start : start + cfg.query_block_rows]
+            near = np.round(cosine_matrix(stack(part["embedding"]), matrix), scale)
+            at = near.argmax(axis=1)
+            found.append(
+                pd.DataFrame(
+                    {
+                        "query_id": part["query_id"].to_numpy(),
+                        "doc_key": es["doc_key"].to_numpy()[at],
+                        "ord": es["ord"].to_numpy()[at],
+                        "similarity": near[np.arange(len(at)), at],
+                    }
+                )
+            )
+        return pd.concat(found)
+
+    schema = (
+        StructType()
+        .add("query_id", probes.schema["query_id"].dataType)
+        .add("doc_key", entries.schema["doc_key"].dataType)
+        .add("ord", entries.schema["ord"].dataType)
+        .add("similarity", "double")
+    )
+    first = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "ord")
+    return (
+        asked.groupBy("scope", "slice")
+        .cogroup(own.groupBy("own_scope", "own_slice"))
+        .applyInPandas(best, schema)
+        .withColumn("n", F.row_number().over(first))
+        .filter("n = 1")
+        .drop("n")
+    )
+
+
 def nearest_entry(
     probes: DataFrame, entries: DataFrame, cfg: EngineConfig = EngineConfig()
 ) -> DataFrame:
@@ -147,7 +202,7 @@ def nearest_entry(
     extra = ["scope"] if scoped else []
     if not fits(entries, cfg.query_block_rows):
         if scoped:
-            raise ValueError("scoped entries must fit one block; keep fewer of them")
+            return _nearest_in_scope(probes, entries, cfg)
         return vector_topk(probes, entries, 1, cfg).select(
             "query_id",
             "doc_key",

@@ -12,7 +12,7 @@ from ledgerloom.functions import templates
 from ledgerloom.functions.vectors import embed_text
 from ledgerloom.operators.documents import TABLE, filing_documents, with_index_order
 from ledgerloom.operators.hybrid import retrieve
-from ledgerloom.operators.index import Index, add_to_index, clear_index, read_index
+from ledgerloom.operators.index import Index, add_to_index, clear_index, read_index, remove_from_index
 from ledgerloom.operators.models import TextModel, ask
 from ledgerloom.operators.temporal import recent_filings
 from ledgerloom.operators.verify import verification
@@ -56,6 +56,8 @@ def build_index(
     filings = local_filings(spark, filings_root, ticker)
     if ticker is None:
         clear_index(spark, index_root)
+    else:
+        remove_from_index(spark, index_root, ticker)
     chunks = with_index_order(
         filing_documents(filings, fallback_date, cfg, summarise_with(model) if model else None)
     )

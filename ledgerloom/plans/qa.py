@@ -193,9 +193,9 @@ def evaluate(
     cfg: EngineConfig = EngineConfig(),
     num_examples: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(predictions, metrics) of the first num_examples examples, or of all."""
+    """(predictions, metrics) of the first num_examples examples of the file, or of all."""
     if num_examples:
-        examples = examples.orderBy("id").limit(num_examples)
+        examples = examples.limit(num_examples)  # a split is one file, read in its order
     predictions = predict_examples(examples, model, cfg)
     return predictions, metrics.evaluation_metrics(metrics.score_predictions(predictions, cfg))
 
