@@ -181,6 +181,16 @@ def test_cache(spark):
     assert got["p"].value == "one" and got["p"].is_hit
     assert got["r"].value is None and not got["r"].is_hit
     assert cache.cache_put(entries.limit(0), entries, CFG.replace(cache_max_entries=2)).count() == 2
+    assert cache.cache_put(entries.limit(0), entries).count() == 3
+    scoped = entries.withColumn("scope", F.when(F.col("ord") == 2, "b").otherwise("a"))
+    asked = probes.withColumn("scope", F.lit("a")).unionByName(
+        spark.createDataFrame([("s", [1.0, 0.0], "b"), ("t", [1.0, 0.0], "c")], "query_id string, embedding array<double>, scope string")
+    )
+    few, many = (
+        sorted(map(tuple, vector.nearest_entry(asked, scoped.withColumn("doc_key", F.col("ord")), c).collect()))
+        for c in (CFG, CFG.replace(query_block_rows=1))
+    )
+    assert few == many and [r[0] for r in few] == ["p", "r", "s"]
     known = spark.createDataFrame([("q1", "x", "old", 1), ("q1", "x", "new", 2)], "scope string, query string, value string, ord bigint")
     questions = spark.createDataFrame([("q1", "x"), ("q2", "x")], "scope string, query string")
     answered, open_ = cache.split_known(questions, known)
