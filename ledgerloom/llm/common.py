@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ledgerloom.session import shared_folder
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _KNOWN_WORDS = 400_000
 
@@ -89,3 +93,12 @@ def ddl(df: DataFrame, more: str = "") -> str:
     """The schema of df, with more columns after it, as text."""
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields]
     return ", ".join([*fields, more] if more else fields)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, for loops that join a table with itself: unlike a
+    checkpoint it starts anew with its real size, and an estimated size that is
+    multiplied at every turn ends in numbers too long to plan with."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerloom.session import materialise
+from ledgerloom.llm.common import written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -15,20 +15,23 @@ def components(edges: DataFrame) -> DataFrame:
     roots. A hub costs nothing extra: minima combine before the shuffle.
     """
     found = None
-    left = materialise(edges.select("a", "b").filter("a <> b").distinct())
+    left = written(edges.select("a", "b").filter("a <> b").distinct())
     while not left.isEmpty():
         both = left.unionAll(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.col("v")).alias("p"))
-        up = materialise(up)
-        while True:
+        up = written(up)
+        while True:  # each pass makes every path to a root four times as short
             top = up.select(F.col("v").alias("p"), F.col("p").alias("q"))
-            jumped = materialise(up.join(top, "p").select("v", F.col("q").alias("p"), F.col("p").alias("was")))
+            twice = up.join(top, "p").select("v", F.col("q").alias("p"))
+            higher = top.join(top.select(F.col("p").alias("q"), F.col("q").alias("r")), "q")
+            both = twice.join(higher.select("p", "r"), "p")
+            jumped = written(both.select("v", F.col("r").alias("p"), F.col("p").alias("was")))
             up = jumped.select("v", "p")
             if jumped.filter("p <> was").isEmpty():
                 break
         root_a = up.select(F.col("v").alias("a"), F.col("p").alias("ra"))
         root_b = up.select(F.col("v").alias("b"), F.col("p").alias("rb"))
-        left = materialise(
+        left = written(
             left.join(root_a, "a")
             .join(root_b, "b")
             .filter("ra <> rb")
@@ -39,9 +42,8 @@ def components(edges: DataFrame) -> DataFrame:
             found = up
         else:
             over = up.select(F.col("v").alias("p"), F.col("p").alias("q"))
-            found = materialise(
-                found.join(over, "p", "left").select("v", F.coalesce("q", "p").alias("p"))
-            )
+            moved = found.join(over, "p", "left").withColumn("q", F.coalesce("q", "p"))
+            found = written(moved.select("v", F.col("q").alias("p")))
     if found is None:
         found = left.select(F.col("a").alias("v"), F.col("b").alias("p"))
     return found.select(F.col("v").alias("vertex"), F.col("p").alias("component"))

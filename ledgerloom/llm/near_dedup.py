@@ -7,14 +7,15 @@ threshold alive at any depth), and the picked values name its children. Similar
 meet in common nodes, unlike sets part early.
 
 * Equal sets are one vertex from the start, however many documents have them.
-* A node whose members are already linked to each other has nothing left to say and is
-  dropped. To get there fast, a node's members are first held against its smallest
-  member.
-* Nodes with few members compare all of them, larger ones branch on. What is still large
-  at the last depth is compared in blocks, so nothing is cut.
-
-Pairs pass a test on one-bit minwise sketches (4.8 standard deviations below the
-threshold), then full sets decide. Links become components.
+* First, a few rounds hold every member of the top nodes against one leader of them, which
+  links large groups of near copies at the cost of a pair per member. A node whose
+  members are then all linked to each other has nothing left to say and is dropped.
+* Other nodes with few members compare all of them, larger ones branch on. What is still
+  large at the last depth is compared in blocks, so nothing is cut.
+
+Pairs pass a test on one-bit minwise sketches, in small nodes another on their smallest
+hashes (both 4.8 standard deviations below the threshold), then full sets decide. Links
+become components.
 """
 
 from __future__ import annotations
@@ -24,29 +25,40 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerloom.llm.common import mix, shingle_hashes, signed, word_hashes
+from ledgerloom.llm.common import mix, shingle_hashes, signed, word_hashes, written
 from ledgerloom.llm.components import components
 from ledgerloom.operators.joins import join_small
 from ledgerloom.session import materialise
 
 TOKENS = 128  # minwise tokens per set
 TREES = 16
-LEAF = 32
+LEAF = 512
+BOTTOM = 256  # smallest hashes of a set that small nodes compare
+STARS = 3  # rounds in which every member meets one other of its nodes
+STEP = 3  # depths that large nodes go down between two counts of members
 DEPTH = 24
 BROADCAST_IDS = 200_000  # ids of 8 bytes
-_CHUNK = 4096  # shingles hashed at a time
+_CHUNK = 1024  # shingles ranked at a time
 
-_FACTORS = mix(np.arange(1, TOKENS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+_FACTORS = mix(np.arange(1, TOKENS + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
+_ROOM = np.empty((TOKENS, _CHUNK), dtype=np.uint32)  # reused: fresh pages would cost more
 
 
 def minwise(shingles: np.ndarray) -> np.ndarray:
-    """The set's minimum under each of TOKENS hash functions, folded to 32 bits."""
-    lowest = np.full(TOKENS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for start in range(0, len(shingles), _CHUNK):
-        part = shingles[start : start + _CHUNK]
-        for k in range(TOKENS):
-            lowest[k] = min(lowest[k], (part * _FACTORS[k]).min())
-    return (mix(lowest) >> np.uint64(32)).astype(np.uint32)
+    """The set's minwise tokens under TOKENS orders: folded hashes of the chosen shingles."""
+    keys = (shingles >> np.uint64(32)).astype(np.uint32)
+    lowest = np.full(TOKENS, np.iinfo(np.uint32).max, dtype=np.uint32)
+    chosen = np.zeros(TOKENS, dtype=np.uint64)
+    every = np.arange(TOKENS)
+    for start in range(0, len(keys), _CHUNK):
+        part = keys[start : start + _CHUNK]
+        ranks = np.multiply(_FACTORS[:, None], part, out=_ROOM[:, : len(part)])
+        at = ranks.argmin(axis=1)
+        low = ranks[every, at]
+        better = low < lowest if start else np.ones(TOKENS, dtype=bool)
+        lowest[better] = low[better]
+        chosen[better] = shingles[start + at[better]]
+    return (mix(chosen + every.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
 
 def _signed_sets(width: int):
@@ -95,8 +107,8 @@ def _picks(nodes: np.ndarray, similarity: float):
     return np.concatenate(rows), np.concatenate(places)
 
 
-def _children(similarity: float, roots: np.ndarray | None):
-    """(node, id, s0, s1) of the next depth from (node, id, s0, s1, tokens)."""
+def _children(similarity: float, roots: np.ndarray | None, steps: int = 1):
+    """(node, id, s0, s1) some depths further down from (node, id, s0, s1, tokens)."""
 
     def run(batches):
         for batch in batches:
@@ -110,12 +122,14 @@ def _children(similarity: float, roots: np.ndarray | None):
             else:
                 nodes = batch.column("node").to_numpy().view(np.uint64)
                 of = np.arange(batch.num_rows)
-            rows, places = _picks(nodes, similarity)
-            values = tokens[of[rows], places].astype(np.uint64)
-            child = mix(mix(nodes[rows] + places.astype(np.uint64)) + values)
-            take = pa.array(of[rows])
+            for _ in range(steps):
+                rows, places = _picks(nodes, similarity)
+                of = of[rows]
+                values = tokens[of, places].astype(np.uint64)
+                nodes = mix(mix(nodes[rows] + places.astype(np.uint64)) + values)
+            take = pa.array(of)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(child)), *[batch.column(c).take(take) for c in ("id", "s0", "s1")]],
+                [pa.array(signed(nodes)), *[batch.column(c).take(take) for c in ("id", "s0", "s1")]],
                 names=["node", "id", "s0", "s1"],
             )
 
@@ -137,19 +151,11 @@ def _full_sets(width: int):
     return run
 
 
-def _close(a0: str, a1: str, b0: str, b1: str, similarity: float):
-    """Whether two sketches differ in so few bits that their sets may be similar."""
-    apart = TOKENS * (1 - similarity) / 2
-    p = (1 - similarity) / 2
-    most = int(apart + 4.8 * (TOKENS * p * (1 - p)) ** 0.5)
-    return F.expr(f"bit_count({a0} ^ {b0}) + bit_count({a1} ^ {b1}) <= {most}")
-
-
 def _confirmed(pairs, docs, width, percent):
     """Those of the pairs (a, b) whose full sets are similar enough."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = join_small(docs, materialise(ids), ["id"], BROADCAST_IDS, 1, ["id"], how="left_semi")
-    sets = texts.mapInArrow(_full_sets(width), "id long, shingles array<long>")
+    sets = materialise(texts.mapInArrow(_full_sets(width), "id long, shingles array<long>"))
     sets_a = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     sets_b = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(sets_a, "a").join(sets_b, "b")
@@ -171,8 +177,9 @@ def _labelled(rows, labels):
     return joined.withColumn("label", F.coalesce("_c", "id")).drop("_c")
 
 
-def _undecided(rows, labels):
-    """rows of nodes whose members aren't all linked yet, with n members and the smallest."""
+def _undecided(rows, labels, turn=0):
+    """rows of nodes whose members aren't all linked yet, with the number of members and
+    the one that comes first in the turn's order."""
     rows = _labelled(rows, labels)
     nodes = (
         rows.groupBy("node")
@@ -180,53 +187,146 @@ def _undecided(rows, labels):
             F.count(F.lit(1)).alias("n"),
             F.min("label").alias("_low"),
             F.max("label").alias("_high"),
-            F.min(F.struct("id", "s0", "s1", "label")).alias("lead"),
+            F.min(
+                F.struct(
+                    (F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))).alias("place"),
+                    "id",
+                    "s0",
+                    "s1",
+                    "label",
+                )
+            ).alias("lead"),
         )
         .filter("_low < _high")
         .select("node", "n", "lead")
     )
-    return materialise(rows.join(nodes, "node"))
+    return written(rows.join(nodes, "node"))
 
 
 def _star_pairs(rows, similarity):
-    """Each member with its node's smallest."""
-    near = _close("s0", "s1", "lead.s0", "lead.s1", similarity)
-    return rows.filter(F.col("label") != F.col("lead.label")).filter(near).select(
-        F.col("lead.id").alias("a"), F.col("id").alias("b")
+    """Each member with one leader of its nodes, the likeliest of those it isn't linked
+    with: one pair per member however large the nodes are."""
+    apart = F.bit_count(F.col("s0").bitwiseXOR(F.col("lead.s0"))) + F.bit_count(
+        F.col("s1").bitwiseXOR(F.col("lead.s1"))
     )
-
-
-def _all_pairs(rows, similarity, key):
-    """All pairs of members under one key (few: LEAF, or two blocks) that aren't linked yet."""
-    member = F.struct("id", "s0", "s1", "label")
-    groups = rows.groupBy(*key).agg(F.collect_list(member).alias("members"))
-    each = groups.select("members", F.explode("members").alias("x"))
-    later = F.filter(
-        "members",
-        lambda y: (y["id"] > F.col("x.id"))
-        & (y["label"] != F.col("x.label"))
-        & (
-            F.bit_count(y["s0"].bitwiseXOR(F.col("x.s0")))
-            + F.bit_count(y["s1"].bitwiseXOR(F.col("x.s1")))
-            <= _most_apart(similarity)
-        ),
+    met = rows.filter(F.col("label") != F.col("lead.label")).withColumn("apart", apart)
+    met = met.filter(F.col("apart") <= _most_apart(similarity))
+    first = met.groupBy("id").agg(F.min(F.struct("apart", "lead.place", "lead.id")).alias("lead"))
+    return first.select(
+        F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")
     )
-    return each.select(F.col("x.id").alias("a"), F.explode(F.transform(later, lambda y: y["id"])).alias("b"))
 
 
 def _most_apart(similarity):
+    """Bits in which the sketches of similar sets differ at most."""
     p = (1 - similarity) / 2
     return int(TOKENS * p + 4.8 * (TOKENS * p * (1 - p)) ** 0.5)
 
 
-def _block_pairs(rows, similarity):
-    """All pairs of large nodes: members meet in every pair of blocks of about LEAF members."""
+def _near_members(rows, similarity):
+    """Members of small nodes whose sketch is near to that of another one they aren't linked
+    with. A node's list has LEAF members at most, or those of two blocks."""
+    member = F.struct("id", "label", "s0", "s1")
+    groups = rows.groupBy("node").agg(F.collect_list(member).alias("members"))
+
+    def near(x, y):
+        apart = F.bit_count(x["s0"].bitwiseXOR(y["s0"])) + F.bit_count(x["s1"].bitwiseXOR(y["s1"]))
+        return (x["label"] != y["label"]) & (apart <= _most_apart(similarity))
+
+    kept = F.filter("members", lambda x: F.exists("members", lambda y: near(x, y)))
+    return groups.select("node", F.inline(kept))
+
+
+def _bottoms(width: int):
+    """(id, bottom): the BOTTOM smallest shingle hashes of each text, or all of a small set."""
+
+    def run(batches):
+        for batch in batches:
+            kept = []
+            for text in batch.column(1).to_pylist():
+                found = np.unique(shingle_hashes(word_hashes(text), width))
+                kept.append((len(found) <= BOTTOM, found[:BOTTOM].tobytes()))
+            whole, raw = zip(*kept, strict=True) if kept else ((), ())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(whole, pa.bool_()), pa.array(raw, pa.binary())],
+                names=["id", "whole", "bottom"],
+            )
+
+    return run
+
+
+def _compared(similarity: float):
+    """Compare all members of a node that may be similar: (a, b) worth a look at full sets.
+
+    Two whole sets are decided here, and what they already connect is not listed again;
+    of larger sets, the hashes up to the smaller sketch's end are a fair sample.
+    """
+    most = _most_apart(similarity)
+    floor = similarity - 4.8 * (similarity * (1 - similarity) / BOTTOM) ** 0.5
+
+    def run(key, table):
+        ids = table.column("id").to_numpy()
+        labels = table.column("label").to_numpy()
+        bits = [table.column(c).to_numpy().view(np.uint64) for c in ("s0", "s1")]
+        whole = table.column("whole").to_numpy(zero_copy_only=False)
+        sets = [np.frombuffer(b, dtype=np.uint64) for b in table.column("bottom").to_pylist()]
+        _, group = np.unique(labels, return_inverse=True)
+        parent = list(range(int(group.max()) + 1))
+
+        def root(x):
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        pairs = []
+        for i in range(len(ids)):
+            apart = sum(np.bitwise_count(b[i + 1 :] ^ b[i]).astype(np.int32) for b in bits)
+            others = i + 1 + np.flatnonzero((apart <= most) & (group[i + 1 :] != group[i]))
+            pairs.append(np.column_stack([apart[others - i - 1], np.full(len(others), i), others]))
+        found = []
+        every = np.concatenate(pairs)
+        for _, i, j in every[np.argsort(every[:, 0], kind="stable")].tolist():
+            x, y = root(group[i]), root(group[j])
+            if x == y or ids[i] == ids[j]:
+                continue
+            a, b = sets[i], sets[j]
+            sure = whole[i] and whole[j]
+            if not sure:
+                end = min([s[-1] for s, w in ((a, whole[i]), (b, whole[j])) if not w])
+                a, b = a[: np.searchsorted(a, end, "right")], b[: np.searchsorted(b, end, "right")]
+            at = np.searchsorted(b, a)
+            at[at == len(b)] = 0
+            common = int((b[at] == a).sum()) if len(b) else 0
+            share = common / max(1, len(a) + len(b) - common)
+            if share >= (similarity - 1e-9 if sure else floor):
+                found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+                if sure:
+                    parent[x] = y
+        both = np.array(found, dtype=np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1])})
+
+    return run
+
+
+def _leaf_pairs(near, docs, width, similarity):
+    """Pairs of the members of small nodes that have to be confirmed."""
+    ids = materialise(near.select("id").distinct())
+    texts = join_small(docs, ids, ["id"], BROADCAST_IDS, 1, ["id"], how="left_semi")
+    sketched = texts.mapInArrow(_bottoms(width), "id long, whole boolean, bottom binary")
+    joined = near.join(sketched, "id")
+    return joined.groupBy("node").applyInArrow(_compared(similarity), "a long, b long")
+
+
+def _blocks(rows):
+    """Large nodes as pairs of blocks of about LEAF members, so that all members meet."""
     blocks = F.ceil(F.col("n") / LEAF).cast("int")
-    dealt = rows.withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn(
+    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    dealt = rows.withColumn("own", own).withColumn(
         "other", F.explode(F.sequence(F.lit(0), blocks - 1))
     )
-    met = dealt.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
-    return _all_pairs(met, similarity, ["node", "low", "high"])
+    node = F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))
+    return dealt.withColumn("node", node)
 
 
 def near_duplicates(
@@ -262,32 +362,35 @@ def near_duplicates(
     sets = materialise(sets.select("print", "s.*"))
     roots = mix(np.arange(1, trees + 1, dtype=np.uint64))
     schema = "node long, id long, s0 long, s1 long"
-    rows = sets.select("id", "s0", "s1", "tokens").mapInArrow(_children(similarity, roots), schema)
-    labels, edges = None, None
     here = source.filter("id is not null")
-    rows = _undecided(rows, None)
-    pending = _star_pairs(rows, similarity)
-    for level in range(1, depth + 1):
-        pairs = materialise(pending.distinct())
+    labels, edges = None, None
+
+    def link(pairs):
+        nonlocal labels, edges
+        pairs = materialise(pairs.distinct())
         if not pairs.isEmpty():
-            linked = materialise(_confirmed(pairs, here, width, percent))
+            linked = written(_confirmed(pairs, here, width, percent))
+            if linked.isEmpty():
+                return
             edges = linked if edges is None else edges.unionAll(linked)
             labels = components(edges)
-        rows = _undecided(rows.select("node", "id", "s0", "s1"), labels)
-        if rows.isEmpty():
-            break
-        few = rows.filter(F.col("n") <= leaf)
-        many = rows.filter(F.col("n") > leaf)
-        pending = _all_pairs(few, similarity, ["node"])
-        if level == depth:
-            pending = pending.unionAll(_block_pairs(many, similarity))
-            linked = _confirmed(materialise(pending.distinct()), here, width, percent)
-            labels = components(linked if edges is None else edges.unionAll(linked))
-            break
-        deeper = many.select("node", "id", "s0", "s1").join(sets.select("id", "tokens"), "id")
-        rows = deeper.mapInArrow(_children(similarity, None), schema)
-        rows = _undecided(rows, labels)
-        pending = pending.unionAll(_star_pairs(rows, similarity))
+
+    plain = ["node", "id", "s0", "s1"]
+    rows = sets.select("id", "s0", "s1", "tokens").mapInArrow(_children(similarity, roots), schema)
+    for turn in range(STARS):
+        rows = _undecided(rows.select(*plain), labels, turn)
+        link(_star_pairs(rows, similarity))
+    rows = _undecided(rows.select(*plain), labels)
+    small = F.col("n") <= leaf
+    near, at = _near_members(rows.filter(small), similarity), 1
+    many = rows.filter(~small)
+    while at < depth and not many.isEmpty():
+        deeper = many.select(*plain).join(sets.select("id", "tokens"), "id")
+        rows = _undecided(deeper.mapInArrow(_children(similarity, None, STEP), schema), labels)
+        near = near.unionAll(_near_members(rows.filter(small), similarity))
+        many, at = rows.filter(~small), at + STEP
+    near = near.unionAll(_near_members(_blocks(many), similarity))
+    link(_leaf_pairs(materialise(near), here, width, similarity))
     known = _labelled(sets.select("print", "id"), labels).select("print", F.col("label").alias("c"))
     return (
         signed_rows.select("id", "n", "print")
