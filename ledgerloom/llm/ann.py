@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ledgerloom.llm.common import written
 from ledgerloom.llm.exact_search import choose_pivots
 from ledgerloom.llm.vectors import best_rows, bucket, lists, matrix, ragged
 from ledgerloom.session import materialise
@@ -277,7 +278,7 @@ def build_graph(vectors: DataFrame, neighbours: int = NEIGHBOURS) -> tuple[DataF
 
     nodes = vectors.mapInArrow(seeded, _NODE)
     for step in range(ROUNDS + 1):
-        nodes = materialise(
+        nodes = written(
             nodes.groupBy("shard").cogroup(offers.groupBy("shard")).applyInArrow(_merge(neighbours), _NODE)
         )
         if step == ROUNDS or nodes.agg(F.sum("changed")).first()[0] <= STILL * n * neighbours:
@@ -506,7 +507,7 @@ def search_graph(
         scored = candidates.mapInArrow(_asked(shards, False), _ASK).groupBy("shard").cogroup(
             nodes.select(F.col("shard").alias("at"), "id", F.col("v").alias("x")).groupBy("at")
         ).applyInArrow(_scores_of, "query_id long, part int, ids array<long>, scores array<double>")
-        state = materialise(
+        state = written(
             state.groupBy("part").cogroup(scored.groupBy("part")).applyInArrow(_better, _STATE)
         )
     found = state.select("query_id", F.posexplode(F.arrays_zip("ids", "scores")).alias("at", "hit"))
