@@ -28,9 +28,9 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(scan: DataFrame, most: int = 32) -> DataFrame:
+def spread(scan: DataFrame) -> DataFrame:
     """Spread a scan that yields fewer partitions than there are cores, such as one
     small file, before row-wise work that keeps a core busy. Scans of real size have
     more partitions than cores and stay as they are."""
-    wanted = min(scan.sparkSession.sparkContext.defaultParallelism, most)
+    wanted = scan.sparkSession.sparkContext.defaultParallelism
     return scan.repartition(wanted) if scan.rdd.getNumPartitions() < wanted else scan
