@@ -225,16 +225,27 @@ def _most_apart(similarity):
 
 def _near_members(rows, similarity):
     """Members of small nodes whose sketch is near to that of another one they aren't linked
-    with. A node's list has LEAF members at most, or those of two blocks."""
-    member = F.struct("id", "label", "s0", "s1")
-    groups = rows.groupBy("node").agg(F.collect_list(member).alias("members"))
+    with, where the two have no other node of these with a smaller number: a pair meets
+    once. A node's list has LEAF members at most, or those of two blocks."""
+    mine = rows.groupBy("id").agg(F.collect_set("node").alias("nodes"))
+    member = F.struct("id", "label", "s0", "s1", "nodes")
+    groups = rows.join(mine, "id").groupBy("node").agg(F.collect_list(member).alias("members"))
 
     def near(x, y):
         apart = F.bit_count(x["s0"].bitwiseXOR(y["s0"])) + F.bit_count(x["s1"].bitwiseXOR(y["s1"]))
         return (x["label"] != y["label"]) & (apart <= _most_apart(similarity))
 
-    kept = F.filter("members", lambda x: F.exists("members", lambda y: near(x, y)))
-    return groups.select("node", F.inline(kept))
+    def met_before(x, y):
+        earlier = F.filter(x["nodes"], lambda n: n < F.col("node"))
+        return F.arrays_overlap(earlier, y["nodes"])
+
+    kept = F.filter(
+        "members", lambda x: F.exists("members", lambda y: near(x, y) & ~met_before(x, y))
+    )
+    listed = F.transform(
+        kept, lambda x: F.struct(*[x[c].alias(c) for c in ("id", "label", "s0", "s1")])
+    )
+    return groups.select("node", F.inline(listed))
 
 
 def _bottoms(width: int):
@@ -382,15 +393,17 @@ def near_duplicates(
         link(_star_pairs(rows, similarity))
     rows = _undecided(rows.select(*plain), labels)
     small = F.col("n") <= leaf
-    near, at = _near_members(rows.filter(small), similarity), 1
+    plain_label = [*plain, "label"]
+    compared, at = rows.filter(small).select(*plain_label), 1
     many = rows.filter(~small)
     while at < depth and not many.isEmpty():
         deeper = many.select(*plain).join(sets.select("id", "tokens"), "id")
         rows = _undecided(deeper.mapInArrow(_children(similarity, None, STEP), schema), labels)
-        near = near.unionAll(_near_members(rows.filter(small), similarity))
+        compared = compared.unionAll(rows.filter(small).select(*plain_label))
         many, at = rows.filter(~small), at + STEP
-    near = near.unionAll(_near_members(_blocks(many), similarity))
-    link(_leaf_pairs(materialise(near), here, width, similarity))
+    compared = compared.unionAll(_blocks(many).select(*plain_label))
+    near = materialise(_near_members(compared, similarity))
+    link(_leaf_pairs(near, here, width, similarity))
     known = _labelled(sets.select("print", "id"), labels).select("print", F.col("label").alias("c"))
     return (
         signed_rows.select("id", "n", "print")
