@@ -108,6 +108,71 @@ def test_windows_are_the_cartesian_tree():
         assert set(got) == expected and len(got) == len(set(got))
 
 
+def passages_of(a, b, seed, words=50, percent=75, width=5):
+    a, b = (passages.word_hashes(" ".join(x)) for x in (a, b))
+    return passages.common_passages(a, b, [seed], words, percent, width)
+
+
+def around(rng, words, before=80, after=80):
+    return sentence(rng, before, 10**6).split() + words + sentence(rng, after, 10**6).split()
+
+
+@pytest.mark.parametrize("edits", [[44], [9], [44, 54], [6, 93], [48], [15, 16, 17, 18, 19, 20, 21]])
+def test_edits_near_the_ends_and_close_to_each_other(edits):
+    rng = random.Random(3)
+    size = 55 if len(edits) == 1 else 100
+    passage = sentence(rng, size, 10**6).split()
+    changed = [f"e{k}" if k in edits else w for k, w in enumerate(passage)]
+    seed = max(set(range(size - 5)) - {k - d for k in edits for d in range(5)}, key=lambda k: -abs(k - 27))
+    (s, e, t, u, common, every), = passages_of(around(rng, passage), around(rng, changed), (80 + seed, 80 + seed))
+    assert (s, e, t, u) == (80, 80 + size, 80, 80 + size) and 100 * common >= 75 * every
+
+
+def test_a_less_similar_continuation_hides_no_passage():
+    rng = random.Random(4)
+    first, rest = sentence(rng, 90, 10**6).split(), sentence(rng, 200, 10**6).split()
+    changed = [f"f{k}" if k in (30, 60) else w for k, w in enumerate(first)]
+    worse = [w if k % 40 < 20 else f"r{k}" for k, w in enumerate(rest)]
+    found = passages_of(around(rng, first + rest), around(rng, changed + worse), (90, 90))
+    assert any(s <= 80 and e >= 170 for s, e, *_ in found)
+    assert all(100 * common >= 75 * every for *_, common, every in found)
+
+
+def test_long_insertions_are_crossed():
+    rng = random.Random(6)
+    passage = sentence(rng, 300, 10**6).split()
+    longer = passage[:150] + sentence(rng, 40, 10**6).split() + passage[150:]
+    found = passages_of(around(rng, passage), around(rng, longer), (100, 100))
+    assert [f[:4] for f in found] == [(80, 380, 80, 420)]
+
+
+def test_passages_against_brute_force():
+    words, width = 12, 2
+    seen = [0, 0]
+    for turn in range(150):
+        rng = random.Random(turn)
+        passage = sentence(rng, rng.randrange(9, 22), 10**6).split()
+        changed = list(passage)
+        for _ in range(rng.randrange(5)):
+            at = rng.randrange(len(changed))
+            changed[at : at + rng.randrange(2)] = [f"e{rng.randrange(10**6)}"] * rng.randrange(3)
+        a, b = around(rng, passage, 6, 6), around(rng, changed, 5, 7)
+        x, y = list(zip(a, a[1:])), list(zip(b, b[1:]))
+        same = [(i, y.index(g)) for i, g in enumerate(x) if g in y]
+        sets = [
+            [set(z[s : e - 1]) for s in range(len(z)) for e in range(s + words, len(z) + 2)] for z in (x, y)
+        ]
+        expected = any(4 * len(p & q) >= 3 * len(p | q) for p in sets[0] for q in sets[1])
+        found = [f for seed in same for f in passages_of(a, b, seed, words, 75, width)]
+        assert bool(found) == expected, turn
+        for s, e, t, u, common, every in found:
+            p, q = set(x[s : e - 1]), set(y[t : u - 1])
+            assert (common, every) == (len(p & q), len(p | q)) and 4 * common >= 3 * every
+            assert min(e - s, u - t) >= words and e <= len(a) and u <= len(b) and s >= 0 and t >= 0
+        seen[expected] += 1
+    assert min(seen) > 20
+
+
 def planted(spark):
     rng = random.Random(11)
     passage = sentence(rng, 70, 5000).split()
