@@ -3,6 +3,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from ledgerloom.llm import mixing, queries, sharding
 
 
@@ -78,3 +79,23 @@ def test_mean_number_of_copies(spark):
     mixed = mixing.mix_sources(docs, ["source"], wanted, cells)
     means = {r[0]: r[1] for r in mixed.groupBy("source").agg(F.avg("copies")).collect()}
     assert means["a"] == pytest.approx(2.0, abs=1e-9) and means["b"] == pytest.approx(2 / 3, abs=0.02)
+
+
+def test_the_mixed_corpus_meets_its_targets(spark):
+    rows = [
+        (i, ("one | two" if i % 5 == 0 else "one two three") + " four five", "en" if i % 7 else "de",
+         "rare" if i % 50 == 0 else "some" if i % 6 == 0 else "most")
+        for i in range(6000)
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    before = queries.mixed(docs).select(*docs.columns, "topic", "tokens")
+    after = queries.mixed(corpus_pipeline.mix(spark, docs, "")).select(*docs.columns, "topic", "tokens")
+    tempers = (queries.SOURCE_TEMPER, queries.LANG_TEMPER, queries.TOPIC_TEMPER)
+    for column, exponent in zip(queries.RAKED, tempers, strict=True):
+        sums = [
+            {r[0]: r[1] for r in df.groupBy(column).agg(F.sum("tokens")).collect()} for df in (before, after)
+        ]
+        raised = {k: n**exponent for k, n in sums[0].items()}
+        for value, n in sums[1].items():
+            share = raised[value] / sum(raised.values())
+            assert n / sum(sums[1].values()) == pytest.approx(share, rel=0.04), value
