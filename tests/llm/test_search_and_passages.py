@@ -4,6 +4,7 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -173,6 +174,41 @@ def test_passages_against_brute_force():
     assert min(seen) > 20
 
 
+def threshold_pairs(n):
+    """Pairs of texts around passages of 50 to 59 words whose similarity is 0.75 to 0.77."""
+    rng = random.Random(5)
+    while n:
+        size = rng.randrange(50, 60)
+        passage = sentence(rng, size, 10**6).split()
+        changed = list(passage)
+        for _ in range(rng.randrange(1, 4)):
+            k = rng.randrange(size)
+            changed[k : k + rng.randrange(2)] = [f"e{rng.randrange(10**6)}"] * rng.randrange(3)
+        x, y = (set(zip(*(p[k:] for k in range(5)))) for p in (passage, changed))
+        if len(changed) >= 50 and 0.75 <= len(x & y) / len(x | y) <= 0.77:
+            n -= 1
+            yield [" ".join(around(rng, p)) for p in (passage, changed)]
+
+
+def test_threshold_passages_become_candidates():
+    found = 0
+    for texts in threshold_pairs(1200):
+        batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(texts)], names=["id", "text"])
+        rows = [r for made in passages._windows(5, 46, np.empty(0, np.int64))([batch]) for r in made.to_pylist()]
+        later = {}
+        for r in rows:
+            if r["id"] == 2:
+                later.setdefault(r["v"], []).append(r)
+        seeds = [
+            {"h": x["h"], "ca": x["c"], "la": x["l"], "ra": x["r"], "cb": y["c"], "lb": y["l"], "rb": y["r"]}
+            for x in rows if x["id"] == 1 for y in later.get(x["v"], [])
+        ]
+        if seeds:
+            pair = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array([seeds])], names=["a", "b", "seeds"])
+            found += sum(made.num_rows for made in passages._agreeing(46)([pair]))
+    assert found == 1200
+
+
 def planted(spark):
     rng = random.Random(11)
     passage = sentence(rng, 70, 5000).split()
