@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import ann, exact_search, licenses, lm, mixing, near_dedup, passages, pieces, sharding, toxicity
+from ledgerloom.llm import ann, exact_search, jaccard_join, licenses, lm, mixing, near_dedup, passages, pieces, sharding, toxicity
 from ledgerloom.llm.common import read
 from ledgerloom.llm.vectors import usable
 from ledgerloom.session import materialise
@@ -151,6 +151,10 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op11_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard_join.jaccard_join(read(spark, sf, "documents"))
+
+
 def _exact_topk_sql() -> str:
     return f"""
         WITH kept AS (
@@ -266,6 +270,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": op8_mixing,
         "op9_licenses": op9_licenses,
         "op10_toxicity": op10_toxicity,
+        "op11_jaccard_join": op11_jaccard_join,
     }
 
 
