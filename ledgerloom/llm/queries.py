@@ -7,7 +7,21 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import ann, exact_search, jaccard_join, licenses, lm, mixing, near_dedup, passages, pieces, sharding, toxicity
+from ledgerloom.llm import (
+    ann,
+    conversation_repair,
+    exact_search,
+    jaccard_join,
+    licenses,
+    lm,
+    mixing,
+    near_dedup,
+    passages,
+    pieces,
+    sharding,
+    spelling,
+    toxicity,
+)
 from ledgerloom.llm.common import read
 from ledgerloom.llm.vectors import usable
 from ledgerloom.session import materialise
@@ -19,6 +33,7 @@ MIX_SEED = 17
 TOXIC = 0.7
 EXACT_K = 5
 NEAREST = 20
+SLIPS = 199  # every so many runs of letters lose one of them
 PIECES = os.environ.get("PIECES_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
 
@@ -155,6 +170,50 @@ def op11_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard_join.jaccard_join(read(spark, sf, "documents"))
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversation rows with the damage that their conversation and turn decide."""
+
+    def shown(column):
+        return F.coalesce(F.col(column).cast("string"), F.lit(" "))
+
+    fate = F.crc32(F.concat(shown("conv_id"), F.lit(":"), shown("turn")).cast("binary")) % 20
+    text = shown("text")
+    return (
+        rows.select(
+            "conv_id",
+            "turn",
+            F.when(fate == 4, "user").otherwise(shown("role")).alias("role"),
+            F.when(fate == 1, "")
+            .when(fate == 2, F.regexp_replace(text, "[.!?]", ""))
+            .otherwise(text)
+            .alias("text"),
+            F.explode(F.array_repeat(F.lit(0), F.when(fate == 0, 0).when(fate == 3, 2).otherwise(1))).alias("_"),
+        )
+        .drop("_")
+    )
+
+
+def op12_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    rows = read(spark, sf, "conversations")
+    repaired = conversation_repair.repair_conversations(damaged(rows)).withColumnRenamed("conv_id", "_c")
+    zeros = [
+        F.coalesce(c, F.lit(0).cast("long")).alias(c)
+        for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    ]
+    every = rows.select(F.col("conv_id").cast("long").alias("conv_id")).distinct()
+    return every.join(repaired, F.col("conv_id").eqNullSafe(F.col("_c")), "left").select(
+        "conv_id",
+        *zeros,
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
+
+
+def op13_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    words = spelling.vocabulary(read(spark, sf, "documents"), slips=SLIPS)
+    return spelling.spelling_variants(words)
+
+
 def _exact_topk_sql() -> str:
     return f"""
         WITH kept AS (
@@ -271,6 +330,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_licenses": op9_licenses,
         "op10_toxicity": op10_toxicity,
         "op11_jaccard_join": op11_jaccard_join,
+        "op12_conversation_repair": op12_conversation_repair,
+        "op13_spelling_variants": op13_spelling_variants,
     }
 
 
