@@ -7,7 +7,7 @@ that all sets follow (the prefix bound). Sets that share such a shingle meet in
   counts over all texts and steers costs only; any order gives the same links.
 * A large group is cut into bands of similar size and its bands into blocks. A tile is a
   pair of blocks of one band or of neighbouring ones; bands further apart can't be similar.
-* In a tile every set has a bitmap: bit h % BITS is the parity of its shingles with that
+* In a tile every set has a bitmap: bit h % bits is the parity of its shingles with that
   hash. Bits in which two bitmaps differ bound the shingles that aren't common from below,
   so the overlap from above. Pairs beyond the bound go; what is left forms clusters.
 * Clusters are dealt into tiles again, now with their full sorted arrays, whose exact
@@ -33,7 +33,7 @@ from ledgerloom.llm.shingle_sets import shingle_sets
 from ledgerloom.operators.joins import join_small
 from ledgerloom.session import spread
 
-BITS = 512
+LEAST_BITS = 256
 BLOCK = 512  # sets in a block
 ROOM = 1 << 20  # shingles in a block
 WINDOW = 4 << 20  # shingles counted at a time
@@ -126,12 +126,18 @@ def _arrays(batch, width):
         start += len(sizes)
 
 
-def _bitmaps(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Parity bitmaps of the sets flat[at[k]:at[k+1]], one row of 64-bit words each."""
-    of = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    place = of * BITS + (flat % np.uint64(BITS)).astype(np.int64)
-    odd = (np.bincount(place, minlength=(len(at) - 1) * BITS) & 1).astype(np.uint8)
-    return np.packbits(odd.reshape(-1, BITS), axis=1).view(np.uint64)
+def _bitmap(shingles: np.ndarray) -> np.ndarray:
+    """Parity bitmap of a set: a power of two of bits, as many as shingles and LEAST_BITS at
+    least, so that long sets don't look alike."""
+    bits = max(LEAST_BITS, 1 << (len(shingles) - 1).bit_length())
+    odd = np.bincount((shingles % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def _folded(bitmaps: np.ndarray) -> np.ndarray:
+    """Bitmaps (last axis) of half as many bits."""
+    half = bitmaps.shape[-1] // 2
+    return bitmaps[..., :half] ^ bitmaps[..., half:]
 
 
 def _prefixes(width: int, percent: int, frequent):
@@ -146,31 +152,25 @@ def _prefixes(width: int, percent: int, frequent):
                 if len(known) and len(flat):
                     near = np.minimum(np.searchsorted(known, flat), len(known) - 1)
                     weight = np.where(known[near] == flat, often[near], 0)
-                bits = _bitmaps(flat, at)
-                out = ([], [], [], [], [])
+                out = ([], [], [], [])
                 for k in np.flatnonzero(sizes):
                     a, b = at[k], at[k + 1]
                     first = np.argsort(weight[a:b], kind="stable")
                     first = first[: sizes[k] - _required(sizes[k], percent) + 1] + a
                     out[0].append(ids[k])
                     out[1].append(_half_print(xxhash.xxh3_128_digest(flat[a:b])))
-                    out[2].append(bits[k].tobytes())
+                    out[2].append(_bitmap(flat[a:b]).tobytes())
                     out[3].append(signed(flat[first]))
-                    out[4].append(weight[first])
                 ends = pa.array(np.cumsum([0, *map(len, out[3])]).astype(np.int32))
-                tokens, weights = (
-                    pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x) if x else [], pa.int64()))
-                    for x in out[3:]
-                )
+                tokens = pa.array(np.concatenate(out[3]) if out[3] else [], pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(out[0], pa.int64()),
                         pa.array(out[1], pa.int64()),
                         pa.array(out[2], pa.binary()),
-                        tokens,
-                        weights,
+                        pa.ListArray.from_arrays(ends, tokens),
                     ],
-                    names=["id", "half", "bits", "tokens", "weights"],
+                    names=["id", "half", "bits", "tokens"],
                 )
 
     return run
@@ -267,18 +267,38 @@ def _root(parent: list[int], x: int) -> int:
     return x
 
 
-def _bounded(n_a, n_b, apart, percent):
-    """Whether the sizes and the differing bits leave room for enough common shingles."""
-    return 100 * (n_a + n_b - apart) >= percent * (n_a + n_b + apart)
-
-
-def _partners(i: int, side: np.ndarray, n: np.ndarray, bits: np.ndarray, percent: int) -> np.ndarray:
-    """Members after i of a tile that the bound leaves as partners of i."""
-    others = np.arange(i + 1, len(n))
-    if side[i] >= 0:
-        others = others[side[others] != side[i]]
-    apart = np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1, dtype=np.int64)
-    return others[_bounded(n[i], n[others], apart, percent)]
+class _Tile:
+    """Members of one tile by the width of their bitmaps."""
+
+    def __init__(self, side: np.ndarray, n: np.ndarray, bitmaps: list[np.ndarray], percent: int):
+        self.side, self.n, self.bitmaps, self.percent = side, n, bitmaps, percent
+        widths = np.array([len(b) for b in bitmaps])
+        self.at = {int(w): np.flatnonzero(widths == w) for w in np.unique(widths)}
+        self.of = {w: np.stack([bitmaps[k] for k in at]) for w, at in self.at.items()}
+        self.half = {w: _folded(of) for w, of in self.of.items() if w // 2 in self.of}
+
+    def partners(self, i: int) -> np.ndarray:
+        """Members after i whose sizes and bitmaps leave room for enough common shingles."""
+        mine = self.bitmaps[i]
+        width, found = len(mine), []
+        for w, own, their in (
+            (width, mine, self.of),
+            (2 * width, mine, self.half),
+            (width // 2, _folded(mine) if width // 2 in self.of else None, self.of),
+        ):
+            if w not in their:
+                continue
+            after = np.searchsorted(self.at[w], i, "right")
+            others, bits = self.at[w][after:], their[w][after:]
+            n = self.n[others]
+            fit = 100 * np.minimum(n, self.n[i]) >= self.percent * np.maximum(n, self.n[i])
+            if self.side[i] >= 0:
+                fit &= self.side[others] != self.side[i]
+            others, n = others[fit], n[fit]
+            apart = np.bitwise_count(bits[fit] ^ own).sum(axis=1, dtype=np.int64)
+            both = n + self.n[i]
+            found.append(others[100 * (both - apart) >= self.percent * (both + apart)])
+        return np.concatenate(found)
 
 
 def _met(percent: int):
@@ -288,30 +308,20 @@ def _met(percent: int):
     def run(batches):
         for tile, side, v, n, bits in _tile_runs(batches, 5):
             side, v, n = (x.to_numpy(zero_copy_only=False) for x in (side, v, n))
-            bits = np.frombuffer(b"".join(bits.to_pylist()), dtype=np.uint64).reshape(len(v), -1)
+            bitmaps = [np.frombuffer(b, dtype=np.uint64) for b in bits.to_pylist()]
             key = tile.to_numpy(zero_copy_only=False)
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            sizes = np.diff(np.r_[starts, len(key)])
-            found = []
-            two = starts[sizes == 2]
-            if len(two):
-                apart = np.bitwise_count(bits[two] ^ bits[two + 1]).sum(axis=1, dtype=np.int64)
-                good = two[
-                    _bounded(n[two], n[two + 1], apart, percent)
-                    & ((side[two] < 0) | (side[two] != side[two + 1]))
-                ]
-                found.append(np.column_stack([v[good], v[good + 1]]))
-            for start, size in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
-                here = slice(start, start + size)
-                s, m, b, parent, edges = side[here], n[here], bits[here], list(range(size)), []
-                for i in range(size - 1):
-                    for j in _partners(i, s, m, b, percent).tolist():
+            edges = []
+            for start, stop in zip(starts, np.r_[starts[1:], len(key)], strict=True):
+                here = _Tile(side[start:stop], n[start:stop], bitmaps[start:stop], percent)
+                parent = list(range(stop - start))
+                for i in range(len(parent) - 1):
+                    for j in here.partners(i).tolist():
                         x, y = _root(parent, i), _root(parent, j)
                         if x != y:
                             parent[y] = x
                             edges.append((v[start + i], v[start + j]))
-                found.append(np.array(edges, dtype=np.int64).reshape(-1, 2))
-            both = np.concatenate(found) if found else np.empty((0, 2), np.int64)
+            both = np.array(edges, dtype=np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"]
             )
@@ -349,10 +359,10 @@ def _linked(percent: int):
             table.column(c).to_numpy() for c in ("side", "id", "twin", "n", "copies")
         )
         sets = [np.frombuffer(b, dtype=np.uint64) for b in table.column("shingles").to_pylist()]
-        bits = _bitmaps(np.concatenate(sets), np.r_[0, np.cumsum(n)])
+        tile = _Tile(side, n, [_bitmap(s) for s in sets], percent)
         parent, links = list(range(len(ids))), np.zeros(len(ids), dtype=np.int64)
         for i in range(len(ids) - 1):
-            js = _partners(i, side, n, bits, percent)
+            js = tile.partners(i)
             if not len(js):
                 continue
             theirs = np.concatenate([sets[j] for j in js])
@@ -415,19 +425,17 @@ def jaccard_join(
 
     first = source.filter("id is not null").mapInArrow(
         _prefixes(width, percent, frequent),
-        "id long, half long, bits binary, tokens array<long>, weights array<long>",
+        "id long, half long, bits binary, tokens array<long>",
     )
     lead = sets.select("id", "half", "twin", "n", F.when(F.col("twin") == 0, F.col("id")).otherwise(
         F.xxhash64("id", "twin")).alias("v"))
     first = written(first.join(lead, ["id", "half"]).dropDuplicates(["id", "half"]))
-    tokens = first.select(
-        "id", "twin", F.explode(F.arrays_zip(F.col("tokens").alias("token"), F.col("weights").alias("w"))).alias("t")
-    ).select(*_KEY, F.col("t.token").alias("grp"), F.col("t.w").alias("w"))
-    rare = tokens.filter("w = 0").select(*_KEY, "grp")
-    again = rare.groupBy("grp").agg(F.count(F.lit(1)).alias("_m")).filter("_m > 1").select("grp")
-    shared = rare.join(again, "grp").select(*_KEY, "grp").unionAll(
-        tokens.filter("w > 0").select(*_KEY, "grp")
-    )
+    tokens = first.select(*_KEY, F.explode("tokens").alias("grp"))
+    # Shingles with the very same sets say the same; one of them is enough.
+    same = [F.bit_xor(F.xxhash64(*_KEY, F.lit(seed))).alias(f"_h{seed}") for seed in (1, 2)]
+    shared = tokens.groupBy("grp").agg(F.count(F.lit(1)).alias("_m"), *same).filter("_m > 1")
+    shared = shared.groupBy("_m", "_h1", "_h2").agg(F.min("grp").alias("grp")).select("grp")
+    shared = tokens.join(shared, "grp")
     met = written(shared.join(first.select(*_KEY, "n", "v", "bits"), _KEY))
     tiles = _tiles(met, percent).select(F.xxhash64("tile").alias("tile"), "side", "v", "n", "bits")
     pairs = tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(
