@@ -27,6 +27,7 @@ RUNS = "[A-Za-zÀ-ÿ]+"
 SHORTEST = 6  # code points of a word; its halves have three at least
 LEAST = 5  # occurrences of a word, and how many times as often its form occurs
 BLOCK = 20_000  # words indexed at a time
+TOGETHER = 1_000  # words searched at a time
 HALF = 3
 BROADCAST_GROUPS = 200_000  # rows of 24 bytes
 
@@ -88,6 +89,7 @@ class Half:
         self.before = text[order - 1]  # the text is a ring
         self.word = np.repeat(np.arange(len(words)), sizes + 1)[order]
         self.size = len(text)
+        self.letters = np.unique(text[text > 0])
         self.delimiters = len(words)
         rows = np.argsort(self.before, kind="stable")
         self.keys = self.before[rows].astype(np.int64) * self.size + rows
@@ -98,6 +100,20 @@ class Half:
         base = letter.astype(np.int64) * self.size
         return np.searchsorted(self.keys, base + low), np.searchsorted(self.keys, base + high)
 
+    def letters_before(self, low, high):
+        """(number of an interval, letter) for the letters that stand before its suffixes,
+        or for all letters there are where the interval has more suffixes than that."""
+        wide = np.flatnonzero(high - low > len(self.letters))
+        every = np.repeat(wide, len(self.letters)), np.tile(self.letters, len(wide))
+        slim = np.flatnonzero(high - low <= len(self.letters))
+        spans = (high - low)[slim]
+        of = np.repeat(slim, spans)
+        row = np.arange(len(of)) - np.repeat(np.cumsum(spans) - spans, spans) + low[of]
+        seen = np.unique(of * (1 << 20) + self.before[row])
+        of, letter = seen >> 20, seen & ((1 << 20) - 1)
+        kept = letter > 0
+        return np.r_[of[kept], every[0]], np.r_[letter[kept], every[1]]
+
     def found(self, low, high):
         """Of intervals, which hold a whole word, and its number: a delimiter stands before."""
         at = np.searchsorted(self.keys, low)
@@ -136,13 +152,10 @@ def one_error(index: Half, words: np.ndarray, sizes: np.ndarray, exact: np.ndarr
         q, t, lo, hi = (x[fork] for x in (query, taken, low, high))
         more = t < sizes[q]
         edited = [np.r_[a, b] for a, b in zip(edited, (q[more], t[more] + 1, lo[more], hi[more]), strict=True)]
-        spans = hi - lo
-        of = np.repeat(np.arange(len(q)), spans)
-        row = np.arange(len(of)) - np.repeat(np.cumsum(spans) - spans, spans) + lo[of]
-        seen = np.unique(of * (1 << 20) + index.before[row])
-        of, other = seen >> 20, seen & ((1 << 20) - 1)
-        of, other = of[other > 0], other[other > 0]
+        of, other = index.letters_before(lo, hi)
         l2, h2 = index.step(other, lo[of], hi[of])
+        alive = l2 < h2
+        of, other, l2, h2 = of[alive], other[alive], l2[alive], h2[alive]
         edited = [np.r_[a, b] for a, b in zip(edited, (q[of], t[of], l2, h2), strict=True)]  # inserted
         swap = more[of]
         swap[swap] = letter(q[of[swap]], t[of[swap]]) != other[swap]
@@ -183,17 +196,24 @@ def _near(key, table):
     for row, k in enumerate(asked):
         padded[row, len(padded[row]) - sizes[row] :] = letters[k]
     left = sizes // 2
-    q, w = one_error(index, padded, sizes, left if mirrored else sizes - left)
+    exact = left if mirrored else sizes - left
     best: dict[int, list] = {}
-    for a, b in zip(q.tolist(), w.tolist(), strict=True):
+
+    def note(a, b):
         mine, other = words[asked[a]], words[inside[b]]
         if not mirrored and mine[: left[a]] == other[: left[a]]:
-            continue  # the other scheme has it
+            return  # the other scheme has it
         n = int(counts[inside[b]])
         held = best.setdefault(a, [0, -1, ""])
         held[0] += 1
         if n > held[1] or (n == held[1] and other < held[2]):
             held[1:] = n, other
+
+    for start in range(0, len(asked), TOGETHER):
+        some = slice(start, start + TOGETHER)
+        q, w = one_error(index, padded[some], sizes[some], exact[some])
+        for a, b in zip((q + start).tolist(), w.tolist(), strict=True):
+            note(a, b)
     return pa.table(
         {
             "word": pa.array([words[asked[a]] for a in best], pa.string()),
