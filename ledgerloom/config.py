@@ -35,6 +35,9 @@ class EngineConfig:
     # indexing
     table_summary_enabled: bool = True
     embedding_dim: int = 64
+    index_buckets: int = 32  # folders that words are hashed to; fixed for the life of an index
+    posting_range: int = 4096  # index positions per posting row, likewise fixed
+    first_ranges: int = 4  # ranges a query scores before the rest is bounded
     # program generation and execution
     max_retry_attempts: int = 3
     self_consistency: bool = True

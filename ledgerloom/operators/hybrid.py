@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ledgerloom.config import EngineConfig
 from ledgerloom.functions.text import tokens
 from ledgerloom.operators.bm25 import bm25_scores
+from ledgerloom.operators.index import Index
 from ledgerloom.operators.joins import fits, join_small
 from ledgerloom.operators.vector import vector_topk
 
@@ -21,31 +22,39 @@ def pool_size(k: int, cfg: EngineConfig) -> int:
 
 
 def _keyword_pool(
-    queries: DataFrame, docs: DataFrame, hits: DataFrame, pool: int, cfg: EngineConfig, stored: dict
+    queries: DataFrame, docs: DataFrame, hits: DataFrame, pool: int, cfg: EngineConfig, index: Index | None
 ) -> DataFrame:
     """(query_id, doc_key, ord, bm25): all vector hits that share a word with the
     query plus the best `pool` other documents. Nothing else can reach the pool,
     and the best score overall is always among them."""
-    scores = bm25_scores(queries, docs, cfg, **stored)
+    n_hits = 2 * pool
+    if index is None:
+        scores = bm25_scores(queries, docs, cfg)
+    else:
+        scores = index.scores(queries, n_hits + pool, cfg, also=hits.select("query_id", "ord"))
     marked = join_small(
         scores,
-        hits.select("query_id", "doc_key", F.lit(True).alias("is_hit")),
-        ["query_id", "doc_key"],
+        hits.select("query_id", "ord", F.lit(True).alias("is_hit")),
+        ["query_id", "ord"],
         cfg.broadcast_max_rows,
         cfg.salt_buckets,
-        ["doc_key"],
+        ["ord"],
         "left",
         known_small=fits(queries, cfg.broadcast_max_rows // (2 * pool)),
     )
     order = Window.partitionBy("query_id").orderBy(
         F.col("is_hit").desc_nulls_last(), F.col("bm25").desc(), "ord"
     )
-    n_hits = 2 * pool
-    return (
+    kept = (
         marked.withColumn("n", F.row_number().over(order))
         .filter(F.col("n") <= n_hits + pool)
         .drop("n", "is_hit")
     )
+    if index is None:
+        return kept
+    small = fits(queries, cfg.broadcast_max_rows // (n_hits + pool))
+    keys = docs.select("ord", "doc_key")
+    return keys.join(F.broadcast(kept), "ord") if small else keys.join(kept, "ord")
 
 
 def _first_documents(queries: DataFrame, docs: DataFrame, n: int) -> DataFrame:
@@ -61,15 +70,15 @@ def hybrid_topk(
     docs: DataFrame,
     k: int | None = None,
     cfg: EngineConfig = EngineConfig(),
-    stored: dict | None = None,
+    index: Index | None = None,
 ) -> DataFrame:
     """(query_id, doc_key, ord, score, rank) of the fused candidates.
 
     queries: (query_id, query, embedding); docs: (doc_key, ord, content, embedding).
     score = vector_weight / (1 + distance) + bm25_weight * bm25 / max(bm25).
     Equal scores rank vector hits first, nearest first, then index order. With
-    reranking enabled the candidate pool is returned, otherwise the top k. `stored`
-    passes df, stats and terms of a persisted index on to the BM25 scoring.
+    reranking enabled the candidate pool is returned, otherwise the top k. With an
+    `index`, whose chunks docs then are, BM25 scores come from its postings.
     """
     pool = pool_size(k or cfg.top_k, cfg)
     hits = vector_topk(queries, docs, 2 * pool, cfg).select(
@@ -79,7 +88,7 @@ def hybrid_topk(
         "query_id", "doc_key", "ord", "distance", "vector_rank", F.lit(0.0).alias("bm25")
     ).unionByName(_first_documents(queries, docs, pool), allowMissingColumns=True)
     if cfg.enable_hybrid and cfg.bm25_weight > 0:
-        keywords = _keyword_pool(queries, docs, hits, pool, cfg, stored or {})
+        keywords = _keyword_pool(queries, docs, hits, pool, cfg, index)
         candidates = candidates.unionByName(keywords, allowMissingColumns=True)
     one = candidates.groupBy("query_id", "doc_key", "ord").agg(
         F.min("distance").alias("distance"),
@@ -162,13 +171,13 @@ def retrieve(
     k: int | None = None,
     cfg: EngineConfig = EngineConfig(),
     scorer=token_overlap,
-    stored: dict | None = None,
+    index: Index | None = None,
 ) -> DataFrame:
     """Top k documents per query with their columns, reranked if enabled."""
     pool = pool_size(k or cfg.top_k, cfg)
     small = fits(queries, cfg.broadcast_max_rows // pool)
     found = with_documents(
-        hybrid_topk(queries, docs, k, cfg, stored), docs.drop("embedding"), cfg, small
+        hybrid_topk(queries, docs, k, cfg, index), docs.drop("embedding"), cfg, small
     )
     if not cfg.rerank_enabled:
         return found

@@ -1,137 +1,236 @@
-"""A persistent retrieval index of append-only Parquet tables.
-
-    chunks         the chunk rows with doc_key, ord and embedding
-    terms          per chunk its length and words with counts
-    term_df        per batch and word the number of chunks that hold it
-    corpus_stats   per batch the number of chunks and words
-
-Every batch of additions is one directory per table; writing a batch again
-replaces it. Document frequencies and lengths of batches add up, so an addition
-never rescans the corpus.
+"""A persistent retrieval index: segments of Parquet tables behind published snapshots.
+
+    chunks         the chunk rows with doc_key, ord, embedding and a hash of their content
+    postings       word postings by hash bucket (see postings.py)
+    term_df        per word the number of chunks that hold it, negative for removed ones
+    corpus_stats   the number of chunks and words, likewise
+    dead           positions in earlier segments that no longer count
+
+Every change is one segment: new and changed chunks are added at the end of the index order,
+the positions of changed and removed ones are declared dead. Counts of segments add up, so a
+change reads the index's keys and hashes and the texts it replaces, nothing else. A segment
+counts from the moment its manifest is published; what a failed writer leaves is never read.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
+from uuid import uuid4
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import StructType
 
 from ledgerloom.config import EngineConfig
 from ledgerloom.functions.vectors import embed_text
 from ledgerloom.operators.bm25 import document_frequency, tokenised
-from ledgerloom.operators.joins import fits
+from ledgerloom.operators.joins import join_small
+from ledgerloom.operators.ordering import with_positions
+from ledgerloom.operators.postings import bucket_of, build_postings, indexed_scores, write_postings
+from ledgerloom.operators.snapshots import SnapshotLog
 from ledgerloom.session import materialise
 
-_TABLES = ["chunks", "terms", "term_df", "corpus_stats"]
+_POSTINGS = (
+    "token string, range long, n int, max_tf int, min_len int,"
+    " places array<int>, tfs array<int>, lens array<int>"
+)
 
 
 @dataclass(frozen=True)
 class Index:
+    """One snapshot. `chunks` are the live ones."""
+
+    spark: SparkSession
+    root: str
+    manifest: dict
     chunks: DataFrame
-    terms: DataFrame
     document_frequency: DataFrame
     stats: DataFrame
+    dead: DataFrame
+
+    def layout(self, cfg: EngineConfig) -> EngineConfig:
+        """cfg with the layout the index was begun with."""
+        return cfg.replace(**self.manifest["layout"])
+
+    def postings(self, tokens: DataFrame | None = None, cfg: EngineConfig = EngineConfig()) -> DataFrame:
+        """Posting rows, of the buckets of the given tokens only. The list of buckets is
+        all the driver sees, index_buckets numbers at most."""
+        wanted, cfg = None, self.layout(cfg)
+        if tokens is not None:
+            wanted = {r["b"] for r in tokens.select(bucket_of(F.col("token"), cfg).alias("b")).distinct().collect()}
+        paths = [
+            f"{self.root}/data/{s['name']}/postings/bucket={b}"
+            for s in self.manifest["segments"]
+            for b in s["buckets"]
+            if wanted is None or b in wanted
+        ]
+        if not paths:
+            return self.spark.createDataFrame([], _POSTINGS)
+        return self.spark.read.schema(_POSTINGS).parquet(*paths)
+
+    def scores(
+        self, queries: DataFrame, k: int, cfg: EngineConfig = EngineConfig(), also: DataFrame | None = None,
+        scan: list | None = None,
+    ) -> DataFrame:
+        """(query_id, ord, bm25) of the k best chunks per query (and more), and of `also`."""
+        asked = tokenised(queries.select(F.col("query_id").alias("doc_key"), F.lit(0).alias("ord"), F.col("query").alias("content")))
+        words = asked.select(F.explode("toks").alias("token")).distinct()
+        dead = self.dead if any(s["dead"] for s in self.manifest["segments"]) else None
+        return indexed_scores(
+            queries, self.postings(words, cfg), self.document_frequency, self.stats, k, self.layout(cfg), dead,
+            also, scan,
+        )
+
+
+    def topk(self, queries: DataFrame, k: int, cfg: EngineConfig = EngineConfig()) -> DataFrame:
+        """(query_id, doc_key, score, rank) of the k best chunks per query by BM25; ties in
+        index order."""
+        best = Window.partitionBy("query_id").orderBy(F.col("bm25").desc(), "ord")
+        found = (
+            self.scores(queries, k, cfg)
+            .withColumn("rank", F.row_number().over(best))
+            .filter(F.col("rank") <= k)
+        )
+        keys = self.chunks.select("ord", "doc_key")
+        return join_small(keys, found, ["ord"], cfg.broadcast_max_rows, 1, ["ord"]).select(
+            "query_id", "doc_key", F.col("bm25").alias("score"), "rank"
+        )
 
 
-def term_counts(chunks: DataFrame) -> DataFrame:
-    """(doc_key, ord, doc_len, terms): counted words of every chunk."""
-    toks = tokenised(chunks)
-    return (
-        toks.select("doc_key", "ord", "doc_len", F.explode_outer("toks").alias("token"))
-        .groupBy("doc_key", "ord", "doc_len", "token")
-        .agg(F.count("token").alias("tf"))
-        .groupBy("doc_key", "ord", "doc_len")
-        .agg(F.collect_list(F.struct("token", "tf")).alias("terms"))
-    )
+def _content_hash(chunks: DataFrame) -> Column:
+    named = sorted(c for c in chunks.columns if c not in ("ord", "embedding", "content_hash"))
+    return F.sha2(F.to_json(F.struct(*named)), 256)
 
 
-def add_to_index(
+def publish(
     chunks: DataFrame,
     root: str,
-    batch: str,
+    batch: str | None = None,
     cfg: EngineConfig = EngineConfig(),
     embed: Column | None = None,
-) -> None:
-    """Append chunks (chunk schema with doc_key and ord) whose key is not indexed yet."""
+    scope: Column | None = None,
+) -> dict:
+    """Bring chunks (chunk schema with doc_key, unique, and ord) into the index as one new
+    snapshot; returns its manifest.
+
+    Chunks whose key is new are added in the order of their ord, those whose content changed
+    replace the old ones, equal ones are left. With `scope`, a condition on indexed chunks,
+    chunks that satisfy it and are not given are removed: F.lit(True) makes the index hold
+    just the given ones. A batch name that is published already is not taken again, so a
+    repeated write (a restarted stream) changes nothing.
+    """
     spark = chunks.sparkSession
-    if _exists(spark, f"{root}/chunks"):
-        # parsing happens once; the keys are looked up before the rows are written
-        chunks = materialise(chunks)
-        others = spark.read.parquet(f"{root}/chunks").filter(F.col("batch") != batch)
-        known = others.select("doc_key")
-        if fits(chunks, cfg.broadcast_max_rows):
-            # a small batch: scan the key column of the index, shuffle nothing
-            known = known.join(F.broadcast(chunks.select("doc_key")), "doc_key", "left_semi")
-        start = others.agg(F.max("ord").alias("last")).first()["last"]
-        chunks = chunks.join(known, "doc_key", "left_anti").withColumn(
-            "ord", F.col("ord") + F.lit(0 if start is None else start + 1)
-        )
+    log = SnapshotLog(spark, root)
+    current = log.read()
+    if current is not None and batch is not None and batch in current["batches"]:
+        return current
+    rows = materialise(chunks.withColumn("content_hash", _content_hash(chunks)))
+    gone = None
+    if current is not None and current["segments"]:
+        known = _read(spark, root, current).chunks
+        old = known.select(F.col("doc_key"), F.col("ord").alias("_ord"), F.col("content_hash").alias("_hash"))
+        given = rows.select("doc_key", F.col("content_hash").alias("_new"))
+        bounds = (["doc_key"], cfg.broadcast_max_rows, 1, ["doc_key"])
+        met = materialise(join_small(old, given, *bounds))
+        changed = met.filter("_hash <> _new").select("_ord")
+        gone = changed
+        if scope is not None:
+            inside = known.filter(F.coalesce(scope, F.lit(False))).select("doc_key", F.col("ord").alias("_ord"))
+            gone = changed.unionAll(join_small(inside, given, *bounds, how="left_anti").select("_ord"))
+        gone = materialise(gone.select(F.col("_ord").alias("ord")).distinct())
+        same = met.filter("_hash = _new").select("doc_key")
+        rows = join_small(rows, same, *bounds, how="left_anti")
+    layout = {"index_buckets": cfg.index_buckets, "posting_range": cfg.posting_range}
+    if current is not None and current["segments"]:
+        layout = current["layout"]
+        cfg = cfg.replace(**layout)
+    if current is not None and rows.isEmpty() and (gone is None or gone.isEmpty()):
+        return log.publish(current | {"batches": [*current["batches"], *([batch] if batch else [])]}, current)
+    start = 0 if current is None else current["next_ord"]
     vector = embed_text(F.col("content"), cfg.embedding_dim) if embed is None else embed
-    _write_batch(chunks.withColumn("embedding", vector), root, batch)
-
-
-def remove_from_index(spark: SparkSession, root: str, ticker: str) -> None:
-    """Take a ticker's chunks, words and counts out of every batch that holds some."""
-    if not _exists(spark, f"{root}/chunks"):
-        return
-    chunks = spark.read.parquet(f"{root}/chunks")
-    gone = F.col("ticker").eqNullSafe(ticker)
-    for row in chunks.filter(gone).select("batch").distinct().collect():
-        left = chunks.filter((F.col("batch") == row["batch"]) & ~gone).drop("batch")
-        _write_batch(materialise(left), root, row["batch"])  # computed before it is overwritten
+    rows = with_positions(rows, "ord", "doc_key", name="_place")
+    rows = rows.withColumn("ord", F.col("_place") + F.lit(start)).drop("_place")
+    segment = _write_segment(spark, root, log, rows.withColumn("embedding", vector), gone, current, cfg)
+    return log.publish(
+        {
+            "segments": [*(current["segments"] if current else []), segment],
+            "batches": [*(current["batches"] if current else []), *([batch] if batch else [])],
+            "next_ord": start + segment["n_chunks"],
+            "layout": layout,
+        },
+        current,
+    )
 
 
-def _write_batch(chunks: DataFrame, root: str, batch: str) -> None:
-    spark = chunks.sparkSession
-    _write(chunks, root, "chunks", batch)
-    stored = spark.read.parquet(f"{root}/chunks/batch={batch}")
-    _write(term_counts(stored), root, "terms", batch)
+def _write_segment(spark, root, log, rows, gone, current, cfg) -> dict:
+    name = uuid4().hex
+    path = f"{root}/data/{name}"
+    rows.write.parquet(f"{path}/chunks")
+    stored = spark.read.schema(rows.schema).parquet(f"{path}/chunks")
+    write_postings(build_postings(stored, cfg), f"{path}/postings", cfg)
     toks = tokenised(stored)
-    _write(document_frequency(toks), root, "term_df", batch)
-    _write(
-        toks.agg(F.count(F.lit(1)).alias("n_docs"), F.sum("doc_len").alias("n_words")),
-        root,
-        "corpus_stats",
-        batch,
+    df, n_dead = document_frequency(toks), 0
+    sizes = toks.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("n_words"))
+    if gone is not None:
+        gone.write.parquet(f"{path}/dead")
+        n_dead = spark.read.schema("ord long").parquet(f"{path}/dead").count()
+    if n_dead:
+        replaced = join_small(_read(spark, root, current).chunks, gone, ["ord"], cfg.broadcast_max_rows, 1, ["ord"], how="left_semi")
+        lost = tokenised(replaced)
+        df = df.unionAll(document_frequency(lost).select("token", -F.col("df")))
+        sizes = sizes.unionAll(lost.agg(-F.count(F.lit(1)), -F.coalesce(F.sum("doc_len"), F.lit(0))))
+    df.write.parquet(f"{path}/term_df")
+    sizes.write.parquet(f"{path}/corpus_stats")
+    buckets = [int(n.removeprefix("bucket=")) for n in log.children(f"data/{name}/postings") if n.startswith("bucket=")]
+    return {
+        "name": name, "buckets": buckets, "dead": n_dead, "schema": rows.schema.json(), "n_chunks": stored.count(),
+    }
+
+
+def _read(spark: SparkSession, root: str, manifest: dict) -> Index:
+    def tables(name, schema, of=None):
+        paths = [f"{root}/data/{s['name']}/{name}" for s in manifest["segments"] if of is None or of(s)]
+        return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+    segments = manifest["segments"]
+    dead = tables("dead", "ord long", lambda s: s["dead"])
+    chunks = None
+    for schema in dict.fromkeys(s["schema"] for s in segments):
+        part = tables("chunks", StructType.fromJson(json.loads(schema)), lambda s: s["schema"] == schema)  # noqa: B023
+        chunks = part if chunks is None else chunks.unionByName(part, allowMissingColumns=True)
+    if any(s["dead"] for s in segments):
+        chunks = chunks.join(dead, "ord", "left_anti").select(*chunks.columns)
+    df = tables("term_df", "token string, df long").groupBy("token").agg(F.sum("df").alias("df"))
+    stats = tables("corpus_stats", "n_docs long, n_words long").agg(
+        F.sum("n_docs").alias("n_docs"), F.try_divide(F.sum("n_words"), F.sum("n_docs")).alias("avg_len")
     )
+    return Index(spark, root, manifest, chunks, df.filter("df > 0"), stats, dead)
 
 
-def read_index(spark: SparkSession, root: str) -> Index:
-    chunks, terms, df, stats = (spark.read.parquet(f"{root}/{t}") for t in _TABLES)
-    return Index(
-        chunks.drop("batch"),
-        terms.drop("batch"),
-        df.groupBy("token").agg(F.sum("df").alias("df")),
-        stats.agg(
-            F.sum("n_docs").alias("n_docs"),
-            F.try_divide(F.sum("n_words"), F.sum("n_docs")).alias("avg_len"),
-        ),
-    )
+def read_index(spark: SparkSession, root: str, version: int | None = None) -> Index:
+    """The newest snapshot, or an earlier version."""
+    manifest = SnapshotLog(spark, root).read(version)
+    if manifest is None or not manifest["segments"]:
+        raise FileNotFoundError(f"nothing is indexed in {root}")
+    return _read(spark, root, manifest)
 
 
 def clear_index(spark: SparkSession, root: str) -> None:
-    """Remove all batches of every table."""
-    for table in _TABLES:
-        path = f"{root}/{table}"
-        if _exists(spark, path):
-            nothing = spark.createDataFrame([], spark.read.parquet(path).schema)
-            nothing.write.mode("overwrite").partitionBy("batch").parquet(path)
-
-
-def drop_ticker(index: Index, ticker: str) -> DataFrame:
-    """The indexed chunks without one ticker, for rebuilding only that ticker."""
-    return index.chunks.filter(~F.col("ticker").eqNullSafe(ticker))
-
-
-def _write(df: DataFrame, root: str, table: str, batch: str) -> None:
-    df.write.mode("overwrite").parquet(f"{root}/{table}/batch={batch}")
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        return len(spark.read.parquet(path).columns) > 0
-    except AnalysisException as problem:
-        if problem.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return False
-        raise
+    """Publish a snapshot that holds nothing."""
+    log = SnapshotLog(spark, root)
+    current = log.read()
+    if current is not None:
+        log.publish({"segments": [], "batches": [], "next_ord": 0, "layout": {}}, current)
+
+
+def compact(spark: SparkSession, root: str, cfg: EngineConfig = EngineConfig()) -> dict:
+    """Publish the live chunks as one segment, without dead postings. Index order stays,
+    published batches stay known."""
+    log = SnapshotLog(spark, root)
+    current = log.read()
+    live = with_positions(_read(spark, root, current).chunks, "ord", name="_place")
+    rows = live.withColumn("ord", F.col("_place")).drop("_place")
+    segment = _write_segment(spark, root, log, rows, None, None, cfg.replace(**current["layout"]))
+    return log.publish(
+        current | {"segments": [segment], "next_ord": segment["n_chunks"]}, current
+    )

@@ -12,7 +12,7 @@ from ledgerloom.functions import templates
 from ledgerloom.functions.vectors import embed_text
 from ledgerloom.operators.documents import TABLE, filing_documents, with_index_order
 from ledgerloom.operators.hybrid import retrieve
-from ledgerloom.operators.index import Index, add_to_index, clear_index, read_index, remove_from_index
+from ledgerloom.operators.index import Index, publish, read_index
 from ledgerloom.operators.models import TextModel, ask
 from ledgerloom.operators.temporal import recent_filings
 from ledgerloom.operators.verify import verification
@@ -51,17 +51,15 @@ def build_index(
     ticker: str | None = None,
     model: Callable[[], TextModel] | None = None,
 ) -> Index:
-    """Index local filings. Without ticker the index is rebuilt; with one, that
-    ticker's batch is replaced and the rest stays."""
+    """Index local filings as one new snapshot. Afterwards the index holds exactly their
+    chunks, or with a ticker, exactly that ticker's and what it held of others. Chunks that
+    did not change are not written again."""
     filings = local_filings(spark, filings_root, ticker)
-    if ticker is None:
-        clear_index(spark, index_root)
-    else:
-        remove_from_index(spark, index_root, ticker)
     chunks = with_index_order(
         filing_documents(filings, fallback_date, cfg, summarise_with(model) if model else None)
     )
-    add_to_index(chunks, index_root, f"ticker-{ticker}" if ticker else "all", cfg)
+    scope = F.lit(True) if ticker is None else F.col("ticker").eqNullSafe(ticker)
+    publish(chunks, index_root, None, cfg, scope=scope)
     return read_index(spark, index_root)
 
 
@@ -75,8 +73,7 @@ def find_filings(
     """Top k recent chunks per query (query_id, query, ticker): the best 2k of the
     whole index, decayed, filtered by the query's ticker and by age."""
     asked = queries.withColumn("embedding", embed_text(F.col("query"), cfg.embedding_dim))
-    stored = {"df": index.document_frequency, "stats": index.stats, "terms": index.terms}
-    found = retrieve(asked, index.chunks, 2 * cfg.top_k, cfg, stored=stored)
+    found = retrieve(asked, index.chunks, 2 * cfg.top_k, cfg, index=index)
     wanted = queries.select("query_id", F.col("ticker").alias("wanted"))
     scoped = found.drop("rank").join(wanted, "query_id")
     return recent_filings(

@@ -331,6 +331,12 @@ one AS (SELECT p_partkey, 0 AS table_id, 'Price of ' || p_name AS caption,
 def oracle_sql() -> dict[str, str]:
     sql = {
         "bm25_topk": f"WITH {_bm25_ranked(5)} SELECT * FROM top",
+        "bm25_indexed": f"WITH {_bm25_ranked(5)} SELECT * FROM top",
+        "index_changes": f"""WITH left_docs AS (SELECT * FROM documents WHERE doc_id NOT IN
+    (SELECT doc_id FROM labels WHERE toxic = 1)), {_BM25.replace('FROM documents', 'FROM left_docs')}
+SELECT query_id, doc_id AS doc_key, bm25 AS score, {_rank(
+    "PARTITION BY query_id ORDER BY bm25 DESC, coalesce(lang = 'en', false), doc_id")} AS rank
+FROM bm JOIN (SELECT doc_id, lang FROM left_docs) USING (doc_id) QUALIFY rank <= 5""",
         "term_idf": f"WITH {_BM25} SELECT token, df, round(idf, 6) AS idf FROM idf",
         "vector_topk": f"""WITH {_PROTO}
 SELECT label AS query_id, vec_id AS doc_key, round(1 - c, 6) AS distance,

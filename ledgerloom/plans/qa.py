@@ -13,6 +13,7 @@ from ledgerloom.functions.vectors import embed_text
 from ledgerloom.operators import metrics
 from ledgerloom.operators.cache import reuse_results
 from ledgerloom.operators.documents import qa_documents, with_index_order
+from ledgerloom.operators.index import Index
 from ledgerloom.operators.hybrid import diversify, post_filter, retrieve
 from ledgerloom.operators.models import TextModel
 from ledgerloom.operators.programs import answer_by_vote, write_with_repair
@@ -43,7 +44,7 @@ def find_evidence(
     chunks: DataFrame,
     cfg: EngineConfig = EngineConfig(),
     own_question: bool = False,
-    stored: dict | None = None,
+    index: Index | None = None,
 ) -> DataFrame:
     """Per query the evidence list (at most top_k, best first).
 
@@ -52,11 +53,11 @@ def find_evidence(
     """
     k = cfg.top_k
     if own_question:
-        found = retrieve(queries, chunks, 2 * k, cfg, stored=stored)
+        found = retrieve(queries, chunks, 2 * k, cfg, index=index)
         own = post_filter(found, F.col("question_id") == F.col("query_id"), k)
         found = diversify(own, k)
     else:
-        found = retrieve(queries, chunks, k, cfg, stored=stored)
+        found = retrieve(queries, chunks, k, cfg, index=index)
     fields = [
         c
         for c in ("ticker", "filing_type", "filing_date", "section")
@@ -84,7 +85,7 @@ def answer_questions(
     model: Callable[[], TextModel],
     cfg: EngineConfig = EngineConfig(),
     own_question: bool = False,
-    stored: dict | None = None,
+    index: Index | None = None,
 ) -> DataFrame:
     """One row per question: answer, program, reasoning, intermediate values, evidence,
     sampled runs, success, error.
@@ -92,7 +93,7 @@ def answer_questions(
     The answer is voted among samples, or the program is repaired up to the allowed
     number of attempts if sampling is off.
     """
-    evidence = find_evidence(queries, chunks, cfg, own_question, stored)
+    evidence = find_evidence(queries, chunks, cfg, own_question, index)
     # at most k pieces per question; kept so that retrieval runs once
     asked = materialise(_with_numbers(queries, evidence))
     if cfg.self_consistency and not cfg.baseline_mode:

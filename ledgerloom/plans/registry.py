@@ -7,6 +7,8 @@ built row by row from the given rows, so the work grows with the data.
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ledgerloom.config import EngineConfig
@@ -26,13 +28,14 @@ from ledgerloom.operators import (
     documents,
     facts,
     hybrid,
+    index,
     metrics,
     temporal,
     vector,
     verify,
     vote,
 )
-from ledgerloom.session import spread
+from ledgerloom.session import shared_folder, spread
 
 CONFIG = EngineConfig()
 REFERENCE = "2024-02-01"
@@ -100,10 +103,34 @@ def bm25_topk(spark, sf):
     return bm25.bm25_topk(questions(spark, sf), corpus(spark, sf), CONFIG.top_k, CONFIG)
 
 
+def _keyword_index(spark, *states):
+    """An index of BM25 postings that has gone through the given states of its documents."""
+    root = f"{shared_folder(spark)}/{uuid4().hex}"
+    for state in states:
+        index.publish(state, root, None, CONFIG, embed=F.array().cast("array<float>"), scope=F.lit(True))
+    return index.read_index(spark, root)
+
+
+def bm25_indexed(spark, sf):
+    """The ranking of bm25_topk out of a persistent index."""
+    stored = _keyword_index(spark, corpus(spark, sf))
+    return stored.topk(questions(spark, sf), CONFIG.top_k, CONFIG)
+
+
+def index_changes(spark, sf):
+    """An index whose English documents were drafts first and that then lost those labelled
+    toxic: the ranking of what is left, changed documents last in index order."""
+    final = corpus(spark, sf)
+    draft = F.when(F.col("lang") == "en", F.concat("content", F.lit(" draft"))).otherwise(F.col("content"))
+    toxic = _read(spark, sf, "labels").filter("toxic = 1").select(F.col("doc_id").alias("doc_key"))
+    left = final.join(toxic, "doc_key", "left_anti")
+    stored = _keyword_index(spark, final.withColumn("content", draft), final, left)
+    return stored.topk(questions(spark, sf), CONFIG.top_k, CONFIG)
+
+
 def term_idf(spark, sf):
-    toks = bm25.tokenised(corpus(spark, sf))
-    df = bm25.document_frequency(toks)
-    n_docs = bm25.corpus_stats(toks).select("n_docs").scalar()
+    df, stats = bm25.vocabulary(corpus(spark, sf))
+    n_docs = stats.select("n_docs").scalar()
     idf = bm25.inverse_frequency(df, n_docs, CONFIG.bm25_epsilon)
     return df.join(idf, "token").select("token", "df", F.round("idf", 6).alias("idf"))
 
@@ -690,7 +717,7 @@ def answer_questions(spark, sf):
 
 
 QUERIES = [
-    bm25_topk, term_idf, vector_topk, text_embedding, hybrid_topk, hybrid_rerank,
+    bm25_topk, bm25_indexed, index_changes, term_idf, vector_topk, text_embedding, hybrid_topk, hybrid_rerank,
     diversify_by_type, postfilter_topk, prefilter_topk, semantic_cache_lookup,
     temporal_decay_rank, recent_filings, most_recent, periods_compare,
     extract_numbers, evidence_numbers, plain_numbers, numeric_claims,

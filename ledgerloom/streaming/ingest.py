@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ledgerloom.config import EngineConfig
 from ledgerloom.operators.documents import filing_documents, with_index_order
-from ledgerloom.operators.index import add_to_index
+from ledgerloom.operators.index import publish
 from ledgerloom.sources.filings import describe_files
 
 _FILES = "path string, modificationTime timestamp, length bigint, content binary"
@@ -33,12 +33,12 @@ def index_continuously(
     fallback_date: dt.datetime,
     cfg: EngineConfig = EngineConfig(),
 ) -> StreamingQuery:
-    """Add every micro-batch to the index. A repeated batch replaces its own
-    directory, so a restart neither loses nor doubles documents."""
+    """Publish every micro-batch to the index. A batch that was published already is not
+    taken again, so a restart neither loses nor doubles documents."""
 
     def add(batch: DataFrame, number: int) -> None:
         chunks = with_index_order(filing_documents(batch, fallback_date, cfg))
-        add_to_index(chunks, index_root, f"stream-{number}", cfg)
+        publish(chunks, index_root, f"stream-{number}", cfg)
 
     return (
         filings.writeStream.foreachBatch(add)

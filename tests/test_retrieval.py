@@ -1,12 +1,13 @@
 import datetime as dt
 import math
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.config import EngineConfig
-from ledgerloom.operators import bm25, cache, hybrid, index, temporal, vector
+from ledgerloom.operators import bm25, cache, hybrid, index, ordering, snapshots, temporal, vector
 from ledgerloom.functions.vectors import embed_text
 
 CFG = EngineConfig()
@@ -224,24 +225,127 @@ def index_columns():
     return {c: t for c, t in CHUNK.items() if c not in ("content", "doc_id", "chunk_id")}
 
 
+def indexed(spark, root, asked, k=3, cfg=CFG):
+    found = index.read_index(spark, root).topk(asked, k, cfg).collect()
+    return sorted((r.query_id, r.rank, r.doc_key, r.score) for r in found)
+
+
+def searched(asked, docs, k=3):
+    found = bm25.bm25_topk(asked, docs, k, CFG).collect()
+    return sorted((r.query_id, r.rank, r.doc_key, r.score) for r in found)
+
+
 def test_index_grows_by_batches(spark, docs, asked, tmp_path):
     root = str(tmp_path / "index")
     rows = chunk_rows(docs)
-    index.add_to_index(rows.filter("ord < 5"), root, "one", CFG)
-    # the second batch repeats some chunks; they are indexed once
-    index.add_to_index(rows.filter("ord >= 3"), root, "two", CFG)
-    index.add_to_index(rows.filter("ord >= 3"), root, "two", CFG)
+    index.publish(rows.filter("ord < 5"), root, "one", CFG)
+    # the second batch repeats some chunks; they are indexed once, and so is a repeated batch
+    index.publish(rows.filter("ord >= 3"), root, "two", CFG)
+    index.publish(rows.filter("ord >= 3"), root, "two", CFG)
     stored = index.read_index(spark, root)
     assert stored.chunks.count() == len(TEXTS)
-    assert stored.chunks.select("ord").distinct().count() == len(TEXTS)
-    fresh = {(r.query_id, r.doc_key): r.bm25 for r in bm25.bm25_scores(asked, docs, CFG).collect()}
-    scores = bm25.bm25_scores(asked, stored.chunks, CFG, stored.document_frequency, stored.stats, stored.terms)
-    assert {(r.query_id, r.doc_key): r.bm25 for r in scores.collect()} == fresh
+    assert sorted(r.ord for r in stored.chunks.select("ord").collect()) == list(range(len(TEXTS)))
+    assert indexed(spark, root, asked) == searched(asked, docs)
     index.clear_index(spark, root)
-    index.add_to_index(rows.filter("ord < 2"), root, "new", CFG)
+    with pytest.raises(FileNotFoundError):
+        index.read_index(spark, root)
+    index.publish(rows.filter("ord < 2"), root, "one", CFG)
     assert index.read_index(spark, root).chunks.count() == 2
 
 
+def test_index_follows_changed_and_removed_documents(spark, docs, asked, tmp_path):
+    root = str(tmp_path / "index")
+    longer = F.when(F.col("ord") % 2 == 0, F.concat("content", F.lit(" cash extra debt"))).otherwise(F.col("content"))
+    index.publish(chunk_rows(docs.withColumn("content", longer)), root, None, CFG)
+    old = indexed(spark, root, asked)
+    index.publish(chunk_rows(docs), root, None, CFG)  # shortened
+    left = docs.filter("ord not in (0, 3)")
+    index.publish(chunk_rows(left), root, None, CFG, scope=F.lit(True))  # removed
+    stored = index.read_index(spark, root)
+    order = {r.doc_key: r.ord for r in stored.chunks.collect()}
+    assert len(order) == len(TEXTS) - 2
+    # changed documents have moved behind the others
+    assert sorted(order, key=order.get) == ["d1", "d5", "d7", "d2", "d4", "d6"]
+    moved = left.drop("ord").join(stored.chunks.select("doc_key", "ord"), "doc_key")
+    assert indexed(spark, root, asked) == searched(asked, moved)
+    fresh = {r.token: r.df for r in bm25.vocabulary(left)[0].collect()}
+    assert {r.token: r.df for r in stored.document_frequency.collect()} == fresh
+    assert index.read_index(spark, root, 0).topk(asked, 3, CFG).count() == len(old)  # earlier states stay readable
+    index.compact(spark, root)
+    assert len(index.read_index(spark, root).manifest["segments"]) == 1
+    assert indexed(spark, root, asked) == searched(asked, moved)
+
+
+def test_failed_writes_leave_the_old_state(spark, docs, asked, tmp_path, monkeypatch):
+    root = str(tmp_path / "index")
+    rows = chunk_rows(docs)
+    index.publish(rows.filter("ord < 4"), root, None, CFG)
+    before = indexed(spark, root, asked)
+
+    def fails(*_):
+        raise OSError("disk full")
+
+    # the third of the segment's tables fails: two are written, none counts
+    monkeypatch.setattr(index, "document_frequency", fails)
+    with pytest.raises(OSError):
+        index.publish(rows, root, "again", CFG)
+    monkeypatch.undo()
+    assert indexed(spark, root, asked) == before
+    index.publish(rows, root, "again", CFG)
+    assert indexed(spark, root, asked) == searched(asked, docs)
+
+
+def test_two_writers_cannot_publish_one_version(spark, tmp_path):
+    log = snapshots.SnapshotLog(spark, str(tmp_path / "log"))
+    first = log.publish({"n": 1}, None)
+    second = log.publish({"n": 2}, first)
+    with pytest.raises(snapshots.Conflict):
+        log.publish({"n": 3}, first)
+    assert log.read() == second == {"n": 2, "version": 1} and log.read(0)["n"] == 1
+
+
+def test_bounds_skip_ranges_and_change_nothing(spark, tmp_path):
+    """Documents with the asked words close together lie in a few ranges; others only have a
+    frequent word, and their ranges are not scored."""
+    rng = random.Random(4)
+    texts = [f"common w{rng.randrange(50)} w{rng.randrange(50)}" for _ in range(400)]
+    for k in (17, 18, 19, 203, 204, 390):
+        texts[k] = "rare words common"
+    rows = spark.createDataFrame([(f"d{k}", k, t) for k, t in enumerate(texts)], "doc_key string, ord long, content string")
+    cfg = CFG.replace(posting_range=10, first_ranges=1, index_buckets=4)
+    root = str(tmp_path / "index")
+    index.publish(chunk_rows(rows), root, None, cfg)
+    asked = spark.createDataFrame([("a", "rare words"), ("b", "common w7 rare"), ("c", "absent")], "query_id string, query string")
+    stored, scan = index.read_index(spark, root), []
+    assert indexed(spark, root, asked, 3, cfg) == searched(asked, rows)
+    stored.scores(asked, 3, cfg, scan=scan).count()
+    assert scan[1] < scan[0] / 4
+    few = spark.createDataFrame([("w7",)], "token string")
+    names = stored.postings(few, cfg).inputFiles()
+    assert names and len(names) < len(stored.postings(None, cfg).inputFiles())
+    plan = stored.scores(asked, 3, cfg)._jdf.queryExecution().toString()
+    assert "content" not in plan
+    also = spark.createDataFrame([("b", 5), ("c", 5)], "query_id string, ord long")
+    wanted = {(r.query_id, r.ord) for r in stored.scores(asked, 1, cfg, also=also).collect()}
+    assert ("b", 5) in wanted and ("c", 5) not in wanted
+
+
+def test_hybrid_by_index_is_hybrid_by_scan(spark, docs, asked, tmp_path):
+    root = str(tmp_path / "index")
+    index.publish(chunk_rows(docs), root, None, CFG)
+    stored = index.read_index(spark, root)
+    queries = asked.withColumn("embedding", embed_text(F.col("query"), CFG.embedding_dim))
+    ways = [hybrid.hybrid_topk(queries, stored.chunks, 2, CFG, i).collect() for i in (None, stored)]
+    a, b = (sorted((r.query_id, r.rank, r.doc_key, r.score) for r in w) for w in ways)
+    assert a == b and a
+
+
+def test_positions_are_dense(spark):
+    rows = spark.range(0, 1000, 1, 7).withColumn("key", F.xxhash64("id"))
+    got = ordering.with_positions(rows, "key").orderBy("key").collect()
+    assert [r.ord for r in got] == list(range(1000))
+
+
 def test_hot_word_does_not_shuffle_by_word(docs, asked):
     plan = bm25.bm25_topk(asked, docs, 3, CFG)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan
