@@ -22,7 +22,7 @@ from ledgerloom.llm import (
     spelling,
     toxicity,
 )
-from ledgerloom.llm.common import read
+from ledgerloom.llm.common import LOWER, UPPER, read
 from ledgerloom.llm.vectors import usable
 from ledgerloom.session import materialise
 
@@ -317,6 +317,96 @@ def _mixing_sql(sweeps: int = 40) -> str:
     )
 
 
+#: The 256 remainders of the CRC-32 polynomial, worked out in SQL.
+_CRC_TABLE = """
+        crc AS (SELECT list_transform(range(256), lambda x: list_reduce(list_concat([x], range(8)),
+          lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"""
+
+
+def _crc_sql(text: str) -> str:
+    """Unsigned CRC-32 of the UTF-8 bytes of a text; needs the row of `crc` beside it."""
+    found = f"regexp_extract_all(hex(encode({text})), '..')"
+    byte_list = f"list_transform({found}, lambda x: CAST('0x' || x AS BIGINT))"
+    return (
+        f"xor(list_reduce(list_concat([4294967295::BIGINT], {byte_list}),"
+        " lambda c, b: xor(c >> 8, crc.t[(xor(c, b) & 255) + 1])), 4294967295)"
+    )
+
+
+def _lowered(text: str) -> str:
+    return f"translate(coalesce({text}, ''), '{UPPER}', '{LOWER}')"
+
+
+def _sharding_sql() -> str:
+    return f"""
+        WITH {_CRC_TABLE},
+        sized AS (SELECT doc_id, coalesce(octet_length(encode(text)), 0) + {sharding.ROW_BYTES} AS size,
+            {_crc_sql("text")} AS text_crc32 FROM documents, crc),
+        lined AS (SELECT *, sum(size) OVER (ORDER BY doc_id, text_crc32) AS upto,
+            sum(size) OVER () AS total FROM sized),
+        cut AS (SELECT *, CAST(least({SHARDS - 1}, (2 * upto - size) * {SHARDS} // (2 * total)) AS INTEGER)
+            AS shard FROM lined)
+        SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'bytes' AS law, shard,
+          row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32) - 1 AS slot,
+          CAST(NULL AS INTEGER) AS grown_shard FROM cut"""
+
+
+def _linked_sql(percent: int) -> str:
+    """Shingle sets, links between documents and the smallest document each one reaches."""
+    return rf"""
+        WITH RECURSIVE worded AS (
+          SELECT doc_id, regexp_extract_all({_lowered("text")}, '[^ 	-
+]+') AS w FROM documents),
+        shingled AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 3, 2)),
+            lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM worded WHERE len(w) > 0),
+        sizes AS (SELECT doc_id, count(*) AS n FROM shingled GROUP BY doc_id),
+        met AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common
+          FROM shingled x JOIN shingled y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
+        links AS (SELECT a, b FROM met JOIN sizes p ON a = p.doc_id JOIN sizes q ON b = q.doc_id
+          WHERE 100 * common >= {percent} * (p.n + q.n - common)),
+        reached AS (SELECT a, b FROM links UNION
+          SELECT reached.a, links.b FROM reached JOIN links ON reached.b = links.a),
+        lowest AS (SELECT a AS doc_id, min(b) AS least_id FROM reached GROUP BY a),
+        linked AS (SELECT a AS doc_id, count(*) AS n_links FROM links GROUP BY a),
+        found AS (SELECT d.doc_id, coalesce(n, 0) AS n_shingles,
+            least(d.doc_id, coalesce(least_id, d.doc_id)) AS component_id,
+            coalesce(n_links, 0) AS n_links
+          FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN lowest USING (doc_id)
+          LEFT JOIN linked USING (doc_id))"""
+
+
+def _spelling_sql() -> str:
+    cut = "substr(w, 1, k) || substr(w, k + 2)"
+    return f"""
+        WITH RECURSIVE {_CRC_TABLE},
+        runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+            unnest(regexp_extract_all({_lowered("text")}, '{spelling.RUNS}')) AS w FROM documents),
+        counted AS (SELECT id, w, count(*) AS m FROM runs GROUP BY ALL),
+        summed AS (SELECT w, m, {_crc_sql("id || ':' || w")} AS h FROM counted, crc),
+        slipped AS (SELECT CASE WHEN h % {SLIPS} = 0 THEN {cut} ELSE w END AS word, m
+          FROM (SELECT *, CAST(h % length(w) AS INTEGER) AS k FROM summed)),
+        words AS (SELECT word, CAST(sum(m) AS BIGINT) AS n FROM slipped GROUP BY word
+          HAVING length(word) >= {spelling.SHORTEST} AND sum(m) >= {spelling.LEAST}),
+        less AS (SELECT DISTINCT word, i AS place, substr(word, 1, i) || substr(word, i + 2) AS rest
+          FROM (SELECT word, unnest(range(length(word))) AS i FROM words)),
+        near AS (
+          SELECT a.word, b.word AS other FROM less a JOIN less b
+            ON a.rest = b.rest AND a.place = b.place AND a.word <> b.word
+          UNION SELECT less.word, words.word FROM less JOIN words ON less.rest = words.word
+          UNION SELECT words.word, less.word FROM less JOIN words ON less.rest = words.word),
+        best AS (SELECT near.word, other, n, count(*) OVER (PARTITION BY near.word) AS n_near
+          FROM near JOIN words ON other = words.word
+          QUALIFY row_number() OVER (PARTITION BY near.word ORDER BY n DESC, other) = 1),
+        forms AS (SELECT words.word, words.n, coalesce(n_near, 0) AS n_near,
+            CASE WHEN best.n >= {spelling.LEAST} * words.n THEN other END AS form,
+            CASE WHEN best.n >= {spelling.LEAST} * words.n THEN best.n END AS form_n
+          FROM words LEFT JOIN best USING (word)),
+        way AS (SELECT word, word AS last, 0 AS steps FROM words UNION ALL
+          SELECT way.word, form, steps + 1 FROM way JOIN forms ON way.last = forms.word WHERE form IS NOT NULL)
+        SELECT forms.word, form, root, n, n_near, form_n FROM forms
+        JOIN (SELECT word, arg_max(last, steps) AS root FROM way GROUP BY word) r ON forms.word = r.word"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_dedup": op1_near_dedup,
@@ -336,4 +426,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": _mixing_sql(), "op9_licenses": _licenses_sql(), "op7_exact_topk": _exact_topk_sql()}
+    return {
+        "op1_near_dedup": _linked_sql(75)
+        + " SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM found",
+        "op2_sharding": _sharding_sql(),
+        "op7_exact_topk": _exact_topk_sql(),
+        "op8_mixing": _mixing_sql(),
+        "op9_licenses": _licenses_sql(),
+        "op11_jaccard_join": _linked_sql(80) + " SELECT * FROM found",
+        "op13_spelling_variants": _spelling_sql(),
+    }
