@@ -8,10 +8,12 @@ import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ledgerloom.session import shared_folder
+from ledgerloom.operators.joins import join_small
+from ledgerloom.session import materialise, shared_folder
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _KNOWN_WORDS = 400_000
+_REPEATED_IDS = 100_000  # rows of 50 bytes
 
 
 def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -102,3 +104,25 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{uuid4().hex}.parquet"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def text_keys(docs: DataFrame, id: str = "doc_id", text: str = "text", name: str = "_key") -> DataFrame:
+    """docs with a key that tells apart rows which repeat an id with other texts.
+
+    The key is the id, except for the further texts of an id (all but the one of the smallest
+    digest): they get numbers from 2 ** 62 up, later than all ids. Equal rows share a key, and
+    rows without an id have none.
+    """
+    digest = F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"))
+    several = (
+        docs.groupBy(F.col(id).alias("_id"))
+        .agg(F.min(digest).alias("_first"), F.max(digest).alias("_last"))
+        .filter("_first <> _last")
+        .select("_id", "_first")
+    )
+    further = F.xxhash64(F.col(id), digest).bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
+    marked = join_small(
+        docs.withColumn("_id", F.col(id)), materialise(several), ["_id"], _REPEATED_IDS, 1, ["_id"], how="left"
+    )
+    key = F.when(digest > F.col("_first"), further).otherwise(F.col(id).cast("long"))
+    return marked.withColumn(name, key).select(*docs.columns, name)

@@ -22,7 +22,7 @@ from ledgerloom.llm import (
     spelling,
     toxicity,
 )
-from ledgerloom.llm.common import LOWER, UPPER, read
+from ledgerloom.llm.common import LOWER, UPPER, read, text_keys
 from ledgerloom.llm.vectors import usable
 from ledgerloom.session import materialise
 
@@ -82,15 +82,18 @@ def op5_lm(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op6_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    docs = read(spark, sf, "documents")
-    found = materialise(passages.near_passages(docs))
-    spans = passages.repeated_spans(found).withColumnRenamed("id", "doc_id")
+    docs = text_keys(read(spark, sf, "documents").select("doc_id", "text"))
+    found = passages.near_passages(docs, "_key")
+    further = docs.filter("_key <> doc_id").select(F.col("_key").alias("a"), F.col("doc_id").alias("_a"))
+    found = found.join(further.distinct(), "a", "left").withColumn("a", F.coalesce("_a", "a")).drop("_a")
+    found = materialise(found)
+    spans = passages.repeated_spans(found).withColumnRenamed("id", "_key")
     copied = found.groupBy(F.col("a").alias("doc_id")).agg(
         F.count_distinct("b").alias("n_copied_by")
     )
     return (
-        docs.select("doc_id")
-        .join(spans, "doc_id", "left")
+        docs.select("doc_id", "_key")
+        .join(spans, "_key", "left")
         .join(copied, "doc_id", "left")
         .select(
             "doc_id",
