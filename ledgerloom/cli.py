@@ -11,6 +11,7 @@ from pyspark.sql import SparkSession, functions as F
 
 from ledgerloom.config import EngineConfig
 from ledgerloom.functions.vectors import embed_text
+from ledgerloom.operators.cache import AnswerStore
 from ledgerloom.operators.models import FirstNumbersModel, HostedModel
 from ledgerloom.plans import filings, qa
 from ledgerloom.sources.filings import company_number, download_filings, feed_entries, feed_url
@@ -28,6 +29,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--data", help="folder with the question splits")
     p.add_argument("--filings", help="folder with filings by ticker and type")
     p.add_argument("--index", help="folder of the index")
+    p.add_argument("--cache", help="folder of stored answers; similar questions reuse them")
     p.add_argument("--output", help="folder for results")
     p.add_argument("--split", default="validation")
     p.add_argument("--num-examples", type=int, help="only the first so many; default is all")
@@ -82,7 +84,13 @@ def main(argv: list[str] | None = None) -> int:
                 [("q", args.query, args.ticker)], "query_id string, query string, ticker string"
             )
             index = filings.read_index(spark, args.index)
-            filings.ask_filings(asked, index, model, dt.datetime.now(), cfg).show(truncate=False)
+            now = dt.datetime.now()
+            if args.cache:
+                store = AnswerStore(spark, args.cache)
+                found = filings.ask_filings_cached(asked, index, model, now, store, cfg)
+            else:
+                found = filings.ask_filings(asked, index, model, now, cfg)
+            found.show(truncate=False)
         return 0
 
     examples = load_split(spark, args.data, args.split)
@@ -93,7 +101,11 @@ def main(argv: list[str] | None = None) -> int:
         asked = spark.createDataFrame(
             [(args.question_id, args.query)], "query_id string, query string"
         ).withColumn("embedding", embed_text(F.col("query"), cfg.embedding_dim))
-        qa.answer_questions(asked, chunks, model, cfg, own_question=True).show(truncate=False)
+        if args.cache:
+            found = qa.answer_with_cache(asked, AnswerStore(spark, args.cache), chunks, model, cfg, own_question=True)
+        else:
+            found = qa.answer_questions(asked, chunks, model, cfg, own_question=True)
+        found.show(truncate=False)
     elif args.mode == "evaluate":
         predictions, metrics = qa.evaluate(examples, model, cfg, args.num_examples)
         if args.output:

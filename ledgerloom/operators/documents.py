@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -17,19 +18,21 @@ from ledgerloom.functions.sections import (
 )
 from ledgerloom.functions.tables import grid_markdown, grid_summary
 from ledgerloom.functions.text import strip, words
+from ledgerloom.operators.ordering import with_positions
 from ledgerloom.schema import CHUNK
 
 QA_SOURCE, FILING_SOURCE = "qa", "filing"
 TEXT, TABLE, TABLE_SUMMARY = "text", "table", "table_summary"
 
 
-def _as_chunks(rows: DataFrame) -> DataFrame:
+def _as_chunks(rows: DataFrame, more: Sequence[str] = ()) -> DataFrame:
     """Fill the chunk schema; columns the rows lack are NULL."""
     return rows.select(
         *[
             (F.col(name) if name in rows.columns else F.lit(None)).cast(kind).alias(name)
             for name, kind in CHUNK.items()
-        ]
+        ],
+        *more,
     )
 
 
@@ -49,9 +52,10 @@ def with_index_order(chunks: DataFrame, *keys: str) -> DataFrame:
 
 
 def qa_documents(
-    examples: DataFrame, with_summary: bool = True, keep_blank: bool = False
+    examples: DataFrame, with_summary: bool = True, keep_blank: bool = False, ordered: bool = False
 ) -> DataFrame:
-    """Text, table and table-summary chunks of question examples. Row-local."""
+    """Text, table and table-summary chunks of question examples. Row-local. `ordered` adds
+    the example's place and the chunk's place within it: texts before, after, table, summary."""
     none = F.lit(None).cast("string")
 
     def entry(suffix: Column, content: Column, kind: str, section: str, idx: Column, **meta):
@@ -94,15 +98,26 @@ def qa_documents(
         texts("post_text", "post"),
         F.when(F.size("table") > 0, F.array(*table)).otherwise(F.slice(F.array(*table), 1, 0)),
     )
-    return _as_chunks(
-        examples.select(F.col("id").alias("question_id"), F.explode(listed).alias("e")).select(
-            "question_id",
-            "e.*",
-            F.lit("chunk_0").alias("chunk_id"),
-            F.lit(QA_SOURCE).alias("source_type"),
-            none.alias("ticker"),
-        )
+    place = F.col("place") if "place" in examples.columns else F.lit(0)
+    rows = examples.select(
+        F.col("id").alias("question_id"), place.cast("long").alias("place"), F.posexplode(listed).alias("within", "e")
+    ).select(
+        "question_id",
+        "place",
+        "within",
+        "e.*",
+        F.lit("chunk_0").alias("chunk_id"),
+        F.lit(QA_SOURCE).alias("source_type"),
+        none.alias("ticker"),
     )
+    return _as_chunks(rows, ["place", "within"] if ordered else [])
+
+
+def in_insertion_order(chunks: DataFrame) -> DataFrame:
+    """Chunks of `qa_documents(ordered=True)` with doc_key and `ord`, their dense place in
+    the order of examples and of chunks within them."""
+    placed = with_positions(chunks, "place", "question_id", "within")
+    return placed.drop("place", "within").withColumn("doc_key", F.concat_ws("_", "doc_id", "chunk_id"))
 
 
 def split_sections(

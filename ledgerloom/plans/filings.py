@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ledgerloom.config import EngineConfig
 from ledgerloom.functions import templates
 from ledgerloom.functions.vectors import embed_text
+from ledgerloom.operators.cache import AnswerStore, answered
 from ledgerloom.operators.documents import TABLE, filing_documents, with_index_order
 from ledgerloom.operators.hybrid import retrieve
 from ledgerloom.operators.index import Index, publish, read_index
@@ -149,6 +150,33 @@ def ask_filings(
     )
 
 
+def ask_filings_cached(
+    queries: DataFrame,
+    index: Index,
+    model: Callable[[], TextModel],
+    reference: dt.datetime,
+    store: AnswerStore,
+    cfg: EngineConfig = EngineConfig(),
+) -> DataFrame:
+    """(query_id, value, from_cache): the answers of ask_filings as JSON, reused from the store
+    for the same or a similar query of the same ticker, number of results and age limit."""
+    settings = F.lit(f"filings|k={cfg.top_k}|days={cfg.max_days_old}|ticker=")
+    scoped = queries.select(
+        "query_id",
+        "query",
+        F.concat(settings, F.coalesce(F.upper("ticker"), F.lit(""))).alias("scope"),
+        embed_text(F.col("query"), cfg.embedding_dim).alias("embedding"),
+    )
+
+    def answer(left: DataFrame) -> DataFrame:
+        asked = left.select("query_id", "query").join(queries.select("query_id", "ticker"), "query_id")
+        found = ask_filings(asked, index, model, reference, cfg)
+        whole = F.to_json(F.struct("answer", "citations", "verification"))
+        return found.select("query_id", F.when(F.col("success"), whole).alias("value"))
+
+    return answered(scoped, answer, store, cfg)
+
+
 def check_with_model(
     answers: DataFrame, model: Callable[[], TextModel]
 ) -> DataFrame:

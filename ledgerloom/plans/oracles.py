@@ -471,7 +471,18 @@ SELECT * FROM one UNION ALL SELECT p_partkey, 1, NULL, p_brand || ';' || size, '
 flag AS (SELECT *, {_IMPORTANT} AS imp, bool_or({_IMPORTANT}) OVER (PARTITION BY doc_id) AS has FROM secs)
 SELECT doc_id, section, content FROM flag WHERE imp OR NOT has""",
         "chunks": _CHUNKS,
+        "cache_reuse": f"""WITH {_features('documents', 'doc_id', 'de')},
+dn AS (SELECT id, sqrt(sum(x * x)) AS n, any_value(concat_ws('/', source, lang)) AS scope
+    FROM de JOIN documents ON id = doc_id GROUP BY id),
+dot AS (SELECT p.id AS a, q.id AS b, sum(p.x * q.x) AS s FROM de p JOIN dn pn ON pn.id = p.id
+    JOIN de q ON p.f = q.f AND q.id < p.id JOIN dn qn ON qn.id = q.id AND pn.scope = qn.scope GROUP BY ALL),
+sim AS (SELECT a, b, round(s / (p.n * q.n), 6) AS similarity FROM dot JOIN dn p ON a = p.id JOIN dn q ON b = q.id)
+SELECT a AS query_id, count(*) AS n_similar, arg_min(b, (-similarity, b)) AS ord, max(similarity) AS similarity
+FROM sim WHERE similarity >= 0.95 GROUP BY a""",
         "qa_documents": _QA_DOCS,
+        "index_order": f"""SELECT row_number() OVER (ORDER BY CAST(question_id AS BIGINT),
+    CASE section WHEN 'pre_text' THEN 0 WHEN 'post_text' THEN 1 WHEN 'table' THEN 2 ELSE 3 END, idx) - 1 AS ord,
+    doc_id || '_' || chunk_id AS doc_key, doc_type FROM ({_QA_DOCS})""",
         "facts_check": f"""{_CLAIMS} SELECT entity, metric, claimed, round(fact, 8) AS fact, verified,
     reason, CASE WHEN reason = 'Value mismatch' THEN round(abs(claimed - fact), 6) END AS diff,
     CASE WHEN reason = 'Value mismatch' THEN round(abs(claimed - fact) / fact * 100, 4) END AS diff_pct

@@ -11,20 +11,21 @@ from ledgerloom.functions.numbers import evidence_numbers, extract_numbers
 from ledgerloom.functions.programs import execute_program
 from ledgerloom.functions.vectors import embed_text
 from ledgerloom.operators import metrics
-from ledgerloom.operators.cache import reuse_results
-from ledgerloom.operators.documents import qa_documents, with_index_order
+from ledgerloom.operators.cache import AnswerStore, answered
+from ledgerloom.operators.documents import in_insertion_order, qa_documents
 from ledgerloom.operators.index import Index
 from ledgerloom.operators.hybrid import diversify, post_filter, retrieve
 from ledgerloom.operators.models import TextModel
 from ledgerloom.operators.programs import answer_by_vote, write_with_repair
 from ledgerloom.session import materialise
+from ledgerloom.sources.qa import first_examples
 
 
 def index_examples(examples: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
-    """Chunks of examples with doc_key, ord and embedding, ready to be searched. They
-    are computed once, so every later step sees the same order."""
-    chunks = with_index_order(
-        qa_documents(examples, with_summary=cfg.table_summary_enabled), "doc_id"
+    """Chunks of examples with doc_key, ord and embedding, ready to be searched, in the
+    order of the file. They are computed once, so every later step sees the same order."""
+    chunks = in_insertion_order(
+        qa_documents(examples, with_summary=cfg.table_summary_enabled, ordered=True)
     )
     return materialise(
         chunks.withColumn("embedding", embed_text(F.col("content"), cfg.embedding_dim))
@@ -136,21 +137,24 @@ def answer_questions(
 
 def answer_with_cache(
     queries: DataFrame,
-    entries: DataFrame,
+    store: AnswerStore,
     chunks: DataFrame,
     model: Callable[[], TextModel],
     cfg: EngineConfig = EngineConfig(),
     own_question: bool = False,
-) -> tuple[DataFrame, DataFrame]:
-    """(reused, fresh): values of cached answers, and answers to the other questions.
+) -> DataFrame:
+    """(query_id, value, from_cache) of queries (query_id, query, embedding): the answer as
+    JSON, from the store if the same or a similar question was answered with the same
+    settings before (and, with own_question, for the same example)."""
 
-    queries carry a scope (question id or ticker); entries are (scope, query,
-    embedding, value, ord). Only entries of the same scope are reused.
-    """
-    reused, open_queries = reuse_results(queries, entries, cfg)
-    return reused, answer_questions(
-        open_queries.drop("scope"), chunks, model, cfg, own_question
-    )
+    def answer(left: DataFrame) -> DataFrame:
+        found = answer_questions(left.drop("scope"), chunks, model, cfg, own_question)
+        kept = F.to_json(F.struct("answer", "program", "reasoning"))
+        return found.select(F.col("question_id").alias("query_id"), F.when(F.col("success"), kept).alias("value"))
+
+    settings = F.lit(f"qa|k={cfg.top_k}|own={own_question}")
+    scope = F.concat_ws("|", settings, F.col("query_id").cast("string")) if own_question else settings
+    return answered(queries.withColumn("scope", scope), answer, store, cfg)
 
 
 def predict_examples(
@@ -196,7 +200,7 @@ def evaluate(
 ) -> tuple[DataFrame, DataFrame]:
     """(predictions, metrics) of the first num_examples examples of the file, or of all."""
     if num_examples:
-        examples = examples.limit(num_examples)  # a split is one file, read in its order
+        examples = first_examples(examples, num_examples)
     predictions = predict_examples(examples, model, cfg)
     return predictions, metrics.evaluation_metrics(metrics.score_predictions(predictions, cfg))
 
@@ -207,7 +211,9 @@ def compare(
     cfg: EngineConfig = EngineConfig(),
     num_examples: int | None = None,
 ) -> DataFrame:
-    """Report of the baseline configuration against the given one."""
-    _, baseline = evaluate(examples, model, cfg.baseline(), num_examples)
-    _, proposed = evaluate(examples, model, cfg, num_examples)
+    """Report of the baseline configuration against the given one, on the same examples."""
+    if num_examples:
+        examples = first_examples(examples, num_examples)
+    _, baseline = evaluate(examples, model, cfg.baseline())
+    _, proposed = evaluate(examples, model, cfg)
     return metrics.compare_metrics(baseline, proposed)

@@ -30,6 +30,7 @@ from ledgerloom.operators import (
     hybrid,
     index,
     metrics,
+    similar,
     temporal,
     vector,
     verify,
@@ -212,6 +213,21 @@ def semantic_cache_lookup(spark, sf):
     return cache.cache_lookup(probes, entries, CONFIG, threshold=0.25)
 
 
+def cache_reuse(spark, sf):
+    """Every document as a question: how many earlier ones of its source and language are
+    similar enough for their answer, and the oldest of the most similar."""
+    rows = _embedded(corpus(spark, sf), "content").select(
+        F.concat_ws("/", "source", "lang").alias("scope"), F.col("doc_key").alias("id"), "embedding"
+    )
+    earlier = similar.similar_pairs(rows, rows, CONFIG.cache_threshold, CONFIG).filter("right_id < left_id")
+    best = F.min(F.struct((-F.col("similarity")).alias("far"), "right_id"))
+    found = earlier.groupBy("left_id").agg(F.count(F.lit(1)).alias("n_similar"), best.alias("b"))
+    return found.select(
+        F.col("left_id").alias("query_id"), "n_similar", F.col("b.right_id").alias("ord"),
+        (-F.col("b.far")).alias("similarity"),
+    )
+
+
 # --- recency ---------------------------------------------------------------
 
 
@@ -573,14 +589,15 @@ def chunks(spark, sf):
     )
 
 
-def qa_documents(spark, sf):
+def _examples(spark, sf):
     """Every document as a question example: its lines as text, and a small table."""
     half = (F.size("lines") / 2).cast("int")
-    examples = (
+    return (
         _busy(spark, sf, "documents")
         .withColumn("lines", F.split("text", "\n"))
         .select(
             _text(F.col("doc_id")).alias("id"),
+            F.col("doc_id").alias("place"),
             F.concat(F.lit("What is "), F.col("source"), F.lit("?")).alias("question"),
             F.slice("lines", F.lit(1), half).alias("pre_text"),
             F.slice("lines", half + 1, F.size("lines")).alias("post_text"),
@@ -593,6 +610,17 @@ def qa_documents(spark, sf):
             ).alias("table"),
         )
     )
+
+
+def index_order(spark, sf):
+    """Places of all chunks in the index: by example, then texts before and after the table,
+    table, summary."""
+    ordered = documents.in_insertion_order(documents.qa_documents(_examples(spark, sf), ordered=True))
+    return ordered.select("ord", "doc_key", "doc_type")
+
+
+def qa_documents(spark, sf):
+    examples = _examples(spark, sf)
     return documents.qa_documents(examples).select(
         "doc_id", "chunk_id", "content", "doc_type", "section", "question_id", "idx",
         F.col("metadata")["question"].alias("question"),
@@ -718,7 +746,7 @@ def answer_questions(spark, sf):
 
 QUERIES = [
     bm25_topk, bm25_indexed, index_changes, term_idf, vector_topk, text_embedding, hybrid_topk, hybrid_rerank,
-    diversify_by_type, postfilter_topk, prefilter_topk, semantic_cache_lookup,
+    diversify_by_type, postfilter_topk, prefilter_topk, semantic_cache_lookup, cache_reuse,
     temporal_decay_rank, recent_filings, most_recent, periods_compare,
     extract_numbers, evidence_numbers, plain_numbers, numeric_claims,
     verify_answers, hallucination_rate,
@@ -726,7 +754,7 @@ QUERIES = [
     grid_markdown, grid_summary, table_markdown, table_summary, numeric_columns,
     financial_data, financial_filter, markdown_tables,
     html_tables, html_header_tables, html_to_markdown,
-    sections, important_sections, chunks, qa_documents,
+    sections, important_sections, chunks, qa_documents, index_order,
     facts_check, facts_rollup, qa_metrics, compare_report, answer_questions,
 ]
 

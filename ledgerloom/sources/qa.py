@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ledgerloom.functions.numbers import cell_numbers, plain_numbers
+from ledgerloom.session import materialise
 
 SPLITS = ("train", "validation", "test")
 
@@ -23,8 +24,8 @@ def _program_text(program: Column) -> Column:
 
 
 def load_split(spark: SparkSession, root: str, split: str) -> DataFrame:
-    """Examples of one split; raises if the file is missing. An example without id
-    and uid is numbered by its place in the file."""
+    """Examples of one split with their `place` in the file; raises if the file is missing.
+    An example without id and uid is numbered by its place."""
     raw = (
         spark.read.schema(_RAW)
         .option("multiLine", True)
@@ -43,6 +44,7 @@ def load_split(spark: SparkSession, root: str, split: str) -> DataFrame:
             "program"
         ),
         F.coalesce("gold_inds", "qa.gold_inds").alias("gold_inds"),
+        "place",
     )
 
 
@@ -70,6 +72,13 @@ def example_by_id(examples: DataFrame, example_id: str) -> DataFrame:
     return hit
 
 
+def first_examples(examples: DataFrame, n: int) -> DataFrame:
+    """The first n examples in file order, computed once so that every reader of the result
+    has the same ones."""
+    order = ["place", "id"] if "place" in examples.columns else ["id"]
+    return materialise(examples.orderBy(*order).limit(n))
+
+
 def example_numbers(examples: DataFrame) -> DataFrame:
     """(id, numbers): every number of an example's texts, then of its table."""
     texts = F.flatten(F.transform(F.concat("pre_text", "post_text"), plain_numbers))

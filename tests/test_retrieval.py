@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.config import EngineConfig
-from ledgerloom.operators import bm25, cache, hybrid, index, ordering, snapshots, temporal, vector
+from ledgerloom.operators import bm25, cache, hybrid, index, ordering, similar, snapshots, temporal, vector
 from ledgerloom.functions.vectors import embed_text
 
 CFG = EngineConfig()
@@ -181,8 +181,6 @@ def test_cache(spark):
     got = {r.query_id: r for r in cache.cache_lookup(probes, entries).collect()}
     assert got["p"].value == "one" and got["p"].is_hit
     assert got["r"].value is None and not got["r"].is_hit
-    assert cache.cache_put(entries.limit(0), entries, CFG.replace(cache_max_entries=2)).count() == 2
-    assert cache.cache_put(entries.limit(0), entries).count() == 3
     scoped = entries.withColumn("scope", F.when(F.col("ord") == 2, "b").otherwise("a"))
     asked = probes.withColumn("scope", F.lit("a")).unionByName(
         spark.createDataFrame([("s", [1.0, 0.0], "b"), ("t", [1.0, 0.0], "c")], "query_id string, embedding array<double>, scope string")
@@ -214,6 +212,77 @@ def test_reuse_stays_within_a_scope(spark):
     assert off.isEmpty() and all_.count() == 4
 
 
+@pytest.mark.parametrize("block", [4096, 5])
+def test_similar_pairs_are_all_of_them(spark, block):
+    """Also with slices of a few rows, a scope that holds most rows, and vectors near the bound."""
+    rng = np.random.default_rng(block)
+    bases = rng.normal(size=(6, 24))
+    rows = []
+    for k in range(140):
+        v = bases[k % 6] + rng.normal(size=24) * rng.choice([0.0, 0.05, 0.22, 0.4])
+        rows.append(("s" if k % 4 else f"t{k % 3}", k, v.tolist()))
+    rows += [("s", 900, [0.0] * 24), ("s", 901, None), (None, 902, rows[0][2]), ("s", 903, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "scope string, id long, embedding array<double>")
+    good = [r for r in rows[:140]]
+    unit = np.array([r[2] for r in good])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    cosine = np.round(unit @ unit.T, 6)
+    want = {
+        (a[1], b[1]): cosine[i, j]
+        for i, a in enumerate(good)
+        for j, b in enumerate(good)
+        if a[0] == b[0] and cosine[i, j] >= 0.95
+    }
+    cfg = CFG.replace(query_block_rows=block)
+    got = {(r.left_id, r.right_id): r.similarity for r in similar.similar_pairs(df, df, 0.95, cfg).collect()}
+    assert got.keys() == want.keys() and len(want) > 300
+    assert all(abs(got[k] - want[k]) < 2e-6 for k in want)
+    probes, entries = df.withColumnRenamed("id", "query_id"), df.withColumnRenamed("id", "ord").filter("ord < 60")
+    near = {r.query_id: (r.ord, r.similarity) for r in similar.nearest_above(probes, entries, 0.95, cfg).collect()}
+    for q in range(140):
+        mine = [(-want[q, o], o) for o in range(60) if (q, o) in want]
+        assert (near[q][0] == min(mine)[1]) if mine else q not in near
+    none = df.limit(0)
+    assert similar.similar_pairs(none, df, 0.95, cfg).count() == similar.similar_pairs(df, none, 0.95, cfg).count() == 0
+
+
+def test_few_products_are_finished():
+    rng = np.random.default_rng(1)
+    sizes = 1 / np.arange(1, 65)
+    vectors = rng.normal(size=(400, 64)) * sizes
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    i, j, _, multiplied = similar.pairs_above(vectors, vectors, 0.95)
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == set(zip(*np.nonzero(vectors @ vectors.T >= 0.95), strict=True))
+    assert multiplied < 400 * 400 / 20
+
+
+def test_answers_are_stored_and_reused(spark, tmp_path):
+    store = cache.AnswerStore(spark, str(tmp_path / "answers"))
+    asked = []
+
+    def answer(left):
+        rows = left.collect()
+        asked.extend(r.query_id for r in rows)
+        given = [(r.query_id, None if r.query == "unknown" else f"to {r.query}") for r in rows]
+        return spark.createDataFrame(given, "query_id string, value string")
+
+    def ask(*rows):
+        df = spark.createDataFrame(list(rows), "query_id string, scope string, query string, embedding array<double>")
+        return {r.query_id: (r.value, r.from_cache) for r in cache.answered(df, answer, store).collect()}
+
+    first = ask(("1", "k=5", "cash", [1.0, 0.0]), ("2", "k=5", "unknown", [0.0, 1.0]))
+    assert first == {"1": ("to cash", False), "2": (None, False)}
+    again = ask(
+        ("3", "k=5", "cash", [0.0, 1.0]), ("4", "k=5", "cash?", [1.0, 0.1]), ("5", "k=9", "cash", [1.0, 0.0]),
+        ("6", "k=5", "unknown", [0.0, 1.0]),
+    )
+    # the same text, a similar one, other settings, and what had no answer
+    assert again == {"3": ("to cash", True), "4": ("to cash", True), "5": ("to cash", False), "6": (None, False)}
+    assert asked == ["1", "2", "5", "6"] or sorted(asked) == ["1", "2", "5", "6"]
+    assert sorted((r.scope, r.ord) for r in store.entries().collect()) == [("k=5", 0), ("k=9", 1)]
+    assert ask(("7", "k=9", "cash", [0.5, 0.5])) == {"7": ("to cash", True)}
+
+
 def chunk_rows(docs):
     extra = {c: F.lit(None).cast(t) for c, t in index_columns().items()}
     return docs.withColumns(extra).withColumn("doc_id", F.col("doc_key")).withColumn("chunk_id", F.lit("c"))

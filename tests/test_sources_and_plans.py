@@ -131,6 +131,18 @@ def test_evidence_is_the_questions_own(spark, data):
         assert kinds == sorted(kinds, key=["table", "text", "table_summary"].index)
 
 
+def test_index_follows_the_file(spark, data):
+    """Ids sort otherwise than the examples stand in the file."""
+    rows = spark.createDataFrame([(1, "z", ["p0", " ", "p2"], ["q0"], [["a"], ["1"]]), (2, "b", [], ["r"], [])],
+        "place long, id string, pre_text array<string>, post_text array<string>, table array<array<string>>")
+    examples = rows.withColumn("question", F.lit("q?"))
+    got = qa_plan.index_examples(examples, CFG).orderBy("ord").collect()
+    assert [r.ord for r in got] == list(range(6))
+    assert [r.doc_id for r in got] == ["z_pre_0", "z_pre_2", "z_post_0", "z_table", "z_table_summary", "b_post_0"]
+    loaded = qa.load_split(spark, data, "validation")
+    assert {r.id for r in qa.first_examples(loaded, 2).collect()} == {"A/1", "B/2"}
+
+
 def test_evaluation_and_comparison(spark, data, tmp_path):
     predictions, metrics = qa_plan.evaluate(examples(spark, data), FirstNumbersModel)
     got = {r.question_id: r for r in predictions.collect()}
@@ -267,6 +279,13 @@ def test_command_line(spark, data, filing_root, tmp_path, capsys):
     assert "exact_match" in capsys.readouterr().out
     asked = ["--query", "How much did cash exceed debt?", "--question-id", "A/1"]
     assert cli.main(["qa", "--data", data, *asked]) == 0
+    capsys.readouterr()
+    kept = ["--cache", str(tmp_path / "answers")]
+    shown = []
+    for _ in range(2):
+        assert cli.main(["qa", "--data", data, *asked, *kept]) == 0
+        shown.append(capsys.readouterr().out)
+    assert "false" in shown[0] and "true" in shown[1]
     root = str(tmp_path / "cli-index")
     assert cli.main(["filings", "--filings", filing_root, "--index", root, "--build-index", "--query", "copper"]) == 0
     with pytest.raises(SystemExit):
