@@ -8,52 +8,42 @@ from ledgerloom.functions import html as H
 from ledgerloom.functions import tables as T
 from ledgerloom.operators import documents as D
 
-SHEET = """<html><head><title>t</title></head><body><script>var a="</p>";</script>
-<h2>Grain <b>Stock</b> Ledger</h2><p>Intro&nbsp;text <a href='u'>link</a>
-<ul><li>one<ul><li>sub</li></ul></li><li>two</ul><ol><li>first</li><li>second</li></ol>
-<table><caption>Grain Stock Ledger</caption><tr><th>Item</th><th>2023</th><th>2022</th></tr>
-<tr><td>Wheat</td><td>$71,806</td><td>$64,091</td></tr>
-<tr><td>Barley</td><td>$5,377</td><td>$4,092</td></tr></table></body></html>"""
+PAGE = """<html><head><title>hidden</title></head><body><script>if (a < b) { put("</p>"); }</script>
+<h1>Harbour <i>dues</i></h1><ol><li>ships<ul><li>sail</li></ul></li><li>barges</ol>
+<p>See&nbsp;the <a href='/tariff'>tariff</a> of the port</p>
+<table><caption>Dues by quay</caption>
+<tr><th>Quay</th><th>Berths</th><th>Depth (m)</th><th>Dues</th><th>Open to</th></tr>
+<tr><td>North</td><td>14</td><td>9.5</td><td>1,250</td><td>ships</td></tr>
+<tr><td>Old</td><td>6</td><td>n/a</td><td>(310)</td><td>barges</td></tr>
+<tr><td>East</td><td>22</td><td>11</td><td>2,075</td></tr>
+<tr><td>Fish</td><td>3</td><td>4</td><td>90</td><td>boats</td></tr></table></body></html>"""
 
-ANNUAL = """
-    ITEM 1. BUSINESS
 
-    The mill buys grain from farms along the river and sells flour...
-
-    ITEM 1A. RISK FACTORS
-
-    A dry summer halves the harvest, and the river may freeze...
-
-    ITEM 7. MANAGEMENT'S DISCUSSION AND ANALYSIS
-
-    Prices rose in spring while the stores were nearly empty...
-
-    ITEM 8. FINANCIAL STATEMENTS
-
-    Wheat and barley in store at the end of the year...
-    """
+def report(*sections):
+    """A filing of (heading, number of words) sections."""
+    return "\n\n".join(f"{head}\n\n{' '.join(f'word{k}' for k in range(n))}." for head, n in sections)
 
 
 def test_table_of_a_page(one):
     parts = H.page_parts(F.col("t"))
-    first, marked = one(H.first_row_tables(parts), H.header_cell_tables(parts), t=SHEET)
-    assert first == marked and len(first) == 1
-    table = first[0]
-    assert table.headers == ["Item", "2023", "2022"]
-    assert table.rows == [["Wheat", "$71,806", "$64,091"], ["Barley", "$5,377", "$4,092"]]
-    assert (table.num_rows, table.num_cols) == (2, 3)
-    assert table.summary == (
-        "Table: Grain Stock Ledger. Columns: Item, 2023, 2022. 2 rows of data. "
-        "Numeric columns: 2023, 2022"
-    )
+    first, marked = one(H.first_row_tables(parts), H.header_cell_tables(parts), t=PAGE)
+    assert len(first) == len(marked) == 1
+    table = marked[0]
+    assert table.headers == ["Quay", "Berths", "Depth (m)", "Dues", "Open to"]
+    assert table.rows[1] == ["Old", "6", "n/a", "(310)", "barges"] and table.rows[2][:4] == ["East", "22", "11", "2,075"]
+    assert (table.num_rows, table.num_cols) == (4, 5)
+    assert table.summary.startswith("Table: Dues by quay. Columns: Quay, Berths, Depth (m), Dues, Open to. 4 rows of data.")
+    assert table.summary.endswith("Numeric columns: Berths, Depth (m), Dues")
+    assert first[0].headers == table.headers
 
 
 def test_markdown_of_a_page(one):
-    text = one(H.page_markdown(H.page_parts(F.col("t"))), t=SHEET)
-    assert text.startswith("## Grain **Stock** Ledger\n\nIntro text [link](u)\n")
-    assert "- one\n  - sub\n- two" in text and "1. first\n2. second" in text
-    assert "| Item | 2023 | 2022 |\n| --- | --- | --- |\n| Wheat | $71,806 | $64,091 |" in text
-    assert "var a" not in text and not text.startswith("t")
+    text = one(H.page_markdown(H.page_parts(F.col("t"))), t=PAGE)
+    assert text.startswith("# Harbour *dues*\n\n1. ships\n")
+    assert "- sail" in text and "2. barges" in text
+    assert "See the [tariff](/tariff) of the port" in text
+    assert "| Quay | Berths | Depth (m) | Dues | Open to |\n| --- | --- | --- | --- | --- |\n| North | 14 |" in text
+    assert "put(" not in text and "hidden" not in text
 
 
 def test_nested_and_unclosed_tables(one):
@@ -76,14 +66,19 @@ def test_table_without_header_cells_promotes_a_row(one):
     assert found.markdown.endswith("| 2022 |  |")
 
 
-def test_only_item_seven_survives(spark):
-    filing = spark.createDataFrame([(ANNUAL, "10-K")], "content string, filing_type string")
+def test_short_and_missed_headings(spark):
+    """A heading with a full stop is missed, so its text stays with the section before; a
+    section of at most 100 characters goes; headings count in any case of letters."""
+    text = report(("Item 3 Markets", 60), ("ITEM 4. Controls", 30), ("item 6 Exhibits", 5), ("Item 5 Other", 150))
+    filing = spark.createDataFrame([(text, "10-Q")], "content string, filing_type string")
     found = D.split_sections(filing).collect()
-    assert [(r.section, len(r.content)) for r in found] == [
-        ("Item 7 - Management's Discussion and Analysis", 200)
+    assert [r.section for r in found] == [
+        "Item 3 - Quantitative and Qualitative Disclosures", "Item 5 - Other Information",
     ]
-    chunks = D.split_chunks(D.split_sections(filing), 50, 10).collect()
-    assert [(c.chunk_id, c.word_count) for c in chunks] == [(0, 31)]
+    assert "ITEM 4. Controls" in found[0].content and "Exhibits" not in found[0].content
+    assert found[1].content.startswith("Item 5 Other") and found[1].content.endswith("word149.")
+    whole = D.split_chunks(D.split_sections(filing), 1000, 10).collect()
+    assert [(c.section[:6], c.chunk_id, c.word_count) for c in whole] == [("Item 3", 0, 96), ("Item 5", 0, 153)]
 
 
 def test_sections_options(spark):
@@ -167,7 +162,7 @@ def test_qa_documents(spark):
 
 
 def test_filing_documents_and_expansion(spark):
-    filing = [("AAPL", "1", "10-K", "0001-23", "2023-05-01", SHEET), ("X", "2", "8-K", "0002-23", "bad", "<p>only text</p>")]
+    filing = [("AAPL", "1", "10-K", "0001-23", "2023-05-01", PAGE), ("X", "2", "8-K", "0002-23", "bad", "<p>only text</p>")]
     rows = spark.createDataFrame(filing, "ticker string, cik string, filing_type string, accession_number string, filing_date string, html string")
     chunks = D.filing_documents(rows, dt.datetime(2024, 1, 1))
     found = {r.doc_id: r for r in chunks.collect()}
@@ -175,11 +170,11 @@ def test_filing_documents_and_expansion(spark):
         "0001-23_full_document", "0001-23_table_0", "0001-23_table_0_summary", "0002-23_full_document",
     ]
     assert found["0002-23_full_document"].filing_date == dt.datetime(2024, 1, 1)
-    assert found["0001-23_table_0"].metadata["num_rows"] == "2"
+    assert found["0001-23_table_0"].metadata["num_rows"] == "4"
     none = D.filing_documents(rows, dt.datetime(2024, 1, 1), EngineConfig(table_summary_enabled=False))
     assert none.filter("doc_type = 'table_summary'").isEmpty()
     summaries = chunks.filter("doc_type = 'table_summary'")
-    assert D.expand_summaries(summaries, chunks).first().table_content.startswith("| Item |")
+    assert D.expand_summaries(summaries, chunks).first().table_content.startswith("| Quay |")
 
 
 def test_index_order_is_unique_and_follows_the_keys(spark):

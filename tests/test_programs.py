@@ -13,27 +13,29 @@ from ledgerloom.functions.programs import (
     split_response,
 )
 
-SAMPLE = """
-    crates = 12
-    loose = 48
-    fruit = add(crates, loose)
-    baskets = 8
-    each = divide(fruit, baskets)
-    answer = each
-    """
+CHAIN = "\n".join(
+    [
+        "a = multiply(6, 7)",
+        "b = subtract(a, 2.5)",
+        "c = max([a, b, 40])",
+        "d = diff(c, b)",
+        "answer = d",
+    ]
+)
 
 
 def run(one, text, strict=False):
     return one(execute_program(F.col("t"), strict), t=text)
 
 
-def test_sample_program(one):
-    result = run(one, SAMPLE)
-    assert result.final_answer == 7.5
-    assert result.variables["fruit"] == 60.0 and result.variables["each"] == 7.5
-    strict = run(one, SAMPLE, strict=True)
-    assert strict.error == "Error executing line 'answer = each': Invalid expression: each"
-    assert strict.final_answer is None and strict.variables["each"] == 7.5
+def test_names_as_answers(one):
+    """An answer that is a bare name is taken, unless programs are strict."""
+    result = run(one, CHAIN)
+    assert result.final_answer == 2.5
+    assert result.variables["a"] == 42.0 and result.variables["b"] == 39.5 and result.variables["c"] == 42.0
+    strict = run(one, CHAIN, strict=True)
+    assert strict.error == "Error executing line 'answer = d': Invalid expression: d"
+    assert strict.final_answer is None and strict.variables["d"] == 2.5
 
 
 def test_documented_growth_program(one):

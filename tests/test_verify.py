@@ -8,16 +8,18 @@ from ledgerloom.operators import facts, metrics, verify, vote
 CFG = EngineConfig()
 
 
-def test_grounded_and_invented_answers(one):
-    evidence = F.array(F.lit("The stores held 61.5 and 9.25"), F.lit("or 2021"))
-    good, bad, none = one(
-        verify.verification(F.lit("Takings came to $61.5 million"), evidence),
-        verify.verification(F.lit("Takings came to $480 million"), evidence),
-        verify.verification(F.lit("no figures in 2020"), evidence),
+def test_answers_with_and_without_grounds(one):
+    """Three numbers of which one is nowhere, one is within the tolerance and one exact."""
+    evidence = F.array(F.lit("wells: 14, of these 3 dry"), F.lit("depth 800 ft (2004)"), F.lit(""))
+    mixed, near, none = one(
+        verify.verification(F.lit("14 wells go down 806 feet and cost 55 each"), evidence),
+        verify.verification(F.lit("In 2004 the 3 dry ones had 803 feet"), evidence),
+        verify.verification(F.lit("all were dug in 1988"), evidence),
     )
-    assert good.verified and good.message == "All numbers verified"
-    assert not bad.verified and bad.unverified_numbers == [480.0]
-    assert bad.message == "1 numbers not found in evidence"
+    assert not mixed.verified and mixed.unverified_numbers == [55.0]
+    assert mixed.answer_numbers == [14.0, 806.0, 55.0]
+    assert mixed.message == "1 numbers not found in evidence"
+    assert near.verified and near.message == "All numbers verified"
     assert none.verified and none.message == "No numbers in answer" and none.answer_numbers == []
     off = one(verify.verification(F.lit("x 5"), evidence, CFG.replace(verify_numbers=False)))
     assert off.verified and off.message == "Verification disabled"
