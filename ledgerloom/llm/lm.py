@@ -5,14 +5,16 @@ smoothed log-probability, and a failure arc leads to the next shorter history at
 price of the mass that smoothing set aside. Probabilities are smoothed with Dirichlet
 priors: (count + strength * shorter) / (history + strength), so a token that was not
 seen costs strength / (history + strength) times its shorter probability, which is
-just what the failure arc weighs. The strength is the one of STRENGTHS under which the
-training tokens, each left out of the counts in turn, are likeliest.
+just what the failure arc weighs. A text is read once from left to right: from the state an
+arc for the token leads on, or failure arcs lead down until there is one; the weights on the
+way add up. The strength is the one of STRENGTHS under which the training tokens, each left
+out of the counts in turn, are likeliest.
 
 The model grows with the corpus and is never in one place. Documents lie in blocks; a
 block sends each n-gram that it holds once, with its count, to the bucket of the
 n-gram's hash; the bucket adds up and answers every block in the order it asked. A block
-thus gets the part of the automaton that its texts can reach and runs through them once
-from left to right. Texts are shuffled once (both steps read the same exchange), n-grams
+thus gets the part of the automaton that its texts can reach, builds it and reads its texts,
+all of them side by side, long ones in segments that begin with the tokens of one history. Texts are shuffled once (both steps read the same exchange), n-grams
 once, and answers once, as packed arrays. Only the number of tokens and of distinct
 words is known beforehand, from a first pass that moves each task's distinct words.
 """
@@ -33,6 +35,7 @@ BLOCK_BYTES = 8 << 20  # text of a block; more saves shuffle, less saves memory
 STRENGTHS = (2.0, 8.0, 32.0, 128.0, 512.0, 2048.0)
 _BEGIN, _END = np.uint64(0xB5297A4D3F84D5B5), np.uint64(0x68E31DA4A1B2C3D5)
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
+SEGMENT = 256  # tokens of a text that are read in a row
 
 
 def _tokens(texts: list[str | None]):
@@ -159,12 +162,13 @@ def _answers(key, table):
         np.frombuffer(zlib.decompress(c), dtype=np.uint32) for c in table.column("counts").to_pylist()
     ]
     distinct, which = np.unique(np.concatenate(asked), return_inverse=True)
-    sums = np.bincount(which, weights=np.concatenate(counts), minlength=len(distinct))
-    totals = sums.astype(np.uint64)
+    totals = np.zeros(len(distinct), dtype=np.uint64)
+    np.add.at(totals, which, np.concatenate(counts).astype(np.uint64))
     packed, start = [], 0
     for part in asked:
         mine = totals[which[start : start + len(part)]]
-        packed.append(zlib.compress(np.minimum(mine, 0xFFFFFFFF).astype(np.uint32).tobytes(), 1))
+        width = np.uint32 if mine.max(initial=0) < 1 << 32 else np.uint64
+        packed.append(width().itemsize.to_bytes() + zlib.compress(mine.astype(width).tobytes(), 1))
         start += len(part)
     n = len(asked)
     return pa.table(
@@ -177,20 +181,123 @@ def _answers(key, table):
     )
 
 
-def walk(seen: list[np.ndarray], history: list[np.ndarray], unigram: np.ndarray, strength: float):
-    """log10 probability of every token on the way through the automaton.
+def _received(packed: bytes) -> np.ndarray:
+    width = {4: np.uint32, 8: np.uint64}[packed[0]]
+    return np.frombuffer(zlib.decompress(packed[1:]), dtype=width).astype(np.uint64)
 
-    seen[k] and history[k] are the counts of a token's (k+2)-gram and of its history. The
-    walk stands in the longest known history; a token without an arc there takes
-    failure arcs down to a history that has one, or to the unigrams.
-    """
+
+def interpolated(seen: list[np.ndarray], history: list[np.ndarray], unigram: np.ndarray, strength: float):
+    """log10 probability of every token by the smoothing alone, for counts that differ from
+    token to token, as when each is left out of its own counts. seen[k] and history[k] are
+    the counts of a token's (k+2)-gram and of its history."""
     shorter = unigram
     for count, before in zip(seen, history, strict=True):
-        failure = strength / (before + strength)
-        shorter = np.where(count > 0, (count + strength * shorter) / (before + strength), failure * shorter)
+        shorter = (count + strength * shorter) / (before + strength)
     return np.log10(shorter)
 
 
+class Automaton:
+    """The part of the model that some texts can reach, as arrays of states and arcs.
+
+    State 0 is the empty history, state 1 the beginning of a text; further ones are the
+    seen n-grams of up to order - 1 tokens. Arcs are sorted by (state, token). Weights are
+    log10, one column per strength. Known histories have known suffixes, so a state is
+    always the longest known history of what was read.
+    """
+
+    def __init__(self, grams: list[np.ndarray], counts: list[np.ndarray], begins: np.ndarray,
+                 texts_seen: int, bottom: float, strengths=STRENGTHS):
+        """grams[n - 1]: per place the number of its n-gram (-1 if it has none), counts[n - 1]
+        how often each n-gram was seen, begins: whether a text begins at the place."""
+        order, kinds = len(grams), len(counts[0])
+        strength = np.array(strengths)[None, :]
+        states, known = [], 2
+        for n in range(1, order):
+            of = np.where(counts[n - 1] > 0, np.cumsum(counts[n - 1] > 0) - 1 + known, -1)
+            known += int((counts[n - 1] > 0).sum())
+            states.append(of)
+        self.fails = np.zeros(known, dtype=np.int64)
+        history = np.zeros(known)
+        history[1] = texts_seen
+        keys, weights, targets, probability = [], [], [], []
+        for n in range(1, order + 1):
+            gram, count = grams[n - 1], counts[n - 1].astype(float)
+            place = np.zeros(len(count), dtype=np.int64)  # one place where each n-gram stands
+            there = np.flatnonzero(gram >= 0)
+            place[gram[there]] = there
+            arcs = np.arange(len(count)) if n == 1 else np.flatnonzero(count > 0)
+            at = place[arcs]
+            if n == 1:
+                start = np.zeros(len(arcs), dtype=np.int64)
+                odds = np.repeat((count[:, None] + 1) / bottom, strength.shape[1], axis=1)
+            else:
+                shorter = grams[n - 2]
+                start = np.where(begins[at], 1, states[n - 2][shorter[at - 1]])
+                odds = np.zeros((len(count), strength.shape[1]))
+                odds[arcs] = (count[arcs, None] + strength * probability[-1][shorter[at]]) / (
+                    history[start][:, None] + strength
+                )
+            probability.append(odds)
+            keys.append(start * kinds + grams[0][at])
+            weights.append(np.log10(odds[arcs]))
+            if order == 1:
+                targets.append(np.zeros(len(arcs), dtype=np.int64))
+            else:
+                last = min(n, order - 1)
+                targets.append(np.maximum(states[last - 1][grams[last - 1][at]], 0))
+            if n < order:
+                mine = states[n - 1][count > 0]
+                history[mine] = count[count > 0]
+                if n > 1:
+                    self.fails[mine] = states[n - 2][grams[n - 2][place[count > 0]]]
+        every = np.concatenate(keys)
+        by_key = np.argsort(every)
+        self.keys, self.kinds, self.order = every[by_key], kinds, order
+        self.weights = np.concatenate(weights)[by_key]
+        self.targets = np.concatenate(targets)[by_key]
+        self.failing = np.log10(strength / (history[:, None] + strength))
+
+    def step(self, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(states, weights) after one token each."""
+        state, total = state.copy(), np.zeros((len(state), self.weights.shape[1]))
+        left = np.arange(len(state))
+        while len(left):
+            wanted = state[left] * self.kinds + token[left]
+            arc = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+            met = self.keys[arc] == wanted
+            total[left[met]] += self.weights[arc[met]]
+            state[left[met]] = self.targets[arc[met]]
+            left = left[~met]
+            total[left] += self.failing[state[left]]
+            state[left] = self.fails[state[left]]
+        return state, total
+
+    def read(self, tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """log10 probability of every text (tokens[bounds[k]:bounds[k + 1]]), per strength.
+
+        Segments of a text are read side by side. One that doesn't begin the text first
+        reads the order - 1 tokens before it, from the empty history and at no cost, which
+        leaves it in the state that reading from the beginning would."""
+        sizes = np.diff(bounds)
+        pieces = -(-sizes // SEGMENT)
+        text = np.repeat(np.arange(len(sizes)), pieces)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        start = bounds[text] + nth * SEGMENT
+        stop = np.minimum(start + SEGMENT, bounds[text + 1])
+        at = np.where(nth > 0, start - (self.order - 1), start)
+        state = np.where((at == bounds[text]) & (self.order > 1), 1, 0)
+        sums = np.zeros((len(text), self.weights.shape[1]))
+        active = np.arange(len(text))
+        while len(active):
+            here = at[active]
+            state[active], weight = self.step(state[active], tokens[here])
+            counted = here >= start[active]
+            sums[active[counted]] += weight[counted]
+            at[active] += 1
+            active = active[at[active] < stop[active]]
+        return np.add.reduceat(sums, np.cumsum(pieces) - pieces, axis=0)
+
+
 def _scores(order: int, tokens_seen: int, kinds: int, texts_seen: int):
     bottom = float(tokens_seen + kinds + 1)
 
@@ -202,17 +309,19 @@ def _scores(order: int, tokens_seen: int, kinds: int, texts_seen: int):
             *(answers.column(c).to_pylist() for c in ("level", "bucket", "counts")), strict=True
         ):
             by_level.setdefault(level, []).append((bucket, counts))
-        per_token = []
+        per_token, grams, known = [], [], []
         for n, (at, hashes) in enumerate(_grams(tokens, bounds, order), 1):
             asked, which = np.unique(hashes, return_inverse=True)
-            got = np.frombuffer(
-                b"".join(zlib.decompress(c) for _, c in sorted(by_level[n])), dtype=np.uint32
-            )
+            got = np.concatenate([_received(c) for _, c in sorted(by_level[n])])
             if len(got) != len(asked):
                 raise RuntimeError("the answers do not fit the block's n-grams")
             counts = np.zeros(len(tokens))
             counts[at] = got[which]
             per_token.append(counts)
+            gram = np.full(len(tokens), -1, dtype=np.int64)
+            gram[at] = which
+            grams.append(gram)
+            known.append(got)
         first = np.zeros(len(tokens), dtype=bool)
         first[bounds[:-1]] = True
         history = []
@@ -227,10 +336,12 @@ def _scores(order: int, tokens_seen: int, kinds: int, texts_seen: int):
         left_seen = [np.maximum(c - mine, 0) for c in per_token[1:]]
         left_history = [np.maximum(h - mine, 0) for h in history]
         starts = bounds[:-1]
-        scores, left_out = [], []
-        for strength in STRENGTHS:
-            scores.append(np.add.reduceat(walk(per_token[1:], history, 10**base, strength), starts))
-            left_out.append(np.add.reduceat(walk(left_seen, left_history, own, strength), starts))
+        automaton = Automaton(grams, known, first, texts_seen, bottom)
+        scores = automaton.read(grams[0], bounds)
+        left_out = [
+            np.add.reduceat(interpolated(left_seen, left_history, own, strength), starts)
+            for strength in STRENGTHS
+        ]
         lists = pa.list_(pa.float64())
         return pa.table(
             {
@@ -239,7 +350,7 @@ def _scores(order: int, tokens_seen: int, kinds: int, texts_seen: int):
                 "n_tokens": pa.array(np.diff(bounds), pa.int64()),
                 "n_known": pa.array(np.add.reduceat((per_token[0] > 0).astype(np.int64), starts)),
                 "base_score": pa.array(np.add.reduceat(base, starts)),
-                "scores": pa.array(np.array(scores).T.tolist(), lists),
+                "scores": pa.array(scores.tolist(), lists),
                 "left_out": pa.array(np.array(left_out).T.tolist(), lists),
             }
         )

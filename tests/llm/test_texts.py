@@ -4,8 +4,10 @@ import collections
 import math
 import os
 import random
+import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tokenizers
 from hypothesis import given, settings, strategies as st
@@ -102,6 +104,71 @@ def test_language_model_against_plain_counts(awkward, block):
     assert got == expected
 
 
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+@pytest.mark.parametrize("segment", [5, 256])
+def test_automaton_walks_states_like_plain_backoff(monkeypatch, order, segment):
+    """State by state and weight by weight, with texts longer than a segment."""
+    monkeypatch.setattr(lm, "SEGMENT", segment)
+    rng = random.Random(order)
+    texts = [[rng.randrange(7) for _ in range(rng.randrange(1, 40))] for _ in range(30)]
+    learns = [k % 3 > 0 for k in range(30)]
+    seen = collections.Counter()
+    for words, learn in zip(texts, learns, strict=True):
+        if learn:
+            seen.update(
+                tuple(["begin", *words][max(0, k + 1 - n + 1) : k + 2])
+                for k in range(len(words)) for n in range(1, order + 1) if n <= k + 2
+            )
+    bounds = np.cumsum([0, *map(len, texts)])
+    grams, counts = [], []
+    for n in range(1, order + 1):
+        names = [
+            tuple(["begin", *w][k + 2 - n : k + 2]) if n <= k + 2 else None for w in texts for k in range(len(w))
+        ]
+        kinds = {g: i for i, g in enumerate(sorted({g for g in names if g}, key=str))}
+        grams.append(np.array([kinds[g] if g else -1 for g in names]))
+        counts.append(np.array([seen[g] for g in kinds], dtype=np.uint64))
+    begins = np.zeros(bounds[-1], dtype=bool)
+    begins[bounds[:-1]] = True
+    strengths, n_texts, bottom = (2.0, 32.0), sum(learns), 500.0
+    automaton = lm.Automaton(grams, counts, begins, n_texts, bottom, strengths)
+
+    def probability(history, word, s):
+        if not history:
+            return (seen[(word,)] + 1) / bottom
+        before = n_texts if history == ("begin",) else seen[history]
+        return (seen[(*history, word)] + s * probability(history[1:], word, s)) / (before + s)
+
+    got = automaton.read(grams[0], bounds)
+    for k, words in enumerate(texts):
+        for c, s in enumerate(strengths):
+            line = ["begin", *words]
+            whole = sum(
+                math.log10(probability(tuple(line[max(0, i - order + 1) : i]), line[i], s)) for i in range(1, len(line))
+            )
+            assert got[k, c] == pytest.approx(whole, abs=1e-9)
+    # the carried state is the longest known history
+    if order > 1:
+        state = np.array([1])
+        line = ["begin", *texts[0]]
+        for i in range(1, len(line)):
+            state, _ = automaton.step(state, grams[0][[bounds[0] + i - 1]])
+            longest = max((n for n in range(order) if n <= i + 1 and (not n or seen[tuple(line[i + 1 - n : i + 1])])), default=0)
+            depth, at = 0, int(state[0])
+            while at:
+                at, depth = int(automaton.fails[at]), depth + 1
+            assert depth == longest
+
+
+def test_counts_beyond_32_bits_arrive():
+    for top in (7, 2**32 - 1, 2**32, 2**40):
+        packed = [lm._packed(np.array([3, 9], dtype=np.uint64))] * 2
+        counts = [zlib.compress(np.array([top % 2**32, 1], dtype=np.uint32).tobytes(), 1)] * 2
+        table = pa.table({"block": pa.array([0, 1], pa.int32()), "hashes": packed, "counts": counts})
+        answer = lm._answers((pa.scalar(0), pa.scalar(1)), table)
+        assert lm._received(answer.column("counts")[0].as_py()).tolist() == [2 * (top % 2**32), 2]
+
+
 def test_language_model_orders_and_empty_input(spark, awkward, nothing):
     assert lm.score_texts(nothing, F.lit(True)).count() == 0
     none = lm.score_texts(awkward, F.lit(False)).collect()
