@@ -35,6 +35,7 @@ BLOCK_BYTES = 8 << 20  # text of a block; more saves shuffle, less saves memory
 STRENGTHS = (2.0, 8.0, 32.0, 128.0, 512.0, 2048.0)
 _BEGIN, _END = np.uint64(0xB5297A4D3F84D5B5), np.uint64(0x68E31DA4A1B2C3D5)
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_TOGETHER = 100_000  # arcs weighed at a time
 SEGMENT = 256  # tokens of a text that are read in a row
 
 
@@ -219,42 +220,51 @@ class Automaton:
         self.fails = np.zeros(known, dtype=np.int64)
         history = np.zeros(known)
         history[1] = texts_seen
-        keys, weights, targets, probability = [], [], [], []
+        keys, targets, levels = [], [], []
         for n in range(1, order + 1):
-            gram, count = grams[n - 1], counts[n - 1].astype(float)
+            gram, count = grams[n - 1], counts[n - 1]
             place = np.zeros(len(count), dtype=np.int64)  # one place where each n-gram stands
             there = np.flatnonzero(gram >= 0)
             place[gram[there]] = there
             arcs = np.arange(len(count)) if n == 1 else np.flatnonzero(count > 0)
             at = place[arcs]
-            if n == 1:
-                start = np.zeros(len(arcs), dtype=np.int64)
-                odds = np.repeat((count[:, None] + 1) / bottom, strength.shape[1], axis=1)
-            else:
-                shorter = grams[n - 2]
-                start = np.where(begins[at], 1, states[n - 2][shorter[at - 1]])
-                odds = np.zeros((len(count), strength.shape[1]))
-                odds[arcs] = (count[arcs, None] + strength * probability[-1][shorter[at]]) / (
-                    history[start][:, None] + strength
-                )
-            probability.append(odds)
+            start = np.zeros(len(arcs), dtype=np.int64)
+            if n > 1:
+                start = np.where(begins[at], 1, states[n - 2][grams[n - 2][at - 1]])
             keys.append(start * kinds + grams[0][at])
-            weights.append(np.log10(odds[arcs]))
             if order == 1:
                 targets.append(np.zeros(len(arcs), dtype=np.int64))
             else:
                 last = min(n, order - 1)
                 targets.append(np.maximum(states[last - 1][grams[last - 1][at]], 0))
+            levels.append((arcs, at, start))
             if n < order:
                 mine = states[n - 1][count > 0]
                 history[mine] = count[count > 0]
                 if n > 1:
                     self.fails[mine] = states[n - 2][grams[n - 2][place[count > 0]]]
-        every = np.concatenate(keys)
-        by_key = np.argsort(every)
-        self.keys, self.kinds, self.order = every[by_key], kinds, order
-        self.weights = np.concatenate(weights)[by_key]
+        self.keys, self.kinds, self.order = np.concatenate(keys), kinds, order
+        by_key = np.argsort(self.keys)
+        self.keys = self.keys[by_key]
         self.targets = np.concatenate(targets)[by_key]
+        rank = np.empty(len(by_key), dtype=np.int64)
+        rank[by_key] = np.arange(len(by_key))
+        self.weights = np.empty((len(rank), strength.shape[1]))
+        done, below = 0, None  # below: row of the weights of each n-gram of the level before
+        for n, (arcs, at, start) in enumerate(levels, 1):
+            rows = rank[done : done + len(arcs)]
+            for part in range(0, len(arcs), _TOGETHER):
+                some = slice(part, part + _TOGETHER)
+                count = counts[n - 1][arcs[some]].astype(float)[:, None]
+                if n == 1:
+                    odds = np.repeat((count + 1) / bottom, strength.shape[1], axis=1)
+                else:
+                    shorter = 10.0 ** self.weights[below[grams[n - 2][at[some]]]]
+                    odds = (count + strength * shorter) / (history[start[some]][:, None] + strength)
+                self.weights[rows[some]] = np.log10(odds)
+            below = np.zeros(len(counts[n - 1]), dtype=np.int64)
+            below[arcs] = rows
+            done += len(arcs)
         self.failing = np.log10(strength / (history[:, None] + strength))
 
     def step(self, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -313,6 +323,7 @@ def _scores(order: int, tokens_seen: int, kinds: int, texts_seen: int):
         for n, (at, hashes) in enumerate(_grams(tokens, bounds, order), 1):
             asked, which = np.unique(hashes, return_inverse=True)
             got = np.concatenate([_received(c) for _, c in sorted(by_level[n])])
+            del by_level[n]
             if len(got) != len(asked):
                 raise RuntimeError("the answers do not fit the block's n-grams")
             counts = np.zeros(len(tokens))
@@ -336,20 +347,21 @@ def _scores(order: int, tokens_seen: int, kinds: int, texts_seen: int):
         left_seen = [np.maximum(c - mine, 0) for c in per_token[1:]]
         left_history = [np.maximum(h - mine, 0) for h in history]
         starts = bounds[:-1]
-        automaton = Automaton(grams, known, first, texts_seen, bottom)
-        scores = automaton.read(grams[0], bounds)
         left_out = [
             np.add.reduceat(interpolated(left_seen, left_history, own, strength), starts)
             for strength in STRENGTHS
         ]
+        base, known_words = np.add.reduceat(base, starts), np.add.reduceat((per_token[0] > 0).astype(np.int64), starts)
+        del per_token, history, own, mine, left_seen, left_history  # before the arcs take their room
+        scores = Automaton(grams, known, first, texts_seen, bottom).read(grams[0], bounds)
         lists = pa.list_(pa.float64())
         return pa.table(
             {
                 "id": docs.column("id"),
                 "learn": docs.column("learn"),
                 "n_tokens": pa.array(np.diff(bounds), pa.int64()),
-                "n_known": pa.array(np.add.reduceat((per_token[0] > 0).astype(np.int64), starts)),
-                "base_score": pa.array(np.add.reduceat(base, starts)),
+                "n_known": pa.array(known_words),
+                "base_score": pa.array(base),
                 "scores": pa.array(scores.tolist(), lists),
                 "left_out": pa.array(np.array(left_out).T.tolist(), lists),
             }
