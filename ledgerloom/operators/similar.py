@@ -45,16 +45,19 @@ def pairs_above(
     i, j = np.nonzero(first + np.outer(rests[0][0], rests[1][0]) >= threshold - slack)
     part = first[i, j]
     multiplied = 0
+
+    def products(low: int, high: int) -> np.ndarray:
+        lots = [slice(k, k + (1 << 16)) for k in range(0, len(i), 1 << 16)]
+        found = [np.einsum("ij,ij->i", left[i[x], low:high], right[j[x], low:high]) for x in lots]
+        return np.concatenate(found) if found else np.empty(0)
+
     for step, (low, high) in enumerate(zip(steps[:-1], steps[1:], strict=True), 1):
         if high == left.shape[1]:
             multiplied = len(i)
-        for start in range(0, len(i), 1 << 16):
-            some = slice(start, start + (1 << 16))
-            part[some] += np.einsum("ij,ij->i", left[i[some], low:high], right[j[some], low:high])
+        part = part + products(low, high)
         kept = part + rests[0][step][i] * rests[1][step][j] >= threshold - slack
         i, j, part = i[kept], j[kept], part[kept]
-    exact = np.array([float(np.dot(left[a], right[b])) for a, b in zip(i, j, strict=True)])
-    return i, j, exact, multiplied
+    return i, j, products(0, left.shape[1]), multiplied
 
 
 def _unit(column: str) -> Column:
