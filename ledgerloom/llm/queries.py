@@ -157,7 +157,8 @@ def op9_licenses(spark: SparkSession, sf: str) -> DataFrame:
 
 def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs = read(spark, sf, "documents").select("doc_id", "text")
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    # rows without an id have no labels and are not held out
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     taught = read(spark, sf, "labels").filter(~held_out)
     model = toxicity.fit_toxicity(docs, taught)
     return toxicity.score_toxicity(docs, model).select(

@@ -271,3 +271,15 @@ def test_toxicity_on_planted_words(spark, awkward, nothing):
     assert toxicity.score_toxicity(nothing, model).count() == 0
     bare = toxicity.fit_toxicity(docs, marked.limit(0))
     assert toxicity.score_toxicity(docs, bare).agg(F.max("toxicity")).first()[0] < 0.01
+
+
+def test_toxicity_query_over_awkward_rows(spark, awkward, tmp_path):
+    awkward.write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, i % 2, int(i in (4, 9, 12))) for i in range(14)] + [(None, 0, 1)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = queries.op10_toxicity(spark, str(tmp_path)).collect()
+    assert len(rows) == awkward.count()
+    for r in rows:
+        key = "" if r.doc_id is None else str(r.doc_id)
+        assert r.held_out == (r.doc_id is not None and zlib.crc32(key.encode()) % 3 == 1)
+        assert 0 <= r.score <= 1 and r.predicted == (r.score >= queries.TOXIC)
