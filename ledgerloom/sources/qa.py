@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ledgerloom.functions.numbers import cell_numbers, plain_numbers
 from ledgerloom.session import materialise
+from ledgerloom.sources.json_array import read_json_array
 
 SPLITS = ("train", "validation", "test")
 
@@ -24,14 +25,11 @@ def _program_text(program: Column) -> Column:
 
 
 def load_split(spark: SparkSession, root: str, split: str) -> DataFrame:
-    """Examples of one split with their `place` in the file; raises if the file is missing.
-    An example without id and uid is numbered by its place."""
-    raw = (
-        spark.read.schema(_RAW)
-        .option("multiLine", True)
-        .json(f"{root}/{split}.json")
-        .withColumn("place", F.monotonically_increasing_id())
-    )
+    """Examples of one split with their `place` in the file; raises if the file is missing
+    or is no array of objects. The file is read in as many tasks as it has ranges. An example without id and uid is numbered by its place."""
+    parsed = F.from_json("value", _RAW)
+    raw = read_json_array(spark, f"{root}/{split}.json").select(parsed.alias("_e"), "place")
+    raw = raw.select("_e.*", "place")
     empty = F.array().cast("array<string>")
     return raw.select(
         F.coalesce("id", "uid", F.col("place").cast("string")).alias("id"),
