@@ -8,10 +8,14 @@ meet in common nodes, unlike sets part early.
 
 * Equal sets are one vertex from the start, however many documents have them.
 * First, a few rounds hold every member of the top nodes against one leader of them, which
-  links large groups of near copies at the cost of a pair per member. A node whose
-  members are then all linked to each other has nothing left to say and is dropped.
-* Other nodes with few members compare all of them, larger ones branch on. What is still
-  large at the last depth is compared in blocks, so nothing is cut.
+  links large groups of near copies at the cost of a pair per member. They go on while the
+  large nodes shrink, and each depth has such a round of its own. A node whose members are
+  then all linked to each other has nothing left to say and is dropped.
+* Nodes with few members compare all of them. In a large node whose members are linked but
+  for a few, those few are held against all others in blocks: members that are linked
+  already needn't meet, and the rows don't grow with the square of a group.
+* Larger ones branch on. What is still large at the last depth is compared in blocks, so
+  nothing is cut.
 
 Pairs pass a test on one-bit minwise sketches, in small nodes another on their smallest
 hashes (both 4.8 standard deviations below the threshold), then full sets decide. Links
@@ -34,8 +38,8 @@ TOKENS = 128  # minwise tokens per set
 TREES = 16
 LEAF = 512
 BOTTOM = 256  # smallest hashes of a set that small nodes compare
-STARS = 3  # rounds in which every member meets one other of its nodes
-STEP = 3  # depths that large nodes go down between two counts of members
+STARS = 3  # rounds at least in which every member meets one other of its nodes
+SHRINK = 0.875  # rounds go on while the members of large nodes fall below this share
 DEPTH = 24
 BROADCAST_IDS = 200_000  # ids of 8 bytes
 _CHUNK = 1024  # shingles ranked at a time
@@ -107,8 +111,8 @@ def _picks(nodes: np.ndarray, similarity: float):
     return np.concatenate(rows), np.concatenate(places)
 
 
-def _children(similarity: float, roots: np.ndarray | None, steps: int = 1):
-    """(node, id, s0, s1) some depths further down from (node, id, s0, s1, tokens)."""
+def _children(similarity: float, roots: np.ndarray | None):
+    """(node, id, s0, s1) one depth further down from (node, id, s0, s1, tokens)."""
 
     def run(batches):
         for batch in batches:
@@ -122,11 +126,10 @@ def _children(similarity: float, roots: np.ndarray | None, steps: int = 1):
             else:
                 nodes = batch.column("node").to_numpy().view(np.uint64)
                 of = np.arange(batch.num_rows)
-            for _ in range(steps):
-                rows, places = _picks(nodes, similarity)
-                of = of[rows]
-                values = tokens[of, places].astype(np.uint64)
-                nodes = mix(mix(nodes[rows] + places.astype(np.uint64)) + values)
+            rows, places = _picks(nodes, similarity)
+            of = of[rows]
+            values = tokens[of, places].astype(np.uint64)
+            nodes = mix(mix(nodes[rows] + places.astype(np.uint64)) + values)
             take = pa.array(of)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(signed(nodes)), *[batch.column(c).take(take) for c in ("id", "s0", "s1")]],
@@ -178,27 +181,23 @@ def _labelled(rows, labels):
 
 
 def _undecided(rows, labels, turn=0):
-    """rows of nodes whose members aren't all linked yet, with the number of members and
-    the one that comes first in the turn's order."""
+    """rows of nodes whose members aren't all linked yet, with the number of members, the
+    one that comes first in the turn's order, the label of most members and how many have
+    another one. Labels are counted before nodes, so that a node is put together from parts."""
+    place = (F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))).alias("place")
+    first = F.min(F.struct(place, "id", "s0", "s1", "label")).alias("lead")
     rows = _labelled(rows, labels)
     nodes = (
-        rows.groupBy("node")
+        rows.groupBy("node", "label")
+        .agg(F.count(F.lit(1)).alias("n"), first)
+        .groupBy("node")
         .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min("label").alias("_low"),
-            F.max("label").alias("_high"),
-            F.min(
-                F.struct(
-                    (F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))).alias("place"),
-                    "id",
-                    "s0",
-                    "s1",
-                    "label",
-                )
-            ).alias("lead"),
+            F.sum("n").alias("n"),
+            F.max(F.struct("n", "label")).alias("top"),
+            F.min("lead").alias("lead"),
         )
-        .filter("_low < _high")
-        .select("node", "n", "lead")
+        .filter("top.n < n")
+        .select("node", "n", "lead", F.col("top.label").alias("major"), (F.col("n") - F.col("top.n")).alias("rest"))
     )
     return written(rows.join(nodes, "node"))
 
@@ -226,14 +225,16 @@ def _most_apart(similarity):
 def _near_members(rows, similarity):
     """Members of small nodes whose sketch is near to that of another one they aren't linked
     with, where the two have no other node of these with a smaller number: a pair meets
-    once. A node's list has LEAF members at most, or those of two blocks."""
+    once. A list has LEAF members at most, or those of two blocks of a node; members of the
+    same side above 0 meet in another block."""
     mine = rows.groupBy("id").agg(F.collect_set("node").alias("nodes"))
-    member = F.struct("id", "label", "s0", "s1", "nodes")
-    groups = rows.join(mine, "id").groupBy("node").agg(F.collect_list(member).alias("members"))
+    member = F.struct("id", "label", "s0", "s1", "side", "nodes")
+    groups = rows.join(mine, "id").groupBy("node", "block").agg(F.collect_list(member).alias("members"))
 
     def near(x, y):
         apart = F.bit_count(x["s0"].bitwiseXOR(y["s0"])) + F.bit_count(x["s1"].bitwiseXOR(y["s1"]))
-        return (x["label"] != y["label"]) & (apart <= _most_apart(similarity))
+        across = (x["side"] != y["side"]) | (x["side"] == 0)
+        return (x["label"] != y["label"]) & across & (apart <= _most_apart(similarity))
 
     def met_before(x, y):
         earlier = F.filter(x["nodes"], lambda n: n < F.col("node"))
@@ -245,7 +246,7 @@ def _near_members(rows, similarity):
     listed = F.transform(
         kept, lambda x: F.struct(*[x[c].alias(c) for c in ("id", "label", "s0", "s1")])
     )
-    return groups.select("node", F.inline(listed))
+    return groups.select("node", "block", F.inline(listed))
 
 
 def _bottoms(width: int):
@@ -326,18 +327,40 @@ def _leaf_pairs(near, docs, width, similarity):
     texts = join_small(docs, ids, ["id"], BROADCAST_IDS, 1, ["id"], how="left_semi")
     sketched = texts.mapInArrow(_bottoms(width), "id long, whole boolean, bottom binary")
     joined = near.join(sketched, "id")
-    return joined.groupBy("node").applyInArrow(_compared(similarity), "a long, b long")
+    return joined.groupBy("node", "block").applyInArrow(_compared(similarity), "a long, b long")
 
 
-def _blocks(rows):
-    """Large nodes as pairs of blocks of about LEAF members, so that all members meet."""
-    blocks = F.ceil(F.col("n") / LEAF).cast("int")
+_MEMBER = ["node", "id", "s0", "s1", "label", "block", "side"]
+
+
+def _whole(rows):
+    """Small nodes: one block in which all members meet."""
+    return rows.withColumn("block", F.lit(0).cast("long")).withColumn("side", F.lit(0)).select(*_MEMBER)
+
+
+def _rest_blocks(rows, leaf):
+    """Large nodes with few members outside the largest label: blocks of about `leaf` members
+    of that label, and in each of them all the others."""
+    blocks = F.ceil((F.col("n") - F.col("rest")) / leaf).cast("int")
+    major = F.col("label") == F.col("major")
+    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    into = F.when(major, F.array(own)).otherwise(F.sequence(F.lit(0), blocks - 1))
+    dealt = rows.withColumn("block", F.explode(into)).withColumn("block", F.col("block").cast("long"))
+    side = F.when(major, 1).when(F.col("block") == 0, 0).otherwise(2)
+    return dealt.withColumn("side", side).select(*_MEMBER)
+
+
+def _blocks(rows, leaf):
+    """Large nodes as pairs of blocks of about `leaf` members, so that all members meet."""
+    blocks = F.ceil(F.col("n") / leaf).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
     dealt = rows.withColumn("own", own).withColumn(
         "other", F.explode(F.sequence(F.lit(0), blocks - 1))
     )
-    node = F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))
-    return dealt.withColumn("node", node)
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    block = low.cast("long") * (1 << 32) + high
+    side = F.when(low == high, 0).when(F.col("own") == low, 1).otherwise(2)
+    return dealt.withColumn("block", block).withColumn("side", side).select(*_MEMBER)
 
 
 def near_duplicates(
@@ -379,29 +402,40 @@ def near_duplicates(
     def link(pairs):
         nonlocal labels, edges
         pairs = materialise(pairs.distinct())
-        if not pairs.isEmpty():
-            linked = written(_confirmed(pairs, here, width, percent))
-            if linked.isEmpty():
-                return
-            edges = linked if edges is None else edges.unionAll(linked)
-            labels = components(edges)
+        if pairs.isEmpty():
+            return False
+        linked = written(_confirmed(pairs, here, width, percent))
+        if linked.isEmpty():
+            return False
+        edges = linked if edges is None else edges.unionAll(linked)
+        labels = components(edges)
+        return True
 
     plain = ["node", "id", "s0", "s1"]
+    small = F.col("n") <= leaf
+    settled = ~small & (F.col("rest") <= leaf)
+    large = ~small & ~settled
     rows = sets.select("id", "s0", "s1", "tokens").mapInArrow(_children(similarity, roots), schema)
-    for turn in range(STARS):
+    turn, before = 0, None
+    while True:
         rows = _undecided(rows.select(*plain), labels, turn)
-        link(_star_pairs(rows, similarity))
-    rows = _undecided(rows.select(*plain), labels)
-    small = F.col("n") <= leaf
-    plain_label = [*plain, "label"]
-    compared, at = rows.filter(small).select(*plain_label), 1
-    many = rows.filter(~small)
+        if turn >= STARS - 1:
+            now = rows.filter(large).count()
+            if turn >= STARS and (not now or now > SHRINK * before):
+                break
+            before = now
+        link(_star_pairs(rows if turn < STARS else rows.filter(large), similarity))
+        turn += 1
+    compared, at = _whole(rows.filter(small)).unionAll(_rest_blocks(rows.filter(settled), leaf)), 1
+    many = rows.filter(large)
     while at < depth and not many.isEmpty():
         deeper = many.select(*plain).join(sets.select("id", "tokens"), "id")
-        rows = _undecided(deeper.mapInArrow(_children(similarity, None, STEP), schema), labels)
-        compared = compared.unionAll(rows.filter(small).select(*plain_label))
-        many, at = rows.filter(~small), at + STEP
-    compared = compared.unionAll(_blocks(many).select(*plain_label))
+        rows = _undecided(deeper.mapInArrow(_children(similarity, None), schema), labels, at)
+        if link(_star_pairs(rows.filter(large), similarity)):
+            rows = _undecided(rows.select(*plain), labels)
+        compared = compared.unionAll(_whole(rows.filter(small))).unionAll(_rest_blocks(rows.filter(settled), leaf))
+        many, at = rows.filter(large), at + 1
+    compared = compared.unionAll(_blocks(many, leaf))
     near = materialise(_near_members(compared, similarity))
     link(_leaf_pairs(near, here, width, similarity))
     known = _labelled(sets.select("print", "id"), labels).select("print", F.col("label").alias("c"))
