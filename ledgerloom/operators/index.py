@@ -23,8 +23,9 @@ from pyspark.sql.types import StructType
 
 from ledgerloom.config import EngineConfig
 from ledgerloom.functions.vectors import embed_text
-from ledgerloom.operators.bm25 import document_frequency, tokenised
-from ledgerloom.operators.joins import join_small
+from ledgerloom.operators import bm25
+from ledgerloom.operators.bm25 import tokenised
+from ledgerloom.operators.joins import fits, join_small
 from ledgerloom.operators.ordering import with_positions
 from ledgerloom.operators.postings import bucket_of, build_postings, indexed_scores, write_postings
 from ledgerloom.operators.snapshots import SnapshotLog
@@ -92,7 +93,8 @@ class Index:
             .filter(F.col("rank") <= k)
         )
         keys = self.chunks.select("ord", "doc_key")
-        return join_small(keys, found, ["ord"], cfg.broadcast_max_rows, 1, ["ord"]).select(
+        small = fits(queries, cfg.broadcast_max_rows // max(1, k))
+        return join_small(keys, found, ["ord"], cfg.broadcast_max_rows, 1, ["ord"], known_small=small).select(
             "query_id", "doc_key", F.col("bm25").alias("score"), "rank"
         )
 
@@ -162,28 +164,37 @@ def publish(
     )
 
 
+def document_frequency(postings: DataFrame) -> DataFrame:
+    """(token, df) out of posting rows."""
+    return postings.groupBy("token").agg(F.sum("n").alias("df"))
+
+
 def _write_segment(spark, root, log, rows, gone, current, cfg) -> dict:
     name = uuid4().hex
     path = f"{root}/data/{name}"
     rows.write.parquet(f"{path}/chunks")
     stored = spark.read.schema(rows.schema).parquet(f"{path}/chunks")
     write_postings(build_postings(stored, cfg), f"{path}/postings", cfg)
-    toks = tokenised(stored)
-    df, n_dead = document_frequency(toks), 0
-    sizes = toks.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("n_words"))
+    buckets = [int(n.removeprefix("bucket=")) for n in log.children(f"data/{name}/postings") if n.startswith("bucket=")]
+    # the written postings hold all counts, so texts are not read again for them
+    listed = spark.createDataFrame([], _POSTINGS)
+    if buckets:
+        listed = spark.read.schema(_POSTINGS).parquet(*[f"{path}/postings/bucket={b}" for b in buckets])
+    df, n_dead, n_chunks = document_frequency(listed), 0, stored.count()
+    n_words = F.sum(F.aggregate("tfs", F.lit(0).cast("long"), lambda s, n: s + n))
+    sizes = listed.agg(F.lit(n_chunks).cast("long").alias("n_docs"), F.coalesce(n_words, F.lit(0)).alias("n_words"))
     if gone is not None:
         gone.write.parquet(f"{path}/dead")
         n_dead = spark.read.schema("ord long").parquet(f"{path}/dead").count()
     if n_dead:
         replaced = join_small(_read(spark, root, current).chunks, gone, ["ord"], cfg.broadcast_max_rows, 1, ["ord"], how="left_semi")
         lost = tokenised(replaced)
-        df = df.unionAll(document_frequency(lost).select("token", -F.col("df")))
+        df = df.unionAll(bm25.document_frequency(lost).select("token", -F.col("df")))
         sizes = sizes.unionAll(lost.agg(-F.count(F.lit(1)), -F.coalesce(F.sum("doc_len"), F.lit(0))))
     df.write.parquet(f"{path}/term_df")
     sizes.write.parquet(f"{path}/corpus_stats")
-    buckets = [int(n.removeprefix("bucket=")) for n in log.children(f"data/{name}/postings") if n.startswith("bucket=")]
     return {
-        "name": name, "buckets": buckets, "dead": n_dead, "schema": rows.schema.json(), "n_chunks": stored.count(),
+        "name": name, "buckets": buckets, "dead": n_dead, "schema": rows.schema.json(), "n_chunks": n_chunks,
     }
 
 

@@ -8,7 +8,8 @@ number, the largest count and the shortest length, which bound the weight of eac
 A search reads the folders of the asked words only. From the bounds alone it adds up what a
 document of a range can score at most, scores the most promising ranges of each query in
 full, and then only those ranges that can still beat the k-th score found. Texts are not
-read, and what moves are rows of the asked words.
+read, and what moves are rows of the asked words: those of a range meet in one partition,
+where they are opened and added up, so no row per posting and query ever moves.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from ledgerloom.operators.joins import fits, join_small
 from ledgerloom.session import materialise
 
 _KEY = ["query_id", "range"]
+RANGE_ROWS = 2_000_000  # pairs of a query and a range, of some 20 bytes, that are broadcast
 
 
 def bucket_of(token: Column, cfg: EngineConfig) -> Column:
@@ -75,14 +77,55 @@ def word_weights(
     ).select("query_id", "token", (F.col("qtf") * F.col("idf")).alias("weight"))
 
 
-def _decoded(rows: DataFrame, cfg: EngineConfig) -> DataFrame:
-    """One row per posting: query_id, weight, ord, tf, doc_len."""
+def _decoded(rows: DataFrame) -> DataFrame:
+    """One row per posting: query_id, weight, range, place, tf, doc_len."""
     zipped = F.arrays_zip(
         F.col("places").alias("place"), F.col("tfs").alias("tf"), F.col("lens").alias("doc_len")
     )
     exploded_ = rows.select("query_id", "weight", "range", F.explode(zipped).alias("p"))
-    ord_ = (F.col("range") * cfg.posting_range + F.col("p.place")).alias("ord")
-    return exploded_.select("query_id", "weight", ord_, "p.tf", "p.doc_len")
+    return exploded_.select("query_id", "weight", "range", "p.place", "p.tf", "p.doc_len")
+
+
+def dead_flags(dead: DataFrame, cfg: EngineConfig) -> DataFrame:
+    """(range, flags) of positions (ord): per range one bit per position, 64 to a number."""
+    span = cfg.posting_range
+    place = F.pmod("ord", F.lit(span))
+    bits = (
+        dead.select(F.floor(F.col("ord") / span).cast("long").alias("range"), place.cast("int").alias("place"))
+        .withColumn("at", F.floor(F.col("place") / 64).cast("int"))
+        .groupBy("range", "at")
+        .agg(F.expr("bit_or(shiftleft(1L, place % 64))").alias("bits"))
+    )
+    kept = F.map_from_entries(F.collect_list(F.struct("at", "bits")))
+    every = F.sequence(F.lit(0), F.lit((span - 1) // 64))
+    return bits.groupBy("range").agg(kept.alias("kept")).select(
+        "range",
+        F.transform(every, lambda at: F.coalesce(F.try_element_at("kept", at), F.lit(0).cast("long"))).alias("flags"),
+    )
+
+
+def _placed(postings: DataFrame, words: DataFrame, dead: DataFrame | None, ranges: int, cfg: EngineConfig) -> DataFrame:
+    """(token, range, places, tfs, lens) of the asked words, all words of a range in one
+    partition and without dead positions. What moves are the arrays, once each however many
+    queries ask for the word."""
+    wanted = join_small(
+        postings.select("token", "range", "places", "tfs", "lens"), words, ["token"],
+        cfg.broadcast_max_rows, cfg.salt_buckets, ["range"], how="left_semi",
+    )
+    placed = wanted.repartition(ranges, "range")
+    if dead is None:
+        return placed
+    flags = dead_flags(dead, cfg).repartition(ranges, "range")
+    marked = placed.join(flags.hint("shuffle_hash"), "range", "left")
+
+    def lives(place: Column) -> Column:
+        word = F.get("flags", F.floor(place / F.lit(64)).cast("int"))
+        return F.call_function("shiftright", word, F.pmod(place, F.lit(64))).bitwiseAND(F.lit(1).cast("long")) == 0
+
+    alive = F.transform("places", lives)
+    cut = [F.filter(c, lambda x, i: F.get("alive", i)).alias(c) for c in ("places", "tfs", "lens")]
+    whole = [F.when(F.col("flags").isNull(), F.col(c)).otherwise(x).alias(c) for c, x in zip(("places", "tfs", "lens"), cut, strict=True)]
+    return marked.withColumn("alive", alive).select("token", "range", *whole)
 
 
 def indexed_scores(
@@ -119,19 +162,23 @@ def indexed_scores(
         hits.groupBy(*_KEY).agg((F.sum(most) + F.lit(step)).alias("most"), F.sum("n").alias("postings"))
     )
 
+    n_ranges = max(1, bounds.select("range").distinct().count())
+    words = weights.select("token").distinct()
+    by_range = _placed(postings, words, dead, n_ranges, cfg)
+
     def scored(ranges: DataFrame) -> DataFrame:
-        picked = join_small(
-            hits.drop("n", "max_tf", "min_len"), ranges.select(*_KEY), _KEY, cfg.broadcast_max_rows, 1, ["range"]
+        # All postings of a range are in one partition, so the sums need no further exchange.
+        asked = join_small(
+            by_range, weights, ["token"], cfg.broadcast_max_rows, cfg.salt_buckets, ["range"], known_small=small
         )
+        picked = join_small(asked, ranges.select(*_KEY), _KEY, RANGE_ROWS, 1, ["range"], how="left_semi")
         part = F.col("weight") * term_weight(F.col("tf"), F.col("doc_len"), avg_len, cfg)
-        found = (
-            _decoded(picked, cfg)
-            .groupBy("query_id", "ord")
+        return (
+            _decoded(picked)
+            .groupBy("query_id", "range", "place")
             .agg(F.round(F.sum(part), cfg.score_scale).alias("bm25"))
+            .select("query_id", (F.col("range") * cfg.posting_range + F.col("place")).alias("ord"), "bm25")
         )
-        if dead is None:
-            return found
-        return join_small(found, dead, ["ord"], cfg.broadcast_max_rows, 1, ["ord"], how="left_anti")
 
     # The most promising ranges first: enough of them to hold k documents.
     order = Window.partitionBy("query_id").orderBy(F.col("most").desc(), "range")

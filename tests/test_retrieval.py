@@ -419,3 +419,23 @@ def test_hot_word_does_not_shuffle_by_word(docs, asked):
     plan = bm25.bm25_topk(asked, docs, 3, CFG)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan
     assert "BroadcastNestedLoopJoin" not in plan
+
+
+def test_index_scores_are_added_up_where_postings_meet(spark, docs, asked, tmp_path):
+    """Nothing is exchanged once the posting arrays are opened, also with dead positions."""
+    cfg, root = CFG.replace(posting_range=3), str(tmp_path / "index")
+    index.publish(chunk_rows(docs), root, None, cfg)
+    left = docs.filter("ord not in (1, 7)")
+    index.publish(chunk_rows(left), root, None, cfg, scope=F.lit(True))
+    stored = index.read_index(spark, root)
+    assert indexed(spark, root, asked, 3, cfg) == searched(asked, left)
+    plan = stored.scores(asked, 3, cfg)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(range" in plan and "hashpartitioning(query_id" not in plan
+
+
+def test_bm25_partitions_grow_with_corpus_and_queries(docs, asked, monkeypatch):
+    before = sorted(map(tuple, bm25.bm25_scores(asked, docs, CFG).collect()))
+    monkeypatch.setattr(bm25, "SCORES_HELD", 1)
+    scores = bm25.bm25_scores(asked, docs, CFG)
+    assert scores.rdd.getNumPartitions() == len(TEXTS) * len(QUERIES)
+    assert sorted(map(tuple, scores.collect())) == before
