@@ -10,6 +10,7 @@ with queries of many words.) With a persistent index, postings.py reads the aske
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -19,6 +20,10 @@ from ledgerloom.functions.text import tokens
 from ledgerloom.operators.joins import fits, join_small
 from ledgerloom.session import materialise
 
+# Rows that one task may hold while it counts words and adds up scores.
+WORDS_HELD = 2_000_000
+SCORES_HELD = 1_000_000
+
 
 def tokenised(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """(doc_key, ord, *keep, toks, doc_len) of (doc_key, ord, content, *keep)."""
@@ -79,13 +84,21 @@ def term_weight(tf: Column, doc_len: Column, avg_len: Column, cfg: EngineConfig)
     return tf * (k1 + 1) / (tf + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * doc_len / avg_len))
 
 
-def _counted_words(docs: DataFrame, keep: Sequence[str]) -> DataFrame:
-    by_doc = tokenised(
-        docs.select("doc_key", "ord", "content", *keep).repartition("doc_key"), keep
-    )
+def scoring_partitions(n_docs: int, n_words: int, n_queries: int, least: int) -> int:
+    """Partitions of the corpus such that what one task holds, its words by document and its
+    scores by query, does not grow with the corpus."""
+    return max(least, math.ceil(n_words / WORDS_HELD), math.ceil(n_docs * n_queries / SCORES_HELD))
+
+
+def _counted_words(docs: DataFrame, keep: Sequence[str], parts: int, wanted: DataFrame | None) -> DataFrame:
+    """(doc_key, ord, *keep, doc_len, token, tf), of the words in `wanted` only if it is given
+    (few enough to broadcast). The number of partitions is given, so they are not merged."""
+    by_doc = tokenised(docs.select("doc_key", "ord", "content", *keep).repartition(parts, "doc_key"), keep)
+    said = exploded(by_doc, F.col("toks"))
+    if wanted is not None:
+        said = said.join(F.broadcast(wanted), "token", "left_semi")
     return (
-        exploded(by_doc, F.col("toks"))
-        .groupBy("doc_key", "ord", *keep, "doc_len", "token")
+        said.groupBy("doc_key", "ord", *keep, "doc_len", "token")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
 
@@ -130,7 +143,10 @@ def bm25_scores(
     bounds = dict(max_rows=cfg.broadcast_max_rows, salts=cfg.salt_buckets, known_small=small)
     weights = join_small(idf, wanted, ["token"], spread=["token"], **bounds).select("query_id", "token", (F.col("qtf") * F.col("idf")).alias("weight"))
 
-    hits = join_small(_counted_words(docs, keep), weights, ["token"], spread=["doc_key"], **bounds)
+    size = stats.select(F.coalesce("n_docs", F.lit(0)), F.coalesce(F.col("n_docs") * F.col("avg_len"), F.lit(0.0))).first()
+    parts = scoring_partitions(size[0], size[1], queries.count(), docs.sparkSession.sparkContext.defaultParallelism)
+    words = wanted.select("token").distinct() if small else None
+    hits = join_small(_counted_words(docs, keep, parts, words), weights, ["token"], spread=["doc_key"], **bounds)
     part = F.col("weight") * term_weight(F.col("tf"), F.col("doc_len"), avg_len, cfg)
     return (
         hits.withColumn("part", part)
