@@ -12,9 +12,10 @@ line breaks, and pipe tables whose first row is the header.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 from ledgerloom.functions.tables import table_markdown, table_summary
@@ -23,6 +24,11 @@ from ledgerloom.functions.text import clean_cell, clean_markdown
 _CELL = "struct<is_header:boolean,text:string,stripped:string>"
 _PAGE = f"markdown string, tables array<struct<caption:string,rows:array<array<{_CELL}>>>>"
 
+_ARROW_CELL = pa.struct([("is_header", pa.bool_()), ("text", pa.string()), ("stripped", pa.string())])
+_ARROW_TABLE = pa.struct([("caption", pa.string()), ("rows", pa.list_(pa.list_(_ARROW_CELL)))])
+_ARROW_PAGE = pa.struct([("markdown", pa.string()), ("tables", pa.list_(_ARROW_TABLE))])
+SLICE_CHARS = 1_000_000  # markup whose parts are held as objects at a time
+
 _VOID = {"area", "base", "br", "col", "hr", "img", "input", "link", "meta", "wbr"}
 _SKIPPED = {"script", "style"}
 _BLOCKS = {"p", "div", "section", "article", "table", "dl", "figure", "form"}
@@ -182,14 +188,30 @@ def _read(html: str | None) -> dict:
     return page.finish()
 
 
+def _in_slices(pages: Iterable[pa.Array]) -> Iterator[pa.Array]:
+    """What is read from batches of pages, handed on whenever SLICE_CHARS of markup are read:
+    the cells of a page take many times the memory of its markup while they are objects."""
+    for batch in pages:
+        rows, size = [], 0
+        for html in batch:
+            html = html.as_py()
+            rows.append(_read(html))
+            size += len(html or "")
+            if size >= SLICE_CHARS:
+                yield pa.array(rows, _ARROW_PAGE)
+                rows, size = [], 0
+        if rows:
+            yield pa.array(rows, _ARROW_PAGE)
+
+
 def page_parts(html: Column) -> Column:
     """struct<markdown, tables> as read from the markup, before clean-up."""
 
-    @F.pandas_udf(_PAGE)
-    def read_pages(batch: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_read(h) for h in batch], columns=["markdown", "tables"])
+    @F.arrow_udf(_PAGE)
+    def read_pages(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from _in_slices(batches)
 
-    return read_pages(html)
+    return read_pages(html.cast("string"))
 
 
 def page_markdown(parts: Column) -> Column:

@@ -182,3 +182,14 @@ def test_index_order_is_unique_and_follows_the_keys(spark):
     ordered = D.with_index_order(rows, "doc_id").orderBy("doc_id").collect()
     places = [r.ord for r in ordered]
     assert places == sorted(set(places)) and ordered[0].doc_key == "d00000_chunk_0"
+
+
+def test_pages_are_handed_on_in_slices(monkeypatch):
+    """A batch of pages is not held as objects at once; nothing is lost between slices."""
+    import pyarrow as pa
+
+    pages = [f"<p>{k}</p><table><tr><td>{k}</td></tr></table>" for k in range(40)] + [None, ""]
+    monkeypatch.setattr(H, "SLICE_CHARS", 5 * len(pages[0]))
+    made = list(H._in_slices([pa.array(pages), pa.array([], pa.string())]))
+    assert len(made) == 8 + 1 and max(map(len, made)) == 5
+    assert [r for x in made for r in x.to_pylist()] == [H._read(p) for p in pages]
