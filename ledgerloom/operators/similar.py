@@ -23,6 +23,7 @@ from ledgerloom.config import EngineConfig
 from ledgerloom.operators.joins import join_small
 from ledgerloom.session import materialise
 
+STRIP = 256  # left rows multiplied at a time where pairs are only counted
 FIRST = 8  # coordinates of the first bound; each further one has twice as many
 
 
@@ -60,6 +61,40 @@ def pairs_above(
     return i, j, products(0, left.shape[1]), multiplied
 
 
+def _stacked(vectors: pd.Series, width: int) -> np.ndarray:
+    return np.stack(vectors) if len(vectors) else np.empty((0, width))
+
+
+def earlier_above(
+    left_id: np.ndarray, left: np.ndarray, right_id: np.ndarray, right: np.ndarray, threshold: float, scale: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(left_id, right_id, cosine, n) of left rows with right rows of smaller id whose rounded
+    cosine reaches the threshold: the best of those, the smallest id among equals, and their
+    number. Whole products of STRIP left rows at a time, so memory is bounded and dense groups
+    cost a matrix product and no pairs."""
+    mine, theirs = np.argsort(left_id, kind="stable"), np.argsort(right_id, kind="stable")
+    left_id, left, right_id, right = left_id[mine], left[mine], right_id[theirs], right[theirs]
+    until = np.searchsorted(right_id, left_id)  # right rows before it have smaller ids
+    found = []
+    for start in range(0, len(left_id), STRIP):
+        ends = until[start : start + STRIP]
+        most = int(ends[-1])
+        if not most:
+            continue
+        cosine = left[start : start + STRIP] @ right[:most].T
+        if cosine.max() < threshold - 10.0**-scale:
+            continue
+        cosine = np.round(cosine, scale)
+        cosine[(cosine < threshold) | (np.arange(most) >= ends[:, None])] = -2
+        n = (cosine > -2).sum(axis=1)
+        rows = np.flatnonzero(n)
+        best = cosine[rows].argmax(axis=1)
+        found.append((left_id[start + rows], right_id[best], cosine[rows, best], n[rows]))
+    if not found:
+        return left_id[:0], right_id[:0], np.empty(0), np.empty(0, np.int64)
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
 def _unit(column: str) -> Column:
     length = F.sqrt(F.aggregate(column, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     return F.when(length > 0, F.transform(column, lambda x: x.cast("double") / length))
@@ -95,6 +130,8 @@ def _sliced(rows: DataFrame, order: list[int], cfg: EngineConfig) -> tuple[DataF
     )
     marked = join_small(large, edges.drop("slices"), ["scope"], cfg.broadcast_max_rows, 1, ["id"])
     part = F.size(F.filter("edges", lambda e: e < F.col("place")))  # 0 to 63
+    # no more parts than slices: every further one is another copy of the other side
+    part = F.floor(part * F.least(F.col("slices"), F.lit(64)) / 64)
     inside = F.pmod(F.xxhash64("id"), F.ceil(F.col("slices") / 64).cast("int"))
     marked = marked.withColumn("slice", (part * F.ceil(F.col("slices") / 64) + inside).cast("int")).drop("edges")
     rows = materialise(small.unionByName(marked).select("scope", "slice", "id", "unit", "rest"))
@@ -107,11 +144,14 @@ def _sliced(rows: DataFrame, order: list[int], cfg: EngineConfig) -> tuple[DataF
 
 
 def similar_pairs(
-    left: DataFrame, right: DataFrame, threshold: float, cfg: EngineConfig = EngineConfig(), nearest: bool = False
-) -> DataFrame:
+    left: DataFrame, right: DataFrame, threshold: float, cfg: EngineConfig = EngineConfig(), nearest: bool = False,
+    earlier: bool = False,
+) -> DataFrame:
     """(left_id, right_id, similarity): pairs of one scope with cosine >= threshold (above 0).
     With `nearest`, of each pair of slices only the best right row per left row, the one with
-    the smallest id among equals.
+    the smallest id among equals. With `earlier`, of right rows with a smaller id than the
+    left one only their number (column n) and the best, per left row and pair of slices: the
+    pairs themselves, as many as the square of a group of similar rows, are not made.
 
     left, right: (scope, id, embedding). Cosines are rounded to cfg.score_scale decimals, and
     the rounded value is compared. Vectors that are null, zero or of another width, and rows
@@ -155,8 +195,16 @@ def similar_pairs(
         .add("similarity", "double")
     )
     scale = cfg.score_scale
+    if earlier:
+        schema = schema.add("n", "long")
 
     def compare(x, y):
+        if earlier:
+            columns = earlier_above(
+                x["id"].to_numpy(), _stacked(x["unit"], width), y["their_id"].to_numpy(),
+                _stacked(y["their_unit"], width), threshold, scale,
+            )
+            return pd.DataFrame(dict(zip(("left_id", "right_id", "similarity", "n"), columns, strict=True)))
         if x.empty or y.empty:
             return pd.DataFrame({"left_id": [], "right_id": [], "similarity": []})
         i, j, cosine, _ = pairs_above(np.stack(x["unit"]), np.stack(y["their_unit"]), limit)

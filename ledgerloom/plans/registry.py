@@ -219,9 +219,9 @@ def cache_reuse(spark, sf):
     rows = _embedded(corpus(spark, sf), "content").select(
         F.concat_ws("/", "source", "lang").alias("scope"), F.col("doc_key").alias("id"), "embedding"
     )
-    earlier = similar.similar_pairs(rows, rows, CONFIG.cache_threshold, CONFIG).filter("right_id < left_id")
+    earlier = similar.similar_pairs(rows, rows, CONFIG.cache_threshold, CONFIG, earlier=True)
     best = F.min(F.struct((-F.col("similarity")).alias("far"), "right_id"))
-    found = earlier.groupBy("left_id").agg(F.count(F.lit(1)).alias("n_similar"), best.alias("b"))
+    found = earlier.groupBy("left_id").agg(F.sum("n").alias("n_similar"), best.alias("b"))
     return found.select(
         F.col("left_id").alias("query_id"), "n_similar", F.col("b.right_id").alias("ord"),
         (-F.col("b.far")).alias("similarity"),

@@ -439,3 +439,23 @@ def test_bm25_partitions_grow_with_corpus_and_queries(docs, asked, monkeypatch):
     scores = bm25.bm25_scores(asked, docs, CFG)
     assert scores.rdd.getNumPartitions() == len(TEXTS) * len(QUERIES)
     assert sorted(map(tuple, scores.collect())) == before
+
+
+@pytest.mark.parametrize("block", [4096, 7])
+def test_earlier_similar_rows_are_counted_without_pairs(spark, block):
+    """A group of like rows yields one row per row and pair of slices, with all pairs counted."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=8)
+    rows = [("s", k, (base + rng.normal(size=8) * 0.05 * (k % 3)).tolist()) for k in range(60)]
+    df = spark.createDataFrame(rows, "scope string, id long, embedding array<double>")
+    cfg = CFG.replace(query_block_rows=block)
+    plain = {}
+    for r in similar.similar_pairs(df, df, 0.95, cfg).filter("right_id < left_id").collect():
+        plain.setdefault(r.left_id, []).append((-r.similarity, r.right_id))
+    found, got = similar.similar_pairs(df, df, 0.95, cfg, earlier=True).collect(), {}
+    for r in found:
+        n, best = got.get(r.left_id, (0, (0, 0)))
+        got[r.left_id] = (n + r.n, min(best, (-r.similarity, r.right_id)))
+    assert got == {k: (len(v), min(v)) for k, v in plain.items()}
+    slices = -(-60 // block)
+    assert len(found) <= 60 * slices and sum(r.n for r in found) > 10 * 60
