@@ -241,6 +241,18 @@ def test_planted_passages_are_found_and_clean_texts_left_alone(spark):
     assert all(cut[i] == before[i] for i in cut if i not in (17, 29, 33))
 
 
+def test_documents_that_quote_a_part_hide_no_passage(spark):
+    rng = random.Random(8)
+    rows, pairs = [], set()
+    for _ in range(3):
+        passage = sentence(rng, 60, 10**6).split()
+        quotes = [passage[at : at + 24] for at in range(0, 37, 2) for _ in range(8)]
+        pairs.add((len(rows) + len(quotes), len(rows) + len(quotes) + 1))
+        rows += [(len(rows) + n, " ".join(around(rng, q))) for n, q in enumerate([*quotes, passage, passage])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r["a"], r["b"]) for r in passages.near_passages(docs).collect()} == pairs
+
+
 def test_frequent_signatures_are_split(spark, monkeypatch):
     monkeypatch.setattr(passages, "SAMPLE_SHARE", 1)
     monkeypatch.setattr(passages, "SAMPLE_HOT", 2)
