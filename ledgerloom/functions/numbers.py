@@ -20,7 +20,11 @@ _FLOAT_TEXT = (
 
 def parse_float(text: Column) -> Column:
     """Double for anything Python's float() accepts, otherwise NULL."""
-    body = strip(text)
+    return parse_stripped(strip(text))
+
+
+def parse_stripped(body: Column) -> Column:
+    """The same of text without blanks around it."""
     return F.when(
         body.rlike(_FLOAT_TEXT), F.replace(body, F.lit("_"), F.lit("")).try_cast("double")
     )

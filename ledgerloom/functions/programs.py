@@ -15,8 +15,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from ledgerloom.functions.numbers import SIGNED_NUMBER, has_match, parse_float
-from ledgerloom.functions.text import SPACE, let, strip
+from ledgerloom.functions.numbers import SIGNED_NUMBER, has_match, parse_stripped
+from ledgerloom.functions.text import let, strip
 from ledgerloom.schema import PROGRAM_STEP
 
 # Operation names, ignored line starts, markers and messages.
@@ -35,8 +35,8 @@ _STATE = f"struct<variables:map<string,double>,steps:array<{PROGRAM_STEP}>,error
 
 
 def program_lines(text: Column) -> Column:
-    # splitting with the blanks around a line break strips every line at once
-    lines = F.split(strip(text), rf"(?U){SPACE}*\n{SPACE}*")
+    # one plain character: Spark compiles any other pattern again for every split
+    lines = F.transform(F.split(text, "\n"), strip)
 
     def counted(line: Column) -> Column:
         keep = line != ""
@@ -53,39 +53,37 @@ def _statements(text: Column, strict: bool) -> Column:
     assigned = F.filter(program_lines(text), lambda s: s.contains("="))
 
     def name_and_body(line: Column) -> Column:
-        sides = F.split(line, rf"(?U){SPACE}*={SPACE}*", 2)
-        body = F.get(sides, F.lit(1))
+        body = F.substr(line, F.instr(line, "=") + 1)
         if not strict:
-            body = strip(F.split_part(body, F.lit("#"), F.lit(1)))
-        return F.struct(
-            line.alias("line"), F.get(sides, F.lit(0)).alias("name"), body.alias("body")
-        )
+            body = F.substring_index(body, "#", 1)
+        name = F.substring_index(line, "=", 1)
+        return F.struct(line.alias("line"), strip(name).alias("name"), strip(body).alias("body"))
 
     def with_call(s: Column) -> Column:
         return F.struct(
             s["line"].alias("line"),
             s["name"].alias("name"),
             s["body"].alias("body"),
-            F.regexp_extract(s["body"], CALL, 1).alias("operation"),
-            strip(F.regexp_extract(s["body"], CALL, 2)).alias("arguments"),
+            F.when(s["body"].contains("("), F.regexp_extract(s["body"], CALL, 1)).otherwise("").alias("operation"),
+            F.when(s["body"].contains("("), strip(F.regexp_extract(s["body"], CALL, 2))).otherwise("").alias("arguments"),
         )
 
     def with_items(s: Column) -> Column:
         is_call = s["operation"] != ""
-        is_list = s["arguments"].rlike(LIST)
+        is_list = s["arguments"].startswith("[") & s["arguments"].rlike(LIST)
         inner = F.when(is_list, F.regexp_extract(s["arguments"], LIST, 1)).otherwise(s["arguments"])
         return F.struct(
             s["line"].alias("line"),
             s["name"].alias("name"),
             s["body"].alias("body"),
-            F.when(~is_call, parse_float(s["body"])).alias("constant"),
+            F.when(~is_call, parse_stripped(s["body"])).alias("constant"),
             F.when(is_call, s["operation"]).alias("operation"),
             is_list.alias("is_list"),
-            F.when(is_call, F.split(strip(inner), rf"(?U){SPACE}*,{SPACE}*")).alias("items"),
+            F.when(is_call, F.transform(F.split(inner, ","), strip)).alias("items"),
         )
 
     def with_literals(s: Column) -> Column:
-        return s.withField("literals", F.transform(s["items"], parse_float))
+        return s.withField("literals", F.transform(s["items"], parse_stripped))
 
     return F.transform(
         F.transform(F.transform(F.transform(assigned, name_and_body), with_call), with_items),
@@ -185,14 +183,12 @@ def _advance(state: Column, s: Column, strict: bool) -> Column:
             .alias("variables"),
             F.when(failed, state["steps"])
             .otherwise(
-                F.concat(
+                F.array_append(
                     state["steps"],
-                    F.array(
-                        F.struct(
-                            step["operation"].alias("operation"),
-                            step["arguments"].alias("arguments"),
-                            step["result"].alias("result"),
-                        )
+                    F.struct(
+                        step["operation"].alias("operation"),
+                        step["arguments"].alias("arguments"),
+                        step["result"].alias("result"),
                     ),
                 )
             )
