@@ -7,7 +7,6 @@ from pyspark.sql import Column, functions as F
 from ledgerloom.functions.text import let, strip
 
 # Number patterns and filter bounds that define the results.
-SIGNED_MONEY = r"-?\$?\d+\.?\d*%?"
 SIGNED_NUMBER = r"-?\d+\.?\d*"
 YEAR_FIRST, YEAR_LAST = 1900, 2100
 EVIDENCE_LIMIT = 1e10
@@ -78,11 +77,16 @@ def is_year(value: Column) -> Column:
     return value.between(YEAR_FIRST, YEAR_LAST)
 
 
+def money_numbers(text: Column) -> Column:
+    """Every number of a text, thousands separators joined. A dollar sign may stand between
+    a minus sign and its number; it goes first, so that numbers are cast as one array."""
+    plain = F.replace(_without(text, ","), F.lit("-$"), F.lit("-"))
+    return _found(plain, SIGNED_NUMBER).try_cast("array<double>")
+
+
 def extract_numbers(text: Column) -> Column:
     """Numbers of a claim or its evidence; values that look like years are left out."""
-    found = _found(_without(text, ","), SIGNED_MONEY)
-    values = F.transform(found, lambda m: _without(m, "$%").try_cast("double"))
-    return F.filter(values, lambda v: v.isNotNull() & ~is_year(v))
+    return F.filter(money_numbers(text), lambda v: ~is_year(v))
 
 
 def evidence_numbers(text: Column) -> Column:

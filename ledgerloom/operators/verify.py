@@ -7,14 +7,16 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom.config import EngineConfig
-from ledgerloom.functions.numbers import close, extract_numbers, unmatched
-from ledgerloom.operators.joins import join_hot
+from ledgerloom.functions.numbers import close, extract_numbers, is_year, money_numbers, unmatched
+from ledgerloom.operators.joins import fits, join_hot
+from ledgerloom.session import materialise
 
 # Rollup messages.
 ALL_VERIFIED = "All numbers verified"
 NO_NUMBERS = "No numbers in answer"
 DISABLED = "Verification disabled"
 NOT_FOUND = " numbers not found in evidence"
+GROUP_SLOTS = 64  # targets of a block are counted by slots of groups, which bounds each group's
 
 
 def _bucket(value: Column, absolute: float, relative: float | None) -> Column:
@@ -45,23 +47,26 @@ def _block(bucket: Column, reach: int) -> Column:
 
 
 def _blocks(
-    candidates: DataFrame, group: str, absolute: float, relative: float | None
+    candidates: DataFrame, group: str, absolute: float, relative: float | None, asked: DataFrame | None
 ) -> DataFrame:
     """Per (group, block) the (low, high) ranges of all candidates that can match a
-    target of the block. A block has a fixed number of buckets and every bucket one
-    range, so the lists are bounded however many candidates there are."""
+    target of the block, for blocks in `asked` only if it is given (few enough to
+    broadcast). A block has a fixed number of buckets and every bucket one range, so the
+    lists are bounded however many candidates there are."""
     reach = _reach(relative)
-    ranges = (
-        candidates.select(group, "number")
-        .withColumn("bucket", _bucket(F.col("number"), absolute, relative))
-        .groupBy(group, "bucket")
-        .agg(F.min("number").alias("low"), F.max("number").alias("high"))
-    )
     touched = F.sequence(
         _block(F.col("bucket") - reach, reach), _block(F.col("bucket") + reach, reach)
     )
+    placed = (
+        candidates.select(group, "number")
+        .withColumn("bucket", _bucket(F.col("number"), absolute, relative))
+        .withColumn("block", F.explode_outer(touched))
+    )
+    if asked is not None:
+        placed = placed.join(F.broadcast(asked), "block", "left_semi")
     return (
-        ranges.withColumn("block", F.explode(touched))
+        placed.groupBy(group, "block", "bucket")
+        .agg(F.min("number").alias("low"), F.max("number").alias("high"))
         .groupBy(group, "block")
         .agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
     )
@@ -77,16 +82,21 @@ def mark_matches(
 ) -> DataFrame:
     """targets (group, number, …) with `found`: whether a candidate of the group is close.
 
-    Numbers close to a target form one interval around it. Candidates are reduced to
-    one range per narrow bucket, by aggregation that combines before it shuffles, and
-    the few ranges of a block of buckets are looked up once per target. A group that
-    holds a large part of all rows becomes many keys, no target-candidate pairs are
-    formed, and a block that is itself frequent among the targets is spread.
+    Numbers close to a target form one interval around it. Candidates in no block of any
+    target are left out where they are read, as the blocks of all groups are few; the others
+    are reduced to one range per narrow bucket, by aggregation that combines before it
+    shuffles, and the few ranges of a block of buckets are looked up once per target. A
+    group that holds a large part of all rows becomes many keys, no target-candidate pairs
+    are formed, and a block that is itself frequent among the targets is spread.
     """
     reach = _reach(relative)
     bucket = _bucket(F.col("number"), absolute, relative)
     placed = targets.withColumn("block", _block(bucket, reach))
-    near = _blocks(candidates, group, absolute, relative)
+    slot = F.pmod(F.xxhash64(group), F.lit(GROUP_SLOTS))
+    counted = materialise(placed.groupBy("block", slot.alias("slot")).agg(F.count(F.lit(1)).alias("n")))
+    asked = counted.select("block").distinct()
+    few = fits(asked, cfg.broadcast_max_rows)
+    near = _blocks(candidates, group, absolute, relative, asked if few else None)
     number = F.col("number")
     hit = F.exists(
         "ranges",
@@ -94,16 +104,24 @@ def mark_matches(
         | close(number, r["low"], absolute, relative)
         | close(number, r["high"], absolute, relative),
     )
-    return (
-        join_hot(placed, near, [group, "block"], "left", cfg.hot_rows, cfg.salt_buckets)
-        .withColumn("found", F.coalesce(hit, F.lit(False)))
-        .select(*targets.columns, "found")
-    )
+    if counted.filter(F.col("n") > cfg.hot_rows).isEmpty():
+        looked_up = placed.join(near, [group, "block"], "left")
+    else:
+        looked_up = join_hot(placed, near, [group, "block"], "left", cfg.hot_rows, cfg.salt_buckets)
+    return looked_up.withColumn("found", F.coalesce(hit, F.lit(False))).select(*targets.columns, "found")
+
+
+def each_number(rows: DataFrame, keep: list[str], text: str) -> DataFrame:
+    """(*keep, number), one row per number that extract_numbers finds, repeats kept. The outer
+    form keeps the optimizer from adding a size filter, which would search every text a
+    second time."""
+    numbers = F.explode_outer(money_numbers(F.col(text))).alias("number")
+    return rows.select(*keep, numbers).filter(F.col("number").isNotNull() & ~is_year(F.col("number")))
 
 
 def answer_numbers(answers: DataFrame, group: str, text: str) -> DataFrame:
     """(answer_id, group, number), one row per number in the answer, repeats kept."""
-    return answers.select("answer_id", group, F.explode(extract_numbers(F.col(text))).alias("number"))
+    return each_number(answers, ["answer_id", group], text)
 
 
 def verify_answers(
@@ -126,7 +144,7 @@ def verify_answers(
             F.lit(DISABLED).alias("message"),
         )
     claimed = answer_numbers(answers, group, "answer")
-    known = evidence.select(group, F.explode(extract_numbers(F.col("content"))).alias("number"))
+    known = each_number(evidence, [group], "content")
     tolerance = cfg.verify_tolerance
     per_answer = (
         mark_matches(claimed, known, group, tolerance, tolerance, cfg)

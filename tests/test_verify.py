@@ -71,6 +71,19 @@ def test_answers_with_repeats(spark):
     assert (rate.total_numbers, rate.hallucinated_numbers, rate.hallucination_rate) == (4, 2, 0.5)
 
 
+def test_texts_are_searched_once_and_far_numbers_left_out(spark):
+    """No size filter repeats the search of a text, and without a frequent key no join is
+    salted; numbers in no block of a target change nothing."""
+    answers = spark.createDataFrame([(1, "g", "5 or 7000"), (2, "h", "-$5")], "answer_id int, g string, answer string")
+    evidence = spark.createDataFrame([("g", "90 91 92 7001"), ("h", "5 8.5% 1e9"), ("h", None)], "g string, content string")
+    checked = verify.verify_answers(answers, evidence, "g")
+    plan = checked._jdf.queryExecution().optimizedPlan().toString()
+    assert "size(" not in plan and "_salt" not in plan
+    assert {r.answer_id: r.n_unverified for r in checked.collect()} == {1: 1, 2: 1}
+    far = verify._blocks(evidence.selectExpr("g", "90.0D as number"), "g", 0.01, 0.01, spark.createDataFrame([(0,)], "block long"))
+    assert far.isEmpty()
+
+
 def test_facts(spark):
     reported = spark.createDataFrame(
         [("e", "Revenues", 1e8), ("e", "NetIncomeLoss", 2e7), ("e", "Assets", 5e8), ("e", "AssetsCurrent", 6e8), ("e", "Other", 0.0)],
