@@ -430,7 +430,8 @@ def near_duplicates(
     many = rows.filter(large)
     while at < depth and not many.isEmpty():
         deeper = many.select(*plain).join(sets.select("id", "tokens"), "id")
-        rows = _undecided(deeper.mapInArrow(_children(similarity, None), schema), labels, at)
+        # kept, since nodes are counted and then joined with their members
+        rows = _undecided(written(deeper.mapInArrow(_children(similarity, None), schema)), labels, at)
         if link(_star_pairs(rows.filter(large), similarity)):
             rows = _undecided(rows.select(*plain), labels)
         compared = compared.unionAll(_whole(rows.filter(small))).unionAll(_rest_blocks(rows.filter(settled), leaf))

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.accumulators import AccumulatorParam
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import near_dedup
@@ -73,6 +74,39 @@ def test_large_groups_and_borderline_pairs(spark, leaf):
     assert result(near_dedup.near_duplicates(docs, leaf=leaf, depth=4)) == sorted(brute(rows), key=str)
 
 
+def test_large_nodes_branch_once(spark, monkeypatch):
+    """Members that branch on are not made again for the join with their nodes."""
+
+    class Listed(AccumulatorParam):
+        def zero(self, value):
+            return []
+
+        def addInPlace(self, one, two):
+            return one + two
+
+    made = spark.sparkContext.accumulator([], Listed())
+    children = near_dedup._children
+
+    def noted(similarity, roots):
+        run = children(similarity, roots)
+
+        def branches(batches):
+            for batch in run(batches):
+                if roots is None:
+                    made.add(list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)))
+                yield batch
+
+        return branches
+
+    monkeypatch.setattr(near_dedup, "_children", noted)
+    rng = random.Random(8)
+    line = sentence(rng, 60, 10_000)
+    rows = [(i, f"{line} {sentence(rng, 40, 10_000)}") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(near_dedup.near_duplicates(docs, leaf=1, depth=2)) == sorted(brute(rows), key=str)
+    assert made.value and len(made.value) == len(set(made.value))
+
+
 def test_sketch_agreement():
     """The share of equal minwise tokens estimates the similarity."""
     rng = np.random.default_rng(3)
