@@ -253,6 +253,63 @@ def test_documents_that_quote_a_part_hide_no_passage(spark):
     assert {(r["a"], r["b"]) for r in passages.near_passages(docs).collect()} == pairs
 
 
+def test_documents_that_share_a_quote_are_not_compared(spark, monkeypatch):
+    rng = random.Random(12)
+    passage, quote = (sentence(rng, n, 10**6).split() for n in (60, 24))
+    texts = [" ".join(around(rng, quote)) for _ in range(60)] + [" ".join(around(rng, passage)) for _ in range(2)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    compared, decided = [], passages._decided
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return decided(pairs, *rest)
+
+    monkeypatch.setattr(passages, "_decided", counted)
+    assert [(r["a"], r["b"]) for r in passages.near_passages(docs).collect()] == [(60, 61)]
+    assert sum(compared) == 1
+
+
+def test_dense_places_are_all_stretches_with_few_lone_shingles():
+    for turn in range(200):
+        rng = np.random.default_rng(turn)
+        lone = rng.random(rng.integers(0, 40)) < rng.choice([0.1, 0.25, 0.4])
+        expected = np.zeros(len(lone), dtype=bool)
+        for i in range(len(lone)):
+            for j in range(i + 6, len(lone) + 1):
+                if 100 * lone[i:j].sum() <= 25 * (j - i):
+                    expected[i:j] = True
+        assert (passages._dense_places(lone, lone, 6, 75) == expected).all(), turn
+
+
+def test_shingles_that_other_texts_have_are_told_across_groups():
+    lines = [np.arange(k, k + 30, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) for k in (0, 20, 100, 20)]
+    blobs, codes = [], []
+    for g, group in enumerate((lines[:1], lines[1:3], lines[3:])):
+        found, several, places = passages._by_bucket(group, 5)
+        codes.append(found)
+        for k, i, j in places:
+            low, high = found[i:j].astype("<u4"), (found[i:j] >> np.uint64(32)).astype(np.uint8)
+            blobs.append((g, k, low.tobytes(), high.tobytes(), np.packbits(several[i:j]).tobytes(), j - i))
+    met = [set(), set(), set()]
+    for bucket in range(5):
+        rows = [b for b in blobs if b[1] == bucket]
+        names = ["g", "bucket", "low", "high", "several"]
+        table = pa.table([pa.array(c) for c in list(zip(*rows))[:5]], names)
+        for row, blob in zip(passages._met(None, table).to_pylist(), rows):
+            bits = np.unpackbits(np.frombuffer(row["bits"], np.uint8), count=blob[5]).astype(bool)
+            mine = [b[5] for b in blobs if b[0] == blob[0] and b[1] < bucket]
+            met[row["g"]] |= set(codes[row["g"]][sum(mine) : sum(mine) + blob[5]][bits].tolist())
+    a, b, c, d = (set(x.tolist()) for x in lines)
+    assert met == [a & b, b, d]
+
+
+def test_a_text_moves_once_for_documents_that_meet_each_other(spark):
+    rows = [(a, b, [0], [0]) for a in range(20) for b in range(a + 1, 20)]
+    dealt = passages._dealt(spark.createDataFrame(rows, "a long, b long, at_a array<int>, at_b array<int>"))
+    assert dealt.count() == len(rows)
+    assert dealt.select("b", "block", "part").distinct().count() == 19
+
+
 def test_frequent_signatures_are_split(spark, monkeypatch):
     monkeypatch.setattr(passages, "SAMPLE_SHARE", 1)
     monkeypatch.setattr(passages, "SAMPLE_HOT", 2)
