@@ -2,6 +2,7 @@
 
 import os
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -174,6 +175,54 @@ def test_passages_against_brute_force():
     assert min(seen) > 20
 
 
+def test_stretches_give_the_chains_and_ranges_of_single_steps():
+    seen = Counter()
+    for turn in range(300):
+        rng = random.Random(turn)
+        a = sentence(rng, rng.randrange(60, 160), 10**6).split()
+        b = list(a)
+        for _ in range(rng.randrange(12)):
+            i, k, to = (rng.randrange(len(b)) for _ in range(3))
+            if rng.random() < 0.3:  # a part at another place
+                part = b[i : i + 15]
+                del b[i : i + 15]
+                b[to:to] = part
+            else:
+                b[k : k + rng.randrange(8)] = [f"e{rng.randrange(10**6)}"] * rng.randrange(4)
+        x, y = (passages.shingle_hashes(passages.word_hashes(" ".join(z)), 2) for z in (a, b))
+        shared = [np.flatnonzero(np.isin(*z)) for z in ((x, y), (y, x))]
+        plain = passages._sharing(x, y, *shared)
+        seen[plain is not None] += 1
+        if plain is None:
+            continue
+        most = min(len(x), len(y)) // 3
+        for at_x in shared[0][::7].tolist():
+            at_y = int(np.flatnonzero(y == x[at_x])[0])
+            chain = passages._chain(x, y, *shared, at_x, at_y, most)
+            ranges = list(map(tuple, passages._ranges(x, y, chain, 12, 75, 2)))
+            runs = plain.chain(plain.row_of(at_x), most)[1]
+            assert runs == list(map(tuple, chain.tolist())), turn
+            assert list(map(tuple, plain.ranges(runs, 12, 75, 2))) == ranges, turn
+            seen["several"] += len(ranges) > 1
+    assert seen[True] > 200 and seen["several"] > 50
+
+
+def test_texts_that_share_a_line_are_told_by_marks(monkeypatch):
+    rng = random.Random(8)
+    line = sentence(rng, 12, 10**6)
+    texts = [f"{sentence(rng, 100, 10**6)} {line}" for _ in range(20)]
+    table = pa.table({"id": pa.array(range(20), pa.int64()), "text": texts})
+    pairs = pa.table({
+        "a": pa.array([a for b in range(20) for a in range(b)], pa.int64()),
+        "b": pa.array([b for b in range(20) for a in range(b)], pa.int64()),
+        "at_a": [[100]] * 190, "at_b": [[100]] * 190,
+    })
+    compared = []
+    monkeypatch.setattr(np, "intersect1d", lambda *a, **k: compared.append(a))
+    assert passages._verified(50, 75, 5)(None, table, pairs).num_rows == 0
+    assert compared == []
+
+
 def threshold_pairs(n):
     """Pairs of texts around passages of 50 to 59 words whose similarity is 0.75 to 0.77."""
     rng = random.Random(5)
