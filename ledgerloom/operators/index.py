@@ -27,15 +27,20 @@ from ledgerloom.operators import bm25
 from ledgerloom.operators.bm25 import tokenised
 from ledgerloom.operators.joins import fits, join_small
 from ledgerloom.operators.ordering import with_positions
-from ledgerloom.operators.postings import bucket_of, build_postings, indexed_scores, write_postings
-from ledgerloom.operators.snapshots import SnapshotLog
-from ledgerloom.session import materialise
-
-_POSTINGS = (
-    "token string, range long, n int, max_tf int, min_len int,"
-    " places array<int>, tfs array<int>, lens array<int>"
+from ledgerloom.operators.postings import (
+    CODEC,
+    POSTINGS,
+    bucket_of,
+    build_postings,
+    dead_flags,
+    has_flag,
+    indexed_scores,
+    write_postings,
 )
+from ledgerloom.operators.snapshots import SnapshotLog
+from ledgerloom.session import materialise, shuffles_dropped
 
+BROADCAST_PLACES = 400_000_000  # positions of one bit that are broadcast
 
 @dataclass(frozen=True)
 class Index:
@@ -66,8 +71,8 @@ class Index:
             if wanted is None or b in wanted
         ]
         if not paths:
-            return self.spark.createDataFrame([], _POSTINGS)
-        return self.spark.read.schema(_POSTINGS).parquet(*paths)
+            return self.spark.createDataFrame([], POSTINGS)
+        return self.spark.read.schema(POSTINGS).parquet(*paths)
 
     def scores(
         self, queries: DataFrame, k: int, cfg: EngineConfig = EngineConfig(), also: DataFrame | None = None,
@@ -77,10 +82,11 @@ class Index:
         asked = tokenised(queries.select(F.col("query_id").alias("doc_key"), F.lit(0).alias("ord"), F.col("query").alias("content")))
         words = asked.select(F.explode("toks").alias("token")).distinct()
         dead = self.dead if any(s["dead"] for s in self.manifest["segments"]) else None
-        return indexed_scores(
-            queries, self.postings(words, cfg), self.document_frequency, self.stats, k, self.layout(cfg), dead,
-            also, scan,
-        )
+        with shuffles_dropped(self.spark):
+            return indexed_scores(
+                queries, self.postings(words, cfg), self.document_frequency, self.stats, k, self.layout(cfg), dead,
+                also, scan,
+            )
 
 
     def topk(self, queries: DataFrame, k: int, cfg: EngineConfig = EngineConfig()) -> DataFrame:
@@ -104,6 +110,20 @@ def _content_hash(chunks: DataFrame) -> Column:
     return F.sha2(F.to_json(F.struct(*named)), 256)
 
 
+def _unlike(rows: DataFrame, given: DataFrame, same: DataFrame, bounds: dict) -> DataFrame:
+    """rows whose key is not in `same`; given has all their keys. Texts move only if the keys
+    that are in it and those that are not are both many."""
+    same = materialise(same)
+    if fits(same, bounds["max_rows"]):
+        return join_small(rows, same, ["doc_key"], **bounds, how="left_anti", known_small=True)
+    fresh = join_small(given.select("doc_key").distinct(), same, ["doc_key"], **bounds, how="left_anti")
+    fresh = materialise(fresh.withColumn("_fresh", F.lit(True)))
+    if not fits(fresh, bounds["max_rows"]):
+        return join_small(rows, same, ["doc_key"], **bounds, how="left_anti", known_small=False)
+    marked = join_small(rows, fresh, ["doc_key"], **bounds, how="left", known_small=True)
+    return marked.filter("_fresh or doc_key is null").drop("_fresh")
+
+
 def publish(
     chunks: DataFrame,
     root: str,
@@ -122,26 +142,31 @@ def publish(
     repeated write (a restarted stream) changes nothing.
     """
     spark = chunks.sparkSession
+    with shuffles_dropped(spark):
+        return _publish(spark, chunks, root, batch, cfg, embed, scope)
+
+
+def _publish(spark, chunks, root, batch, cfg, embed, scope) -> dict:
     log = SnapshotLog(spark, root)
     current = log.read()
     if current is not None and batch is not None and batch in current["batches"]:
         return current
-    rows = materialise(chunks.withColumn("content_hash", _content_hash(chunks)))
+    rows = chunks.withColumn("content_hash", _content_hash(chunks))
     gone = None
     if current is not None and current["segments"]:
         known = _read(spark, root, current).chunks
         old = known.select(F.col("doc_key"), F.col("ord").alias("_ord"), F.col("content_hash").alias("_hash"))
-        given = rows.select("doc_key", F.col("content_hash").alias("_new"))
-        bounds = (["doc_key"], cfg.broadcast_max_rows, 1, ["doc_key"])
-        met = materialise(join_small(old, given, *bounds))
-        changed = met.filter("_hash <> _new").select("_ord")
+        given = materialise(rows.select("doc_key", F.col("content_hash").alias("_new")))
+        bounds = dict(max_rows=cfg.broadcast_max_rows, salts=1, spread=["doc_key"])
+        equal = (F.col("_hash") == F.col("_new")).alias("_equal")
+        met = materialise(join_small(old, given, ["doc_key"], **bounds).select("doc_key", "_ord", equal))
+        changed = met.filter("not _equal").select("_ord")
         gone = changed
         if scope is not None:
             inside = known.filter(F.coalesce(scope, F.lit(False))).select("doc_key", F.col("ord").alias("_ord"))
-            gone = changed.unionAll(join_small(inside, given, *bounds, how="left_anti").select("_ord"))
+            gone = changed.unionAll(join_small(inside, given, ["doc_key"], **bounds, how="left_anti").select("_ord"))
         gone = materialise(gone.select(F.col("_ord").alias("ord")).distinct())
-        same = met.filter("_hash = _new").select("doc_key")
-        rows = join_small(rows, same, *bounds, how="left_anti")
+        rows = _unlike(rows, given, met.filter("_equal").select("doc_key").distinct(), bounds)
     layout = {"index_buckets": cfg.index_buckets, "posting_range": cfg.posting_range}
     if current is not None and current["segments"]:
         layout = current["layout"]
@@ -150,9 +175,7 @@ def publish(
         return log.publish(current | {"batches": [*current["batches"], *([batch] if batch else [])]}, current)
     start = 0 if current is None else current["next_ord"]
     vector = embed_text(F.col("content"), cfg.embedding_dim) if embed is None else embed
-    rows = with_positions(rows, "ord", "doc_key", name="_place")
-    rows = rows.withColumn("ord", F.col("_place") + F.lit(start)).drop("_place")
-    segment = _write_segment(spark, root, log, rows.withColumn("embedding", vector), gone, current, cfg)
+    segment = _write_segment(spark, root, log, rows, ["ord", "doc_key"], start, vector, gone, current, cfg)
     return log.publish(
         {
             "segments": [*(current["segments"] if current else []), segment],
@@ -169,17 +192,29 @@ def document_frequency(postings: DataFrame) -> DataFrame:
     return postings.groupBy("token").agg(F.sum("n").alias("df"))
 
 
-def _write_segment(spark, root, log, rows, gone, current, cfg) -> dict:
+def _write_segment(spark, root, log, rows, order, start, vector, gone, current, cfg) -> dict:
+    """The segment of rows in the given order, with positions from start on; their embedding
+    is made anew if a vector is given."""
     name = uuid4().hex
-    path = f"{root}/data/{name}"
-    rows.write.parquet(f"{path}/chunks")
+    path, staged = f"{root}/data/{name}", f"_staged/{name}"
+
+    def hold(sorted_rows):
+        sorted_rows.write.parquet(f"{root}/{staged}", compression=CODEC)
+        return spark.read.schema(sorted_rows.schema).parquet(f"{root}/{staged}")
+
+    rows = with_positions(rows, *order, name="_place", hold=hold)
+    rows = rows.withColumn("ord", F.col("_place") + F.lit(start)).drop("_place")
+    if vector is not None:
+        rows = rows.withColumn("embedding", vector)
+    rows.write.parquet(f"{path}/chunks", compression=CODEC)
+    log.drop(staged)
     stored = spark.read.schema(rows.schema).parquet(f"{path}/chunks")
-    write_postings(build_postings(stored, cfg), f"{path}/postings", cfg)
+    write_postings(build_postings(stored, cfg), f"{path}/postings")
     buckets = [int(n.removeprefix("bucket=")) for n in log.children(f"data/{name}/postings") if n.startswith("bucket=")]
     # the written postings hold all counts, so texts are not read again for them
-    listed = spark.createDataFrame([], _POSTINGS)
+    listed = spark.createDataFrame([], POSTINGS)
     if buckets:
-        listed = spark.read.schema(_POSTINGS).parquet(*[f"{path}/postings/bucket={b}" for b in buckets])
+        listed = spark.read.schema(POSTINGS).parquet(*[f"{path}/postings/bucket={b}" for b in buckets])
     df, n_dead, n_chunks = document_frequency(listed), 0, stored.count()
     n_words = F.sum(F.aggregate("tfs", F.lit(0).cast("long"), lambda s, n: s + n))
     sizes = listed.agg(F.lit(n_chunks).cast("long").alias("n_docs"), F.coalesce(n_words, F.lit(0)).alias("n_words"))
@@ -187,8 +222,7 @@ def _write_segment(spark, root, log, rows, gone, current, cfg) -> dict:
         gone.write.parquet(f"{path}/dead")
         n_dead = spark.read.schema("ord long").parquet(f"{path}/dead").count()
     if n_dead:
-        replaced = join_small(_read(spark, root, current).chunks, gone, ["ord"], cfg.broadcast_max_rows, 1, ["ord"], how="left_semi")
-        lost = tokenised(replaced)
+        lost = tokenised(_placed_in(_read(spark, root, current).chunks, gone, current["next_ord"], True))
         df = df.unionAll(bm25.document_frequency(lost).select("token", -F.col("df")))
         sizes = sizes.unionAll(lost.agg(-F.count(F.lit(1)), -F.coalesce(F.sum("doc_len"), F.lit(0))))
     df.write.parquet(f"{path}/term_df")
@@ -198,6 +232,19 @@ def _write_segment(spark, root, log, rows, gone, current, cfg) -> dict:
     }
 
 
+def _placed_in(chunks: DataFrame, places: DataFrame, until: int, inside: bool) -> DataFrame:
+    """The chunks whose position (ord, below until) is, or is not, in places (ord). One bit per
+    position is broadcast, unless there are too many, so that texts do not move."""
+    if until > BROADCAST_PLACES:
+        return chunks.join(places, "ord", "left_semi" if inside else "left_anti").select(*chunks.columns)
+    cfg = EngineConfig()
+    flags = dead_flags(places, cfg).withColumnRenamed("range", "_range")
+    at = F.floor(F.col("ord") / cfg.posting_range).cast("long")
+    marked = chunks.withColumn("_range", at).join(F.broadcast(flags), "_range", "left")
+    found = F.coalesce(has_flag("flags", F.pmod("ord", F.lit(cfg.posting_range))), F.lit(False))
+    return marked.filter(found if inside else ~found).select(*chunks.columns)
+
+
 def _read(spark: SparkSession, root: str, manifest: dict) -> Index:
     def tables(name, schema, of=None):
         paths = [f"{root}/data/{s['name']}/{name}" for s in manifest["segments"] if of is None or of(s)]
@@ -210,7 +257,7 @@ def _read(spark: SparkSession, root: str, manifest: dict) -> Index:
         part = tables("chunks", StructType.fromJson(json.loads(schema)), lambda s: s["schema"] == schema)  # noqa: B023
         chunks = part if chunks is None else chunks.unionByName(part, allowMissingColumns=True)
     if any(s["dead"] for s in segments):
-        chunks = chunks.join(dead, "ord", "left_anti").select(*chunks.columns)
+        chunks = _placed_in(chunks, dead, manifest["next_ord"], False)
     df = tables("term_df", "token string, df long").groupBy("token").agg(F.sum("df").alias("df"))
     stats = tables("corpus_stats", "n_docs long, n_words long").agg(
         F.sum("n_docs").alias("n_docs"), F.try_divide(F.sum("n_words"), F.sum("n_docs")).alias("avg_len")
@@ -239,9 +286,9 @@ def compact(spark: SparkSession, root: str, cfg: EngineConfig = EngineConfig())
     published batches stay known."""
     log = SnapshotLog(spark, root)
     current = log.read()
-    live = with_positions(_read(spark, root, current).chunks, "ord", name="_place")
-    rows = live.withColumn("ord", F.col("_place")).drop("_place")
-    segment = _write_segment(spark, root, log, rows, None, None, cfg.replace(**current["layout"]))
+    live = _read(spark, root, current).chunks
+    with shuffles_dropped(spark):
+        segment = _write_segment(spark, root, log, live, ["ord"], 0, None, None, None, cfg.replace(**current["layout"]))
     return log.publish(
         current | {"segments": [segment], "next_ord": segment["n_chunks"]}, current
     )

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom.session import materialise
 
 
-def with_positions(df: DataFrame, *order: str | Column, name: str = "ord") -> DataFrame:
+def with_positions(
+    df: DataFrame, *order: str | Column, name: str = "ord", hold: Callable[[DataFrame], DataFrame] = materialise
+) -> DataFrame:
     """df with its place from 0 in the given order, which must be total to be repeatable.
 
-    Rows are range-partitioned and sorted once and counted per partition; the running sums
-    of the counts, one row per partition, are broadcast.
+    Rows are range-partitioned and sorted once, held (by default in a checkpoint) and counted
+    per partition; the running sums of the counts, one row per partition, are broadcast.
     """
-    rows = materialise(
+    rows = hold(
         df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .withColumn("_part", F.spark_partition_id())

@@ -1,7 +1,7 @@
 """An inverted index by word, and BM25 over it that skips what cannot reach the top.
 
 Postings of a word are cut at fixed ranges of index positions, the same for all words, and
-lie in folders by a hash of the word. One row holds a word's postings of one range as arrays
+lie in folders by a hash of the word. A row holds a word's postings of a range, or a part of it, as arrays
 (positions from the start of the range, which pack into few bits, counts, lengths) with their
 number, the largest count and the shortest length, which bound the weight of each of them.
 
@@ -14,56 +14,116 @@ where they are opened and added up, so no row per posting and query ever moves.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom.config import EngineConfig
-from ledgerloom.operators.bm25 import exploded, inverse_frequency, query_terms, term_weight, tokenised
+from ledgerloom.operators.bm25 import inverse_frequency, query_terms, term_weight, tokenised
 from ledgerloom.operators.joins import fits, join_small
 from ledgerloom.session import materialise
 
 _KEY = ["query_id", "range"]
 RANGE_ROWS = 2_000_000  # pairs of a query and a range, of some 20 bytes, that are broadcast
+WORDS_HELD = 4_000_000  # words that a task lists at once
+ROWS_OUT = 20_000
+CODEC = "zstd"
+POSTINGS = (
+    "token string, range long, n int, max_tf int, min_len int,"
+    " places array<int>, tfs array<int>, lens array<int>"
+)
 
 
 def bucket_of(token: Column, cfg: EngineConfig) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(cfg.index_buckets)).cast("int")
 
 
+def _opened(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """(ord, doc_len, words, number of words) of the rows that have words."""
+    batch = batch.filter(pc.greater(pc.list_value_length(batch.column("toks")), 0))
+    toks = batch.column("toks")
+    return (
+        batch.column("ord").to_numpy(), batch.column("doc_len").to_numpy(), toks.flatten(),
+        pc.list_value_length(toks).to_numpy(),
+    )
+
+
+def _grouped(held: list, span: int) -> Iterator[pa.RecordBatch]:
+    """The posting rows of some documents."""
+    ords, lens, sizes = (np.concatenate([h[k] for h in held]) for k in (0, 1, 3))
+    words = pa.concat_arrays([h[2] for h in held]).dictionary_encode()
+    by_place = np.argsort(ords, kind="stable")
+    place_of = np.empty(len(ords), dtype=np.int64)
+    place_of[by_place] = np.arange(len(ords))
+    ords, lens = ords[by_place], lens[by_place]
+    said = words.indices.to_numpy().astype(np.int64) * len(ords) + np.repeat(place_of, sizes)
+    said, tfs = np.unique(said, return_counts=True)
+    code, row = np.divmod(said, len(ords))
+    ranges = (ords // span)[row]
+    starts = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (ranges[1:] != ranges[:-1])]))
+    offsets = np.append(starts, len(said))
+    lists = {"places": (ords % span)[row], "tfs": tfs, "lens": lens[row]}
+    for i in range(0, len(starts), ROWS_OUT):
+        some = starts[i : i + ROWS_OUT]
+        cut = slice(some[0], offsets[min(i + ROWS_OUT, len(starts))])
+        bounds = pa.array(np.append(some, cut.stop) - cut.start, pa.int32())
+        yield pa.RecordBatch.from_arrays(
+            [
+                words.dictionary.take(pa.array(code[some])),
+                pa.array(ranges[some], pa.int64()),
+                pa.array(np.diff(bounds.to_numpy()), pa.int32()),
+                pa.array(np.maximum.reduceat(tfs[cut], some - cut.start), pa.int32()),
+                pa.array(np.minimum.reduceat(lens[row[cut]], some - cut.start), pa.int32()),
+                *(pa.ListArray.from_arrays(bounds, pa.array(x[cut], pa.int32())) for x in lists.values()),
+            ],
+            names=["token", "range", "n", "max_tf", "min_len", *lists],
+        )
+
+
+def _listed(span: int):
+    """Posting rows out of (ord, doc_len, toks): those of a range are put together as far as it
+    comes in one piece, and of no more words than may be held."""
+
+    def run(batches):
+        held, words, last = [], 0, None
+        for batch in batches:
+            ords, lens, said, sizes = _opened(batch)
+            begins = np.concatenate([[0], np.cumsum(sizes)])
+            full = begins // WORDS_HELD
+            new = (ords[1:] // span != ords[:-1] // span) | (full[1:-1] != full[:-2])
+            cuts = [0, *(np.flatnonzero(new) + 1).tolist(), len(ords)]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if i == j:
+                    continue
+                if held and (words >= WORDS_HELD or (words >= WORDS_HELD // 4 and ords[i] // span != last)):
+                    yield from _grouped(held, span)
+                    held, words = [], 0
+                held.append((ords[i:j], lens[i:j], said.slice(begins[i], begins[j] - begins[i]), sizes[i:j]))
+                words, last = words + int(begins[j] - begins[i]), ords[i] // span
+        if held:
+            yield from _grouped(held, span)
+
+    return run
+
+
 def build_postings(chunks: DataFrame, cfg: EngineConfig) -> DataFrame:
     """(bucket, token, range, n, max_tf, min_len, places, tfs, lens) of (ord, content).
-    Rows of a bucket are spread by range, so a frequent word is many rows of bounded size."""
-    toks = tokenised(chunks.withColumn("doc_key", F.lit(None)))
-    counted = (
-        exploded(toks.select("ord", "doc_len", "toks"), F.col("toks"))
-        .groupBy("token", "ord", "doc_len")
-        .agg(F.count(F.lit(1)).cast("int").alias("tf"))
-        .withColumn("range", F.floor(F.col("ord") / cfg.posting_range).cast("long"))
-    )
-    one = F.struct("ord", "tf", F.col("doc_len").alias("len"))
-    grouped = counted.groupBy("token", "range").agg(F.array_sort(F.collect_list(one)).alias("p"))
-    return grouped.select(
-        bucket_of(F.col("token"), cfg).alias("bucket"),
-        "token",
-        "range",
-        F.size("p").alias("n"),
-        F.array_max("p.tf").alias("max_tf"),
-        F.array_min("p.len").alias("min_len"),
-        F.transform("p.ord", lambda o: (o - F.col("range") * cfg.posting_range).cast("int")).alias("places"),
-        F.col("p.tf").alias("tfs"),
-        F.col("p.len").alias("lens"),
-    )
 
+    Words are counted and listed in the tasks that read the texts, so no word moves. A range
+    that lies in several tasks has a row of a word in each.
+    """
+    toks = tokenised(chunks.withColumn("doc_key", F.lit(None)).withColumn("ord", F.col("ord").cast("long")))
+    listed = toks.select("ord", "doc_len", "toks").mapInArrow(_listed(cfg.posting_range), POSTINGS)
+    return listed.select(bucket_of(F.col("token"), cfg).alias("bucket"), "*")
 
-def write_postings(postings: DataFrame, path: str, cfg: EngineConfig) -> None:
-    spread = F.pmod("range", F.lit(cfg.salt_buckets))
-    (
-        postings.repartition("bucket", spread)
-        .sortWithinPartitions("bucket", "token", "range")
-        .write.partitionBy("bucket")
-        .parquet(path)
-    )
+
+def write_postings(postings: DataFrame, path: str) -> None:
+    """Each task writes its rows to the folders of their buckets."""
+    rows = postings.sortWithinPartitions("bucket", "token", "range")
+    rows.write.partitionBy("bucket").parquet(path, compression=CODEC)
 
 
 def word_weights(
@@ -104,6 +164,11 @@ def dead_flags(dead: DataFrame, cfg: EngineConfig) -> DataFrame:
     )
 
 
+def has_flag(flags: str, place: Column) -> Column:
+    word = F.get(flags, F.floor(place / F.lit(64)).cast("int"))
+    return F.call_function("shiftright", word, F.pmod(place, F.lit(64)).cast("int")).bitwiseAND(F.lit(1).cast("long")) != 0
+
+
 def _placed(postings: DataFrame, words: DataFrame, dead: DataFrame | None, ranges: int, cfg: EngineConfig) -> DataFrame:
     """(token, range, places, tfs, lens) of the asked words, all words of a range in one
     partition and without dead positions. What moves are the arrays, once each however many
@@ -118,11 +183,7 @@ def _placed(postings: DataFrame, words: DataFrame, dead: DataFrame | None, range
     flags = dead_flags(dead, cfg).repartition(ranges, "range")
     marked = placed.join(flags.hint("shuffle_hash"), "range", "left")
 
-    def lives(place: Column) -> Column:
-        word = F.get("flags", F.floor(place / F.lit(64)).cast("int"))
-        return F.call_function("shiftright", word, F.pmod(place, F.lit(64))).bitwiseAND(F.lit(1).cast("long")) == 0
-
-    alive = F.transform("places", lives)
+    alive = F.transform("places", lambda place: ~has_flag("flags", place))
     cut = [F.filter(c, lambda x, i: F.get("alive", i)).alias(c) for c in ("places", "tfs", "lens")]
     whole = [F.when(F.col("flags").isNull(), F.col(c)).otherwise(x).alias(c) for c, x in zip(("places", "tfs", "lens"), cut, strict=True)]
     return marked.withColumn("alive", alive).select("token", "range", *whole)

@@ -41,6 +41,10 @@ class SnapshotLog:
             return []
         return sorted(s.getPath().getName() for s in self._context.util().listStatus(path))
 
+    def drop(self, below: str) -> None:
+        """Delete a folder of the writer's own that no manifest names."""
+        self._context.delete(self._path(below), True)
+
     def versions(self) -> list[int]:
         return [int(n.removesuffix(".json")) for n in self.children("_snapshots") if n.endswith(".json")]
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.config import EngineConfig
-from ledgerloom.operators import bm25, cache, hybrid, index, ordering, similar, snapshots, temporal, vector
+from ledgerloom.operators import bm25, cache, hybrid, index, ordering, postings, similar, snapshots, temporal, vector
 from ledgerloom.functions.vectors import embed_text
 
 CFG = EngineConfig()
@@ -421,6 +421,66 @@ def test_hot_word_does_not_shuffle_by_word(docs, asked):
     assert "BroadcastNestedLoopJoin" not in plan
 
 
+@pytest.mark.parametrize("held", [4_000_000, 40])
+def test_words_are_listed_where_texts_are_read(spark, monkeypatch, held):
+    monkeypatch.setattr(postings, "WORDS_HELD", held)
+    rng = random.Random(2)
+    texts = {k: " ".join(f"w{rng.randrange(9)}" for _ in range(rng.randrange(12))) for k in range(60)}
+    texts |= {60: None, 61: "W1 w1"}
+    docs = spark.createDataFrame(list(texts.items()), "ord long, content string").coalesce(2)
+    built = postings.build_postings(docs, CFG.replace(posting_range=16))
+    assert "Exchange" not in built._jdf.queryExecution().executedPlan().toString()
+    found, rows = {}, built.collect()
+    for r in rows:
+        assert r.n == len(r.places) == len(r.tfs) == len(r.lens) and list(r.places) == sorted(r.places)
+        assert (r.max_tf, r.min_len) == (max(r.tfs), min(r.lens))
+        for place, tf, n in zip(r.places, r.tfs, r.lens):
+            assert found.setdefault((r.token, r.range * 16 + place), (tf, n)) == (tf, n)
+    said = {k: (t or "").lower().split() for k, t in texts.items()}
+    assert found == {(w, k): (t.count(w), len(t)) for k, t in said.items() for w in t}
+    assert len(rows) >= len({(r.token, r.range) for r in rows}) and len(found) == sum(r.n for r in rows)
+
+
+def test_index_keeps_no_copies_and_moves_no_texts_for_a_few_changes(spark, docs, asked, tmp_path, monkeypatch):
+    root, cfg = str(tmp_path / "index"), CFG.replace(broadcast_max_rows=2)
+    index.publish(chunk_rows(docs), root, None, cfg)
+    changed = F.when(F.col("ord") == 2, F.concat("content", F.lit(" cash"))).otherwise(F.col("content"))
+    state = chunk_rows(docs.filter("ord <> 3").withColumn("content", changed))
+    positions, plans = index.with_positions, []
+
+    def planned(rows, *order, **more):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return positions(rows, *order, **more)
+
+    monkeypatch.setattr(index, "with_positions", planned)
+    index.publish(state, root, None, cfg, scope=F.lit(True))
+    assert len(plans) == 1 and "SortMergeJoin" not in plans[0] and "hashpartitioning" not in plans[0]
+    moved = docs.filter("ord <> 3").withColumn("content", changed)
+    order = index.read_index(spark, root).chunks.select("doc_key", "ord")
+    assert indexed(spark, root, asked) == searched(asked, moved.drop("ord").join(order, "doc_key"))
+    assert index.SnapshotLog(spark, root).children("_staged") == []
+
+
+def test_chunks_without_a_key_are_new_in_any_state(spark, tmp_path):
+    root, cfg = str(tmp_path / "index"), CFG.replace(broadcast_max_rows=2)
+    rows = [(None if k == 4 else f"k{k}", k, f"text {k}") for k in range(5)]
+    chunks = chunk_rows(spark.createDataFrame(rows, "doc_key string, ord long, content string"))
+    for _ in range(2):
+        index.publish(chunks, root, None, cfg)
+    kept = sorted((r.ord, r.doc_key) for r in index.read_index(spark, root).chunks.collect())
+    assert kept == [(0, "k0"), (1, "k1"), (2, "k2"), (3, "k3"), (4, None), (5, None)]
+
+
+@pytest.mark.parametrize("most", [100, 10])
+def test_chunks_by_position(spark, monkeypatch, most):
+    monkeypatch.setattr(index, "BROADCAST_PLACES", most)
+    chunks = spark.range(0, 99).selectExpr("id as ord", "cast(id as string) as content")
+    dead = spark.createDataFrame([(0,), (63,), (64,), (98,)], "ord long")
+    for inside in (True, False):
+        got = {r.ord for r in index._placed_in(chunks, dead, 99, inside).collect()}
+        assert got == ({0, 63, 64, 98} if inside else set(range(99)) - {0, 63, 64, 98})
+
+
 def test_index_scores_are_added_up_where_postings_meet(spark, docs, asked, tmp_path):
     """Nothing is exchanged once the posting arrays are opened, also with dead positions."""
     cfg, root = CFG.replace(posting_range=3), str(tmp_path / "index")
