@@ -171,7 +171,10 @@ def _publish(spark, chunks, root, batch, cfg, embed, scope) -> dict:
     if current is not None and current["segments"]:
         layout = current["layout"]
         cfg = cfg.replace(**layout)
-    if current is not None and rows.isEmpty() and (gone is None or gone.isEmpty()):
+    nothing_new = current is not None and rows.isEmpty()
+    if nothing_new:
+        rows = rows.limit(0)  # what is given is not read again for the segment
+    if nothing_new and (gone is None or gone.isEmpty()):
         return log.publish(current | {"batches": [*current["batches"], *([batch] if batch else [])]}, current)
     start = 0 if current is None else current["next_ord"]
     vector = embed_text(F.col("content"), cfg.embedding_dim) if embed is None else embed

@@ -36,6 +36,7 @@ from ledgerloom.operators import (
     verify,
     vote,
 )
+from ledgerloom.operators.joins import join_small
 from ledgerloom.session import shared_folder, spread
 
 CONFIG = EngineConfig()
@@ -124,7 +125,7 @@ def index_changes(spark, sf):
     final = corpus(spark, sf)
     draft = F.when(F.col("lang") == "en", F.concat("content", F.lit(" draft"))).otherwise(F.col("content"))
     toxic = _read(spark, sf, "labels").filter("toxic = 1").select(F.col("doc_id").alias("doc_key"))
-    left = final.join(toxic, "doc_key", "left_anti")
+    left = join_small(final, toxic, ["doc_key"], CONFIG.broadcast_max_rows, 1, ["doc_key"], how="left_anti")
     stored = _keyword_index(spark, final.withColumn("content", draft), final, left)
     return stored.topk(questions(spark, sf), CONFIG.top_k, CONFIG)
 

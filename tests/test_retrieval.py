@@ -461,6 +461,21 @@ def test_index_keeps_no_copies_and_moves_no_texts_for_a_few_changes(spark, docs,
     assert index.SnapshotLog(spark, root).children("_staged") == []
 
 
+def test_a_state_without_new_chunks_is_not_read_for_its_segment(spark, docs, tmp_path, monkeypatch):
+    root, staged = str(tmp_path / "index"), []
+    index.publish(chunk_rows(docs), root, None, CFG)
+    positions = index.with_positions
+
+    def planned(rows, *order, **more):
+        staged.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        return positions(rows, *order, **more)
+
+    monkeypatch.setattr(index, "with_positions", planned)
+    index.publish(chunk_rows(docs.filter("ord <> 3")), root, None, CFG, scope=F.lit(True))
+    assert len(staged) == 1 and "LogicalRDD" not in staged[0] and "Join" not in staged[0]
+    assert index.read_index(spark, root).chunks.count() == len(TEXTS) - 1
+
+
 def test_chunks_without_a_key_are_new_in_any_state(spark, tmp_path):
     root, cfg = str(tmp_path / "index"), CFG.replace(broadcast_max_rows=2)
     rows = [(None if k == 4 else f"k{k}", k, f"text {k}") for k in range(5)]
